@@ -33,6 +33,25 @@ def boilerplate_lines(lines: DataFrame, pages_of_host: DataFrame, max_ratio: flo
     return both.where(F.col("pages") > max_ratio * F.col("host_pages")).select("host", "line_hash", "pages", "host_pages")
 
 
+def _deduped(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_ratio: float, min_pages: int) -> DataFrame:
+    """The input with ``__pl_r``: the text that is left, the number of lines and of dropped lines."""
+    x = docs.withColumns({"__pl_id": F.col(id_col), "__pl_text": F.coalesce(F.col(text_col).cast("string"), F.lit("")), "__pl_host": F.col(host_col).cast("string")})
+    keys = x.select(F.col("__pl_id").alias("doc_id"), F.col("__pl_text").alias("text"), F.col("__pl_host").alias("host"))
+    hashes = "transform(array_distinct(filter(split(text, '\\n'), l -> " + _WORDS_IN.format(l="l") + ")), l -> unhex(md5(l)))"
+    lines = keys.select("doc_id", "host", F.explode(F.expr(hashes)).alias("line_hash"))
+    hosts = keys.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).select(F.col("host").alias("of_host"), "host_pages")
+    over = materialize(boilerplate_lines(lines, hosts, max_ratio, min_pages), "boilerplate")
+    salted = over.select(F.col("host").alias("o_host"), F.col("line_hash").alias("o_hash"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("o_salt"))
+    held = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
+    hits = held.join(salted, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line_hash") == F.col("o_hash")) & (F.col("salt") == F.col("o_salt")), "inner")
+    # A page can have no more distinct boilerplate lines than its host has: the mean lines of a page over the ratio.
+    drop = hits.groupBy("doc_id", "host").agg(F.collect_set("line_hash").alias("__pl_gone")).select(F.col("doc_id").alias("__pl_hit"), F.col("host").alias("__pl_hit_host"), "__pl_gone")
+    out = x.join(drop, F.col("__pl_id").eqNullSafe(F.col("__pl_hit")) & F.col("__pl_host").eqNullSafe(F.col("__pl_hit_host")), "left")
+    kept = let("split(__pl_text, '\\n')", "a", let("filter(a, l -> NOT array_contains(__pl_gone, unhex(md5(l))))", "k", "struct(array_join(k, '\\n') AS text, CAST(size(a) AS BIGINT) AS n_lines, CAST(size(a) - size(k) AS BIGINT) AS n_dropped)"))
+    same = "struct(__pl_text AS text, CAST(size(split(__pl_text, '\\n')) AS BIGINT) AS n_lines, 0L AS n_dropped)"
+    return bind(out, "__pl_r", f"CASE WHEN __pl_gone IS NULL THEN {same} ELSE {kept} END")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row for each input row: doc_id, text (without dropped lines), n_lines, n_dropped.
 
@@ -41,20 +60,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated rows each count as a page and each come back; an empty table gives an empty result. A page
     of which nothing is left has an empty text.
     """
-    x = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(host_col).cast("string").alias("host"))
-    hashes = "transform(array_distinct(filter(split(text, '\\n'), l -> " + _WORDS_IN.format(l="l") + ")), l -> unhex(md5(l)))"
-    lines = x.select("doc_id", "host", F.explode(F.expr(hashes)).alias("line_hash"))
-    hosts = x.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).select(F.col("host").alias("of_host"), "host_pages")
-    over = materialize(boilerplate_lines(lines, hosts, max_ratio, min_pages), "boilerplate")
-    salted = over.select(F.col("host").alias("o_host"), F.col("line_hash").alias("o_hash"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("o_salt"))
-    held = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int"))
-    hits = held.join(salted, F.col("host").eqNullSafe(F.col("o_host")) & (F.col("line_hash") == F.col("o_hash")) & (F.col("salt") == F.col("o_salt")), "inner")
-    # At most 1 / max_ratio times the mean lines of a page can be dropped from one page.
-    drop = hits.groupBy("doc_id").agg(F.collect_set("line_hash").alias("gone")).withColumnRenamed("doc_id", "hit_id")
-    out = x.join(drop, x.doc_id == drop.hit_id, "left")
-    kept = let("split(text, '\\n')", "a", let("filter(a, l -> NOT array_contains(gone, unhex(md5(l))))", "k", "struct(array_join(k, '\\n') AS text, CAST(size(a) AS BIGINT) AS n_lines, CAST(size(a) - size(k) AS BIGINT) AS n_dropped)"))
-    same = "struct(text, CAST(size(split(text, '\\n')) AS BIGINT) AS n_lines, 0L AS n_dropped)"
-    return bind(out, "r", f"CASE WHEN gone IS NULL THEN {same} ELSE {kept} END").select("doc_id", "r.*")
+    x = docs.select(*{id_col: 0, text_col: 0, host_col: 0})
+    return _deduped(x, id_col, text_col, host_col, max_ratio, min_pages).select(F.col("__pl_id").alias("doc_id"), "__pl_r.*")
+
+
+def drop_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The documents with their boilerplate lines gone; rows and other columns stay as they came."""
+    x = _deduped(docs, id_col, text_col, host_col, max_ratio, min_pages)
+    changed = F.when(F.col("__pl_r.n_dropped") > 0, F.col("__pl_r.text")).otherwise(F.col(f"`{text_col}`"))
+    return x.select(*[changed.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from paperloom.llm.line_dedup import line_dedup
+from paperloom.llm.line_dedup import drop_boilerplate, line_dedup
 from tests.llm.helpers import crowded, docs, empty, odd
 
 
@@ -39,3 +39,10 @@ def test_null_host_and_ties(spark):
     d = docs(spark, [(1, "menu\nbody one", "en", None), (2, "menu\nbody two\nmenu", "en", None), (3, "menu", "en", None), (4, "menu\nx", "en", "t")])
     want = check(d, 0.5, 2)
     assert [x[2] for x in want] == ["body one", "body two", "", "menu\nx"]
+
+
+def test_documents_keep_their_columns(spark):
+    d = crowded(docs(spark, [(i, f"menu\nbody {i}", "en", "t") for i in range(4)] + [(9, None)]))
+    out = drop_boilerplate(d, max_ratio=0.5, min_pages=2)
+    assert out.columns == d.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {0: "body 0", 1: "body 1", 2: "body 2", 3: "body 3", 9: None}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, line_dedup, ngram_join, packing, quality, secrets, sharding, token_files
+from paperloom.llm import ann, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
 from paperloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_keys(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

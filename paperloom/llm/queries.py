@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
+from paperloom.llm import ann, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
 from paperloom.llm.common import table
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(token_files.write_tokens(table(spark, sf_dir, "documents")))
 
@@ -47,7 +51,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,11 +11,15 @@ sets is at least ``percent`` per cent.
    one agrees on some ``n2 - k2`` of its second-level parts: a signature is the hash of what a set has in
    such a subset, and linked sets share one. ``spare`` additional first-level parts make so many agree
    that signatures with next to no shingle in them can be left out (``_signatures`` says when).
-3. Documents that share a signature are candidates. First every document is compared with one hub, the
-   smallest it shares a signature with; what links is one component. Then only pairs that share a
-   signature and lie in different components are compared. So a group of near copies costs a comparison
-   for each member, not for each pair, and no link between components is missed.
-4. Candidates are checked exactly on the shingles of their whole texts.
+3. Documents that share a signature are candidates. In a few rounds every document is compared with one
+   hub, that of the hubs of its signatures with which it shares most of them; what links is one
+   component, and the hub of a signature is from the largest component there. So a group of near copies
+   costs a comparison for each member, not for each pair.
+4. Then every pair that shares a signature and lies in different components is a candidate still, so no
+   link between components is missed. Of these, pairs go that two exact bounds rule out: with all
+   shingles ordered by rarity, linked sets share one of their first few, and its places bound what they
+   can have in common (prefix and position filter).
+5. Candidates are checked exactly on the shingles of their whole texts.
 
 Signatures only propose; false ones are thrown out by the check.
 """
@@ -29,16 +33,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, slices
 from paperloom.llm.components import components
 
 WORDS = 4
 PERCENT = 85
 #: Words whose hash a worker remembers.
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
 _U = np.uint64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], dtype=np.uint64)
 
@@ -133,7 +137,7 @@ def _signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         n, hi, lo = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text, words)
@@ -145,18 +149,15 @@ def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Recor
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(ids), 200):
-            sigs = [_signatures(shingles(t, words), percent) for t in texts[at : at + 200]]
-            owners = np.repeat(np.array(ids[at : at + 200], np.int64), [len(s) for s in sigs])
-            flat = np.concatenate(sigs).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(owners)], names=["sig", "doc"])
+    for batch in slices(batches):
+        sigs = [_signatures(shingles(t, words), percent) for t in batch.column(1).to_pylist()]
+        owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sigs])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(owners)], names=["sig", "doc"])
 
 
 def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen = lru_cache(64)(lambda text: shingles(text, words))
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             x, y = seen(ta), seen(tb)
@@ -165,6 +166,13 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners)], names=["token", "doc"])
+
+
 def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, as a written table."""
     ta = texts.select(F.col("doc_id").alias("ia"), F.col("text").alias("text_a"))
@@ -174,6 +182,65 @@ def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     return materialize(x.mapInArrow(lambda it: _linked(it, words, percent), "a long, b long"), "checked")
 
 
+#: Rounds of comparing with hubs before what is left is compared pair by pair.
+HUB_ROUNDS = 3
+#: Signatures that a document must share with a hub to be compared with it in a round; fewer are most often chance.
+HUB_SHARED = 3
+def _of_sig() -> WindowSpec:
+    return Window.partitionBy("sig")
+
+
+
+def _mixed(shared: DataFrame, found: DataFrame | None) -> DataFrame:
+    """(sig, doc, comp, members) of the signatures that documents of several components share, as a written table."""
+    if found is None:
+        return shared.withColumns({"comp": F.col("doc"), "members": F.lit(1).cast("long")})
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
+    c = materialize(found.join(sizes, "component").select("node", "component", "members"), "members")
+    x = shared.join(c, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    x = x.withColumns({"lo": F.min("comp").over(_of_sig()), "hi": F.max("comp").over(_of_sig())}).where("lo <> hi")
+    return materialize(x.select("sig", "doc", "comp", "members"), "mixed")
+
+
+def _hub_pairs(mixed: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """(a, b): for each document b the hub a, not of its component and not met before, with which it shares most signatures."""
+    hub = F.max(F.struct("members", (-F.col("doc")).alias("less"), "comp")).over(_of_sig())
+    x = mixed.withColumn("hub", hub).where(F.col("hub.comp") != F.col("comp"))
+    x = x.groupBy(F.col("doc").alias("b"), (-F.col("hub.less")).alias("a")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB_SHARED)
+    if tested is not None:
+        x = x.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    best = x.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("less"))).alias("m"))
+    return materialize(best.select((-F.col("m.less")).alias("a"), "b"), "hubs")
+
+
+def _close_pairs(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) across components that pass the prefix and position filters and share a signature."""
+    docs = materialize(mixed.groupBy("doc", "comp").agg(F.collect_list("sig").alias("sigs")), "unsettled")
+    held = texts.join(docs.select(F.col("doc").alias("d")), F.col("doc_id") == F.col("d"), "left_semi")
+    tokens = materialize(held.mapInArrow(lambda it: _tokens(it, words), "token long, doc long"), "tokens")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("token").alias("t"), "df")
+    # Tokens of one document only stand first in the order and match nothing: a number says how many.
+    common = tokens.join(materialize(counts, "token_counts"), F.col("token") == F.col("t")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    sizes = tokens.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumnRenamed("doc", "sd")
+    x = common.join(sizes, F.col("doc") == F.col("sd")).select("doc", "n", "ordered", (F.col("n") - F.size("ordered")).alias("alone"))
+    # Of n tokens a linked set has at least percent per cent: it has one of the first n - that + 1.
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - F.col("alone")
+    x = x.where(prefix > 0).select("doc", "n", "alone", F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("at", "o"))
+    x = x.select("doc", "n", (F.col("at") + F.col("alone")).alias("pos"), F.col("o.token").alias("token"))
+    x = x.join(docs.select(F.col("doc").alias("cd"), "comp"), F.col("doc") == F.col("cd")).drop("cd")
+    of_token = Window.partitionBy("token")
+    x = x.withColumns({"lo": F.min("comp").over(of_token), "hi": F.max("comp").over(of_token)}).where("lo <> hi").drop("lo", "hi")
+    x = materialize(x, "prefixes")
+    a = x.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("token").alias("tok_a"))
+    b = x.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("token").alias("tok_b"))
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    pairs = a.join(b, (F.col("tok_a") == F.col("tok_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
+    sa, sb = docs.select(F.col("doc").alias("da"), F.col("sigs").alias("sa")), docs.select(F.col("doc").alias("db"), F.col("sigs").alias("sb"))
+    pairs = pairs.join(sa, F.col("a") == F.col("da")).join(sb, F.col("b") == F.col("db")).where(F.arrays_overlap("sa", "sb"))
+    return materialize(pairs.select("a", "b"), "pairs")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links, its own included) of every row.
 
@@ -189,23 +256,22 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = classes.select(F.col("first").alias("f")).distinct()
     texts = x.join(firsts, F.col("doc_id") == F.col("f"), "left_semi")
     signed = texts.mapInArrow(lambda it: _signed(it, words, percent), "sig long, doc long")
-    of_sig = Window.partitionBy("sig")
-    shared = signed.select("sig", "doc", F.min("doc").over(of_sig).alias("hub"), F.max("doc").over(of_sig).alias("last"))
-    shared = materialize(shared.where("hub <> last").select("sig", "doc", "hub").distinct(), "shared")
-    hubs = materialize(shared.where("doc <> hub").groupBy("doc").agg(F.min("hub").alias("a")).select("a", F.col("doc").alias("b")), "hubs")
-    links = _check(hubs, x, words, percent)
-    found = materialize(components(links), "components")
-    # What shares a signature across components.
-    c = found.select("node", "component")
-    placed = shared.join(c, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed = placed.select("sig", "doc", "comp", F.min("comp").over(of_sig).alias("lo"), F.max("comp").over(of_sig).alias("hi")).where("lo <> hi").select("sig", "doc", "comp")
-    mixed = materialize(mixed, "mixed")
-    left, right = mixed.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca")), mixed.select(F.col("sig").alias("sig2"), F.col("doc").alias("b"), F.col("comp").alias("cb"))
-    pairs = left.join(right, (F.col("sig") == F.col("sig2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct()
-    pairs = materialize(pairs.join(hubs, ["a", "b"], "left_anti"), "pairs")
-    more = _check(pairs, x, words, percent)
-    if not more.isEmpty():
-        found = materialize(components(links.union(more)), "components")
+    ends = signed.select("sig", "doc", F.min("doc").over(_of_sig()).alias("lo"), F.max("doc").over(_of_sig()).alias("hi"))
+    shared = materialize(ends.where("lo <> hi").select("sig", "doc").distinct(), "shared")
+    found, tested, links = None, None, None
+    for _ in range(HUB_ROUNDS):
+        pairs = _hub_pairs(_mixed(shared, found), tested)
+        if pairs.isEmpty():
+            break
+        new = _check(pairs, x, words, percent)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = new if links is None else links.union(new)
+        if new.isEmpty():
+            break
+        found = materialize(components(links), "components")
+    more = _check(_close_pairs(_mixed(shared, found), x, words, percent), x, words, percent)
+    if links is None or not more.isEmpty():
+        found = materialize(components(more if links is None else links.union(more)), "components")
     # Back from classes to rows.
     top = classes.join(found, F.col("first") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "first").alias("of_class"))
     top = materialize(top, "tops")

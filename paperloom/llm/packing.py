@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, slices
 from paperloom.llm.tokens import default_path, encoder
 
 WINDOW = 1024
@@ -129,7 +129,7 @@ _PIECES = "task int, doc_id long, start long, length int, ids_crc32 long, doc_to
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, end: int) -> Iterator[pa.RecordBatch]:
     """Pieces of each document; ``local`` counts those of the same length in this task."""
     task, seen, close = TaskContext.get().partitionId(), {}, end.to_bytes(4, "little")
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(ids), 256):
             rows: list[list] = [[], [], [], [], [], [], []]
@@ -153,7 +153,7 @@ _LAID = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The checksum of the pieces that were cut from a remainder; the last columns are its ids and the first token."""
-    for batch in batches:
+    for batch in slices(batches):
         columns = batch.columns
         cut, first, n = columns[7].to_pylist(), columns[8].to_pylist(), columns[2].to_pylist()
         crc = [c if x is None else zlib.crc32(x[4 * f : 4 * (f + k)]) for c, x, f, k in zip(columns[3].to_pylist(), cut, first, n, strict=True)]

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import slices
+
 _SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -227,7 +229,7 @@ def transducer(path: str) -> Transducer:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
-    for batch in batches:
+    for batch in slices(batches):
         docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(docs), 256):
             ids = [t.encode(x) for x in texts[at : at + 256]]
@@ -248,7 +250,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
-    for batch in batches:
+    for batch in slices(batches):
         texts = [None if x is None else t.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -261,7 +263,7 @@ def decode(ids: DataFrame, path: str | None = None) -> DataFrame:
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     t = transducer(path)
-    for batch in batches:
+    for batch in slices(batches):
         rows: list[list] = [[], [], [], []]
         for text in batch.column(1).to_pylist():
             ids = t.encode(text)

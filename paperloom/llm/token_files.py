@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import materialize, slices
 from paperloom.llm.tokens import default_path, encoder
 
 END_ID = 2
@@ -87,7 +87,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterato
         row = {"shard": shard, "segment": number, "doc_ids": list(docs), "doc_tokens": [len(b) // 4 for b in bodies], "n_tokens": len(ids), "block_starts": starts, "payload": payload}
         return pa.RecordBatch.from_pylist([row], schema=_SEGMENT)
 
-    for batch in batches:
+    for batch in slices(batches):
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for at in range(0, len(ids), 256):
             for doc, body in zip(ids[at : at + 256], encoder(path).encode(texts[at : at + 256]), strict=True):
@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 1):
         for row in batch.to_pylist():
             body = unpack_ids(row["payload"], row["block_starts"]).astype("<u4").tobytes()
             lengths = np.array(row["doc_tokens"], np.int64)

@@ -32,8 +32,12 @@ def test_cached_ids_equal_plain_ids(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ODD
     e = Encoder(default_path())
     assert e.encode(texts) == e.plain(texts)
-    e.known = dict.fromkeys(range(1_000_000))
-    assert e.encode(ODD) == e.plain(ODD)
+    for known in (dict.fromkeys(range(1_000_000)), e.known):
+        e.known, e.older = known, {}
+        assert e.encode(ODD) == e.plain(ODD)
+        assert e.encode(texts) == e.plain(texts)
+    e.known, e.older = {}, e.known
+    assert e.encode(texts) == e.plain(texts)
 
 
 def test_blocks_round_trip():

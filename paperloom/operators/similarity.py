@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.retrieval import dot
+from paperloom.tables import settled
 
 
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
@@ -82,16 +83,10 @@ def groups(parents: DataFrame) -> DataFrame:
 
     The rounds grow with the logarithm of the longest chain. Each ends in a checkpoint in the shared folder.
     """
-    spark = parents.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-paperloom-"))
-    x = parents.select("id", F.coalesce("parent", "id").alias("up")).checkpoint()
+    x = settled(parents.select("id", F.coalesce("parent", "id").alias("up")))
     while True:
         y = x.select(F.col("id").alias("u"), F.col("up").alias("v"))
-        x = x.join(y, F.col("up") == F.col("u"), "left").select("id", F.coalesce("v", "up").alias("next"), (F.coalesce("v", "up") != F.col("up")).alias("moved")).checkpoint()
+        x = settled(x.join(y, F.col("up") == F.col("u"), "left").select("id", F.coalesce("v", "up").alias("next"), (F.coalesce("v", "up") != F.col("up")).alias("moved")))
         done = x.where("moved").isEmpty()
         x = x.select("id", F.col("next").alias("up"))
         if done:

@@ -1,6 +1,6 @@
 """Registered queries by family; importing this package registers them all."""
 
-from paperloom.plans import analytics, catalogue, retrieval  # noqa: F401
+from paperloom.plans import analytics, catalogue, documents, retrieval  # noqa: F401
 from paperloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

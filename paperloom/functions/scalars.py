@@ -43,8 +43,8 @@ def india_day(ts: Column) -> Column:
 def highlight(text: Column, terms: Column) -> Column:
     """The text with words that start with a term of three letters or more in double asterisks. ``terms``: array of strings."""
     long = F.transform(F.filter(terms, lambda t: F.length(t) > 2), lambda t: F.regexp_replace(t, r"([^\p{L}0-9])", r"\\$1"))
-    pattern = F.concat(F.lit(r"(?i)\b((?:"), F.array_join(long, "|"), F.lit(r")[\p{L}0-9]*)"))
-    return F.when(F.size(long) > 0, F.regexp_replace(text, pattern, F.lit("**$1**"))).otherwise(text)
+    pattern = F.concat(F.lit(r"(?i)(^|[^\p{L}0-9])((?:"), F.array_join(long, "|"), F.lit(r")[\p{L}0-9]*)"))
+    return F.when(F.size(long) > 0, F.regexp_replace(text, pattern, F.lit("$1**$2**"))).otherwise(text)
 
 
 def entity_decode(text: Column) -> Column:

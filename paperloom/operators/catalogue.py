@@ -111,7 +111,7 @@ def moved_course(linked: DataFrame, reused: DataFrame) -> DataFrame:
     again = reused.select(F.col("code").alias("r_code")).distinct()
     x = linked.where(F.col("code") != F.col("p_code")).join(again, F.col("p_code") == F.col("r_code"), "left")
     x = x.withColumn("choice", F.when(F.col("r_code").isNotNull(), 0).otherwise(1))
-    return x.orderBy("choice", "code", "p_code").limit(1).select("code", "title", "p_code")
+    return x.orderBy("choice", "code", "p_code", "title").limit(1).select("code", "title", "p_code")
 
 
 def department_rollup(departments: DataFrame, counted: dict[str, DataFrame], rank: Column) -> DataFrame:

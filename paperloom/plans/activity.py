@@ -224,7 +224,7 @@ def fn8(spark, d):
     return q.select(S.describe_scope(F.col("course_code"), F.col("course_title"), F.col("semester"), F.lit(None).cast("string"), F.col("year"), F.when(F.col("unit") % 2 != 0, F.col("year") + 1)).alias("scope")).distinct()
 
 
-@query("fn10_highlight", r"SELECT doc_id, regexp_replace(left(text, 300), '(?i)\b((?:the|tion)[\p{L}0-9]*)', '**\1**', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("fn10_highlight", r"SELECT doc_id, regexp_replace(left(text, 300), '(?i)(^|[^\p{L}0-9])((?:the|tion)[\p{L}0-9]*)', '\1**\2**', 'g') AS text FROM documents WHERE lang = 'en'")
 def fn10(spark, d):
     return V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", S.highlight(F.left("text", F.lit(300)), F.array(F.lit("the"), F.lit("tion"), F.lit("of"))).alias("text"))
 

@@ -62,7 +62,7 @@ def jn6(spark, d):
     return _reused(spark, d)
 
 
-@query("jn15_moved_course", f"{WITH}, {_SCHEME}, {_REUSED}, l AS (SELECT DISTINCT s.code, s.title, q.course_code AS p_code FROM scheme s JOIN questions q ON s.title = q.course_title WHERE s.code <> q.course_code) SELECT code, title, p_code FROM l ORDER BY CASE WHEN p_code IN (SELECT code FROM reused) THEN 0 ELSE 1 END, code, p_code LIMIT 1")
+@query("jn15_moved_course", f"{WITH}, {_SCHEME}, {_REUSED}, l AS (SELECT DISTINCT s.code, s.title, q.course_code AS p_code FROM scheme s JOIN questions q ON s.title = q.course_title WHERE s.code <> q.course_code) SELECT code, title, p_code FROM l ORDER BY CASE WHEN p_code IN (SELECT code FROM reused) THEN 0 ELSE 1 END, code, p_code, title LIMIT 1")
 def jn15(spark, d):
     q = V.questions(spark, d).select(F.col("course_code").alias("p_code"), "course_title").distinct()
     s = _scheme(spark, d)

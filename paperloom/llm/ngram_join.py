@@ -16,7 +16,8 @@ sets is at least ``percent`` per cent.
    component, and the hub of a signature is from the largest component there. So a group of near copies
    costs a comparison for each member, not for each pair.
 4. Then every pair that shares a signature and lies in different components is a candidate still, so no
-   link between components is missed. Of these, pairs go that two exact bounds rule out: with all
+   link between components is missed. Of these go documents that share fewer signatures than any linked
+   pair must, and pairs that two exact bounds rule out: with all
    shingles ordered by rarity, linked sets share one of their first few, and its places bound what they
    can have in common (prefix and position filter).
 5. Candidates are checked exactly on the shingles of their whole texts.
@@ -104,12 +105,17 @@ LIGHT = 2
 def _signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The PartEnum signatures of a set for its own and the next pair of bands.
 
-    A first-level part is light when one of its subsets has fewer than ``LIGHT`` shingles. Linked sets
-    agree on a subset in at least ``spare + 1`` first-level parts, so a set with at most ``spare`` light
-    parts agrees in one that is not light (for either set, as they have the same shingles there): it can
-    leave the light ones out. A set with more light parts gives them all.
+    A subset is light when it has fewer than ``LIGHT`` shingles, a first-level part when one of its subsets
+    is. Linked sets agree on a subset in at least ``spare + 1`` first-level parts. So a set with at most
+    ``spare`` light parts agrees on a subset that is not light, and has the same shingles in the other set:
+    such a set leaves its light subsets out. A set with more light parts gives them all.
     """
-    edges, out = bands(percent), []
+    return _parts(s, percent)[0]
+
+
+def _parts(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The signatures, and how many of them at least any linked set of another class has too (one for each part that agrees and is not light)."""
+    edges, out, need = bands(percent), [], 1 << 30
     at = int(np.searchsorted(edges, len(s), "right")) - 1
     for pair in (at, at + 1):  # bands pair - 1 and pair
         k, n1, n2, k2, spare = shape(edges[pair + 1] - 1, percent)
@@ -131,9 +137,10 @@ def _signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             size = np.stack([held.sum(axis=1) - held[:, c].sum(axis=1) for c in left_out], axis=1)
         name = _mix(np.arange(subset.size, dtype=np.uint64).reshape(subset.shape) + _mix(np.array([pair + 1], np.uint64) * _U(3)))
         sigs = _mix(subset + name)
-        light = (size < LIGHT).any(axis=1)
-        out.append(sigs[~light].ravel() if light.sum() <= spare else sigs.ravel())
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        light = int((size < LIGHT).any(axis=1).sum())
+        out.append(sigs[size >= LIGHT] if light <= spare else sigs.ravel())
+        need = min(need, max(1, spare + 1 - light))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
 def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
@@ -166,9 +173,11 @@ def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+def _tokens(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of the documents that share enough signatures with other components to link with one; columns: id, text, signatures shared."""
     for batch in slices(batches):
         sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
+        sets = [s if n >= _parts(s, percent)[1] else s[:0] for s, n in zip(sets, batch.column(2).to_pylist(), strict=True)]
         owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners)], names=["token", "doc"])
 
@@ -216,8 +225,8 @@ def _hub_pairs(mixed: DataFrame, tested: DataFrame | None) -> DataFrame:
 def _close_pairs(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b) across components that pass the prefix and position filters and share a signature."""
     docs = materialize(mixed.groupBy("doc", "comp").agg(F.collect_list("sig").alias("sigs")), "unsettled")
-    held = texts.join(docs.select(F.col("doc").alias("d")), F.col("doc_id") == F.col("d"), "left_semi")
-    tokens = materialize(held.mapInArrow(lambda it: _tokens(it, words), "token long, doc long"), "tokens")
+    held = texts.join(docs.select(F.col("doc").alias("d"), F.size("sigs").alias("n")), F.col("doc_id") == F.col("d")).select("doc_id", "text", "n")
+    tokens = materialize(held.mapInArrow(lambda it: _tokens(it, words, percent), "token long, doc long"), "tokens")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("token").alias("t"), "df")
     # Tokens of one document only stand first in the order and match nothing: a number says how many.
     common = tokens.join(materialize(counts, "token_counts"), F.col("token") == F.col("t")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))

@@ -9,6 +9,13 @@ reference ``other``, which has character classes only.
 Length guards: divergence is judged only from ``MIN_WORDS`` words on, and only against a reference that
 at least ``MIN_REFERENCE_DOCS`` documents made.
 
+Common words are a small part of any text, so the word limit comes from the reference: it is
+``WORD_SHARE`` of the distance of a text without any common word of the language. On the labels of
+sf0.1 no good document of ``STEADY_WORDS`` words or more has over 0.73 of that distance, and none shorter
+has over 0.92; a shorter text is therefore held to ``WORD_SHARE_SHORT``, which hardly more than a text
+without common words exceeds. A reference with next to no common words (``MIN_COMMON_SHARE``) gives no
+limit of its own.
+
 Only DataFrame functions are used. The text is scanned twice (once for the references, once for the
 verdict), nothing but five reference rows is shuffled, and those five rows are what is broadcast.
 """
@@ -24,6 +31,10 @@ MIN_WORDS = 50
 MIN_REFERENCE_DOCS = 20
 MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.70
+WORD_SHARE = 0.80
+WORD_SHARE_SHORT = 0.99
+STEADY_WORDS = 100
+MIN_COMMON_SHARE = 0.05
 
 #: Sixteen frequent function words of each language.
 COMMON_WORDS = {
@@ -107,6 +118,12 @@ def _js(p: str, q: str) -> str:
     return f"sqrt(greatest(0D, 0.5D * aggregate(zip_with({p}, {q}, (a, b) -> struct(a AS p, b AS q)), 0D, (s, x) -> s + {half('x.p')} + {half('x.q')})))"
 
 
+def _own_limit() -> str:
+    """SQL of the word distance from ``ref_words`` to a text without common words; null if the reference has next to none itself."""
+    none = f"concat(array_repeat(0D, {N_COMMON}), array(1D))"
+    return f"CASE WHEN 1D - element_at(ref_words, -1) >= {MIN_COMMON_SHARE}D THEN {_js(none, 'ref_words')} END"
+
+
 def _repeat_words() -> str:
     """SQL: words inside 3-word windows that are found twice or more in the text."""
     hashes = "CASE WHEN size(__q0.words) < 3 THEN CAST(array() AS ARRAY<BIGINT>) ELSE transform(sequence(0, size(__q0.words) - 3), i -> xxhash64(__q0.words[i], __q0.words[i + 1], __q0.words[i + 2])) END"
@@ -127,12 +144,14 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     refs = language_references(docs, text_col, lang_col) if references is None else references
     chars, words = _shares()
     x = _with_histograms(docs, text_col, lang_col)
-    refs = refs.select(*[F.col(c).alias(f"__{c}") for c in ("ref_lang", "ref_docs", "ref_chars", "ref_words")])
+    refs = refs.select(*[F.col(c).alias(f"__{c}") for c in ("ref_lang", "ref_docs", "ref_chars", "ref_words")], F.expr(_own_limit()).alias("__ref_none"))
     x = x.join(F.broadcast(refs), F.col("__q0.lang") == F.col("__ref_lang"), "left")  # five rows at most
     lines = let("filter(split(__q0.text, '\\n'), l -> length(btrim(l, ' \\t\\n\\u000b\\f\\r')) > 0)", "l", "CAST(size(l) - size(array_distinct(l)) AS BIGINT)")
     x = bind(x, "__q2", f"struct({lines} AS n_dup_lines, {_repeat_words()} AS n_repeat_words)")
     judged = f"__q1.n_words >= {MIN_WORDS} AND __ref_docs >= {MIN_REFERENCE_DOCS}"
     x = bind(x, "__q3", f"struct(CASE WHEN {judged} THEN {_js(chars, '__ref_chars')} END AS c, CASE WHEN {judged} AND __q0.lang <> 'other' THEN {_js(words, '__ref_words')} END AS w)")
+    # least() passes over a null.
+    word_limit = f"least({max_word_distance}D, __ref_none * CASE WHEN __q1.n_words >= {STEADY_WORDS} THEN {WORD_SHARE}D ELSE {WORD_SHARE_SHORT}D END)"
     failed = f"(__q1.n_words < {MIN_WORDS} OR 100 * __q2.n_repeat_words > 50 * __q1.n_words)"
     x = bind(
         x,
@@ -140,10 +159,10 @@ def with_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         (
             "struct(__q1.n_words AS n_words, __q1.n_chars - __q1.n_space AS word_chars, __q1.n_symbols AS n_symbols, __q2.n_dup_lines AS n_dup_lines, __q2.n_repeat_words AS n_repeat_words, "
             f"{failed} AS base_failed, __q3.c AS char_distance, __q3.w AS word_distance, "
-            f"NOT {failed} AND coalesce(__q3.c <= {max_char_distance}D, true) AND coalesce(__q3.w <= {max_word_distance}D, true) AS kept)"
+            f"NOT {failed} AND coalesce(__q3.c <= {max_char_distance}D, true) AND coalesce(__q3.w <= {word_limit}, true) AS kept)"
         ),
     )
-    return x.drop("__q0", "__q1", "__q2", "__q3", "__ref_lang", "__ref_docs", "__ref_chars", "__ref_words")
+    return x.drop("__q0", "__q1", "__q2", "__q3", "__ref_lang", "__ref_docs", "__ref_chars", "__ref_words", "__ref_none")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -44,5 +45,20 @@ def test_divergence_rejects_junk_and_keeps_prose(spark, sf_dir):
     assert -1 not in kept and len(kept) > 100
 
 
+def test_words_alone_reject_junk_of_usual_characters(spark):
+    """Prose and junk have the same words but for the common ones, so the character classes can't tell them apart."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8)))
+    common = "the of and to in a is that for it with on was by this from".split()
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.25 else word() for _ in range(n))
+    junk = lambda n: " ".join(word() for _ in range(n))
+    german = " ".join(rng.choice(["der", "die", "und", "den"]) if rng.random() < 0.25 else word() for _ in range(300))
+    rows = [(i, prose(300)) for i in range(60)] + [(100 + i, prose(55)) for i in range(40)]
+    bad = [(200, junk(300)), (201, junk(60)), (202, german)]
+    got = {r.doc_id: r for r in quality_rules(docs(spark, rows + bad)).collect()}
+    assert not any(r.base_failed or r.char_distance > 0.28 for r in got.values())
+    assert {i for i, r in got.items() if not r.kept} == {200, 201, 202}
+
+
 def test_filter_returns_the_columns_it_got(spark):
     assert quality_filter(crowded(odd(spark))).columns == crowded(odd(spark)).columns

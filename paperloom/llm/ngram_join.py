@@ -250,6 +250,35 @@ def _close_pairs(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -
     return materialize(pairs.select("a", "b"), "pairs")
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (doc_id, text) with the hash of their sets."""
+    for batch in slices(batches):
+        h = next(_classes(iter([batch]), words))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), h.column(2), h.column(3)], names=["doc_id", "text", "th", "tl"])
+
+
+def _repeated_ids(x: DataFrame, named: DataFrame, classes: DataFrame, again: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes with their nodes, one text for each node, links) where the ids ``again`` come in several rows.
+
+    A class is one node. It is named by its first id, or, where that id is repeated and so may be the first
+    of several classes, by a number below all ids. The nodes of one id are linked.
+    """
+    numbered = materialize(classes.join(again, F.col("first") == F.col("r"), "left").withColumn("k", F.monotonically_increasing_id()), "numbered")
+    below = numbered.agg(F.min("first").alias("below"))
+    node = F.when(F.col("r").isNull(), F.col("first")).otherwise(F.col("below") - 1 - F.col("k"))
+    classes = materialize(numbered.crossJoin(F.broadcast(below)).select("hi", "lo", "first", "members", node.alias("node_of"), F.col("r").isNotNull().alias("made")), "classes")  # one row
+    rows = x.join(again, F.col("doc_id") == F.col("r"), "left_semi").mapInArrow(lambda it: _hashed(it, words), "doc_id long, text string, th long, tl long")
+    of_class = classes.where("made").select("hi", "lo", F.col("first").alias("f"), "node_of")
+    held = rows.join(of_class, (F.col("doc_id") == F.col("f")) & (F.col("th") == F.col("hi")) & (F.col("tl") == F.col("lo")))
+    held = materialize(held.groupBy(F.col("node_of").alias("doc_id")).agg(F.min("text").alias("text")), "repeated_texts")
+    texts = x.join(again, F.col("doc_id") == F.col("r"), "left_anti").unionByName(held)
+    mine = named.join(again, F.col("doc_id") == F.col("r"), "left_semi").select("doc_id", "hi", "lo").distinct()
+    mine = materialize(mine.join(classes.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "node_of"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("doc_id", "node_of"), "nodes_of_ids")
+    least = mine.groupBy(F.col("doc_id").alias("d")).agg(F.min("node_of").alias("a"))
+    links = mine.join(least, F.col("doc_id") == F.col("d")).where("a <> node_of").select("a", F.col("node_of").alias("b"))
+    return classes, texts, materialize(links, "id_links")
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links, its own included) of every row.
 
@@ -260,14 +289,20 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = materialize(x.mapInArrow(lambda it: _classes(it, words), "doc_id long, n_shingles long, hi long, lo long"), "sets")
     named = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = materialize(named.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")), "classes")
+    classes = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
+    again = materialize(named.groupBy(F.col("doc_id").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r"), "repeated")
     # Documents of the classes; a class of one is its own.
-    firsts = classes.select(F.col("first").alias("f")).distinct()
+    if again.isEmpty():
+        classes, links, found = materialize(classes.withColumn("node_of", F.col("first")), "classes"), None, None
+    else:
+        classes, x, links = _repeated_ids(x, named, classes, again, words)
+        found = materialize(components(links), "components")
+    firsts = classes.select(F.col("node_of").alias("f"))
     texts = x.join(firsts, F.col("doc_id") == F.col("f"), "left_semi")
     signed = texts.mapInArrow(lambda it: _signed(it, words, percent), "sig long, doc long")
     ends = signed.select("sig", "doc", F.min("doc").over(_of_sig()).alias("lo"), F.max("doc").over(_of_sig()).alias("hi"))
     shared = materialize(ends.where("lo <> hi").select("sig", "doc").distinct(), "shared")
-    found, tested, links = None, None, None
+    tested = None
     for _ in range(HUB_ROUNDS):
         pairs = _hub_pairs(_mixed(shared, found), tested)
         if pairs.isEmpty():
@@ -282,9 +317,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if links is None or not more.isEmpty():
         found = materialize(components(more if links is None else links.union(more)), "components")
     # Back from classes to rows.
-    top = classes.join(found, F.col("first") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.coalesce("component", "first").alias("of_class"))
+    top = classes.join(found, F.col("node_of") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first", F.coalesce("component", "node_of").alias("of_class"))
     top = materialize(top, "tops")
+    if not again.isEmpty():
+        # Nodes of repeated ids are no ids: the component's name is the smallest id of its classes.
+        names = top.groupBy(F.col("of_class").alias("c")).agg(F.min("first").alias("least"))
+        top = materialize(top.join(names, F.col("of_class") == F.col("c")).select("h", "l", F.col("least").alias("of_class")), "named_tops")
     out = sets.join(top, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    if not again.isEmpty():
+        # A blank text is of the component of the id's other texts.
+        of_id = named.join(again, F.col("doc_id") == F.col("r"), "left_semi").join(top, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).groupBy(F.col("doc_id").alias("o")).agg(F.min("of_class").alias("of_id"))
+        out = out.join(of_id, F.col("doc_id") == F.col("o"), "left").withColumn("of_class", F.coalesce("of_class", "of_id"))
     return out.select("doc_id", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"))
 
 

@@ -75,6 +75,22 @@ def test_odd_rows(spark):
     assert kept.columns == crowded(odd(spark)).columns
 
 
+def test_ids_that_come_again(spark):
+    rng = random.Random(8)
+    w = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 240, 6):
+        a = w(23)
+        # 20 shingles of which 18 are found in the copy without the last two words: 90 per cent.
+        rows += [(i + 1, " ".join(a)), (i + 1, " ".join(a)), (i, " ".join(a[:-2]))]
+        # Two texts under one id, each a near copy of another id's; an equal text under a third; a blank one.
+        b, c = w(63), w(30)
+        rows += [(i + 4, " ".join(b)), (i + 4, " ".join(c)), (i + 2, " ".join(b[:-8])), (i + 3, " ".join([*c[:-1], "x"])), (i + 5, "  ".join(c)), (i + 4, " ")]
+    want = check(docs(spark, rows))
+    assert all(x[3] in (x[1], x[1] // 6 * 6, x[1] // 6 * 6 + 2) for x in want) and sum(x[1] != x[3] for x in want) == 280
+    check(docs(spark, rows), 5, 80)
+
+
 def test_linked_sets_share_a_signature():
     rng = random.Random(5)
     for _ in range(1500):

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from paperloom import views as V
 from paperloom.functions import scalars as S
+from paperloom.llm.common import scratch_dir
 from paperloom.operators import activity as ACT
 from paperloom.operators import analytics as A
 from paperloom.operators import assistant as AST
@@ -143,11 +144,17 @@ def str2s(spark, d):
     e = V.table(spark, d, "events")
     s = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     s = s.select(F.col("ts").cast("timestamp").alias("ts"), "user_id").withWatermark("ts", "60 days")
-    name = f"rates_{abs(hash((d, id(spark))))}"
     out = ACT.rate_audit(s, "user_id", "15 minutes", 1)
-    q = out.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-paperloom-")).trigger(availableNow=True).start()
-    q.awaitTermination(300)
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    base, written = f"{scratch_dir(spark)}/paperloom-rates-{uuid.uuid4().hex}", []
+
+    def write(batch, epoch):
+        # Each batch is the whole result so far; the last one counts.
+        batch.write.mode("overwrite").parquet(f"{base}/{epoch}")
+        written.append(f"{base}/{epoch}")
+
+    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rates = spark.read.schema(out.schema).parquet(written[-1]) if written else spark.createDataFrame([], out.schema)
+    return rates.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("str4_live_allowance_batch", "SELECT event_id AS request_id, place, place <= 2 AS ok FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, (ts + INTERVAL '330 minutes')::DATE ORDER BY ts, event_id) AS place FROM events)")

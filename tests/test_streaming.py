@@ -30,6 +30,19 @@ def test_stream_of_rates_equals_its_batch(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, spark.table("rates").collect())) == sorted(map(tuple, rate_audit(e, "user_id", "15 minutes", 1).collect()))
 
 
+def test_rate_stream_query_reads_what_the_stream_wrote(spark, sf_dir, monkeypatch):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from paperloom import plans
+
+    waits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, *limit: waits.append(limit) or wait(self, *limit))
+    got = plans.QUERIES["str2_rate_stream"](spark, sf_dir)
+    assert waits == [()] and got.inputFiles()
+    want = plans.QUERIES["str2_rate_audit"](spark, sf_dir)
+    assert got.count() == want.count() and got.agg(F.sum("n")).first() == V.events(spark, sf_dir).agg(F.count(F.lit(1))).first()
+
+
 def test_live_allowance(spark, sf_dir, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     e = V.events(spark, sf_dir).select("user_id", F.col("event_id").alias("request_id"), "ts")

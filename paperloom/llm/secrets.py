@@ -24,8 +24,8 @@ KINDS = [
     ("access", r"(AKIA[A-Z0-9]+)", 1, 20),
     ("hex", r"([0-9a-f]{24,})", 1, 24),
 ]
-#: Bare tokens: runs of 16 to 200 characters that hold a digit; longer runs are data rather than keys.
-BARE = ("owned", r"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,200}(?![A-Za-z0-9+/_-]))", 1, 16)
+#: Bare tokens: runs of 16 characters or more; ownership and looks decide on long ones too.
+BARE = ("owned", r"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))", 1, 16)
 #: A value with this many distinct owners or more is a widely copied example.
 COPIED_OWNERS = 3
 MIN_DISTINCT_CHARS = 8

@@ -47,6 +47,14 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert text[1] == "use [SECRET] here" and text[10] == f"see {copied} there" and text[20] == "[EXAMPLE]"
 
 
+def test_ownership_decides_on_long_tokens_too(spark):
+    live, copied = "q7Rw2Zk9Lm" * 40, "p0Oi9Uy8Tr" * 40
+    rows = [(1, f"use {live} here", "en", "a")] + [(10 + i, f"see {copied} there", "en", f"s{i}") for i in range(3)]
+    assert {r.doc_id: r.spans for r in scan_secrets(docs(spark, rows)).collect()} == {1: "owned:4:404", 10: "", 11: "", 12: ""}
+    text = {r.doc_id: r.text for r in redact_secrets(docs(spark, rows)).collect()}
+    assert text[1] == "use [SECRET] here" and text[10] == f"see {copied} there"
+
+
 def test_redaction_merges_overlaps_and_keeps_columns(spark):
     d = crowded(docs(spark, [(1, "x token = '" + "0a" * 20 + "' y"), (2, None), (3, "plain")]))
     out = redact_secrets(d)

@@ -140,7 +140,7 @@ def doc19(spark, d):
 def doc5(spark, d):
     """Texts whose lines are given numbers and parts become papers; what the scan accepts comes out as question rows."""
     t = V.texts(spark, d)
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(F.when(i % 2 == 0, F.concat(F.floor(i / 2) + 1, F.lit(". "))).otherwise("a) "), F.substring(l, 1, 300), F.lit("\t(05)"))), "\n")
+    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.concat(F.when(i % 2 == 0, F.concat(F.floor(i / 2) + 1, F.lit(". "))).otherwise("a) "), l, F.lit("\t(05)"))), "\n")
     pages = t.select("document_id", F.lit(1).alias("page"), numbered.alias("text"))
     x = D.leaves(D.nodes(D.accepted_lines(D.lines(pages))))
     return x.select("document_id", "ord", "label", "marks", F.length("text").alias("n_chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ WS = r"\x20\x09-\x0D"
 BATCH_ROWS = 1000
 
 _own_scratch: dict[str, str] = {}
+#: Where the scratch tables of this driver are that it still holds.
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -33,23 +36,42 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_scratch[app]
 
 
+#: Settings that hold while a scratch table is written: shuffle files go once the table is there.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran, and what a task numbered
-    or drew stays as it was written.
+    or drew stays as it was written. ``discard`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
     # Texts can be long: few of them to a batch bound what a Python worker holds.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS)
+    held = int(spark.conf.get(rows))
+    wanted = _WRITING | {rows: str(min(held, BATCH_ROWS) if held > 0 else BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(rows, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove tables that ``materialize`` returned and that no result is still to be read from."""
+    for df in tables:
+        path = _written.pop(df, None) if df is not None else None
+        if path is not None:
+            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:

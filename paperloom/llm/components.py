@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import discard, materialize
 
 
 def _jump(parents: DataFrame) -> DataFrame:
     """(node, parent) with every parent a root. Parents are never larger than their nodes, so the paths end."""
+    held = parents
     while True:
         up = parents.select(F.col("node").alias("u"), F.col("parent").alias("v"))
         moved = parents.join(up, F.col("parent") == F.col("u"), "left").select("node", F.coalesce("v", "parent").alias("next"), (F.coalesce("v", "parent") != F.col("parent")).alias("moved"))
         moved = materialize(moved, "jump")
-        parents = moved.select("node", F.col("next").alias("parent"))
+        discard(held)
+        held, parents = moved, moved.select("node", F.col("next").alias("parent"))
         if moved.where("moved").isEmpty():
             return parents
 
@@ -38,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         ra = roots.select(F.col("node").alias("na"), F.col("parent").alias("pa"))
         rb = roots.select(F.col("node").alias("nb"), F.col("parent").alias("pb"))
         e = edges.join(ra, F.col("a") == F.col("na")).join(rb, F.col("b") == F.col("nb")).where("pa <> pb")
-        edges = materialize(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        last, edges = edges, materialize(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(last)
     if found is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found.select("node", F.col("parent").alias("component"))

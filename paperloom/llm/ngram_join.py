@@ -3,26 +3,31 @@
 A document is the set of its distinct word shingles. Documents link when the Jaccard similarity of their
 sets is at least ``percent`` per cent.
 
-1. Equal sets form classes (one aggregation by a 128-bit hash); only the smallest id of a class goes on.
-2. Sizes are cut into bands so wide that a linked pair is in one band or in two neighbouring ones. For
+1. Equal sets form classes (one aggregation by a 128-bit hash), and a class is one node from there on.
+2. A linked set has at least ``percent`` per cent of its shingles in common with another class. So a class
+   goes on only if at most the rest of its shingles are its alone; it is enough to count them in a fixed
+   part of the shingle domain (``_part_of_domain``). Most documents of a mixed corpus end here, with their class.
+3. Sizes are cut into bands so wide that a linked pair is in one band or in two neighbouring ones. For
    each pair of neighbouring bands the similarity bounds the number of differing shingles by some ``k``.
    The shingle domain is dealt by hash into ``n1`` first-level and each of these into ``n2`` second-level
    parts. At most ``k // (k2 + 1)`` first-level parts can hold more than ``k2`` differences, so any other
    one agrees on some ``n2 - k2`` of its second-level parts: a signature is the hash of what a set has in
    such a subset, and linked sets share one. ``spare`` additional first-level parts make so many agree
-   that signatures with next to no shingle in them can be left out (``_signatures`` says when).
-3. Documents that share a signature are candidates. In a few rounds every document is compared with one
-   hub, that of the hubs of its signatures with which it shares most of them; what links is one
+   that a set can leave out its smallest signatures (``_parts`` says how).
+4. Documents that share a signature are candidates. In a few rounds every document is compared with a
+   few hubs, those of the hubs of its signatures with which it shares most of them; what links is one
    component, and the hub of a signature is from the largest component there. So a group of near copies
    costs a comparison for each member, not for each pair.
-4. Then every pair that shares a signature and lies in different components is a candidate still, so no
+5. Then every pair that shares a signature and lies in different components is a candidate still, so no
    link between components is missed. Of these go documents that share fewer signatures than any linked
    pair must, and pairs that two exact bounds rule out: with all
    shingles ordered by rarity, linked sets share one of their first few, and its places bound what they
    can have in common (prefix and position filter).
-5. Candidates are checked exactly on the shingles of their whole texts.
+6. Candidates are checked exactly on the shingles of their whole texts.
 
-Signatures only propose; false ones are thrown out by the check.
+Signatures only propose; false ones are thrown out by the check. Shingles are told apart by 64-bit hashes.
+Nothing is grouped into one task: what is worked out for a signature or a shingle is a sum, least or
+greatest value, taken in the map tasks first, and goes back to the rows by a join that AQE can split.
 """
 
 from __future__ import annotations
@@ -34,10 +39,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, slices
+from paperloom.llm.common import discard, materialize, slices
 from paperloom.llm.components import components
 
 WORDS = 4
@@ -95,26 +100,19 @@ def shape(largest: int, percent: int) -> tuple[int, int, int, int, int]:
     if k <= 3:
         return k, 1, k + 3, k, 0
     least = k // 2 + 1
-    spare = max(1, -(-least // 8))
+    spare = max(1, -(-least // 4))
     return k, least + spare, 3, 1, spare
 
 
-LIGHT = 2
+def _parts(s: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """The PartEnum signatures of a set for its own and the next pair of bands, and how many of them it must share with a set it links with.
 
-
-def _signatures(s: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The PartEnum signatures of a set for its own and the next pair of bands.
-
-    A subset is light when it has fewer than ``LIGHT`` shingles, a first-level part when one of its subsets
-    is. Linked sets agree on a subset in at least ``spare + 1`` first-level parts. So a set with at most
-    ``spare`` light parts agrees on a subset that is not light, and has the same shingles in the other set:
-    such a set leaves its light subsets out. A set with more light parts gives them all.
+    Linked sets agree on a subset in at least ``spare + 1`` first-level parts. A set leaves out the subsets
+    smaller than the largest size for which at most ``spare // 2`` of its parts hold one that small. Take
+    the one of two linked sets with the larger such size: in ``spare + 1 - spare // 2`` parts that agree all
+    its subsets are of that size or more, and the same subset of the other set has the same shingles, so
+    both give it.
     """
-    return _parts(s, percent)[0]
-
-
-def _parts(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The signatures, and how many of them at least any linked set of another class has too (one for each part that agrees and is not light)."""
     edges, out, need = bands(percent), [], 1 << 30
     at = int(np.searchsorted(edges, len(s), "right")) - 1
     for pair in (at, at + 1):  # bands pair - 1 and pair
@@ -137,146 +135,185 @@ def _parts(s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
             size = np.stack([held.sum(axis=1) - held[:, c].sum(axis=1) for c in left_out], axis=1)
         name = _mix(np.arange(subset.size, dtype=np.uint64).reshape(subset.shape) + _mix(np.array([pair + 1], np.uint64) * _U(3)))
         sigs = _mix(subset + name)
-        light = int((size < LIGHT).any(axis=1).sum())
-        out.append(sigs[size >= LIGHT] if light <= spare else sigs.ravel())
-        need = min(need, max(1, spare + 1 - light))
+        least = np.sort(size.min(axis=1))[spare // 2]
+        out.append(sigs[size >= least])
+        need = min(need, spare + 1 - spare // 2)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), need
 
 
-def _classes(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        n, hi, lo = [], [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text, words)
-            h = xxhash.xxh3_128_digest(s.tobytes())
-            n.append(len(s))
-            hi.append(int.from_bytes(h[:8], "little", signed=True))
-            lo.append(int.from_bytes(h[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["doc_id", "n_shingles", "hi", "lo"])
+def _part_of_domain(percent: int) -> int:
+    """Shingles below this hash are counted: somewhat more of them than a linked set can have alone."""
+    return min((1 << 64) - 1, int(1.6 * (100 - percent) / 100 * (1 << 64)))
 
 
-def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sigs = [_signatures(shingles(t, words), percent) for t in batch.column(1).to_pylist()]
-        owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sigs])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(owners)], names=["sig", "doc"])
-
+def _hash(s: np.ndarray) -> tuple[int, int]:
+    h = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
-def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    seen = lru_cache(64)(lambda text: shingles(text, words))
-    for batch in slices(batches):
-        keep = []
-        for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = seen(ta), seen(tb)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
-def _tokens(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The shingles of the documents that share enough signatures with other components to link with one; columns: id, text, signatures shared."""
-    for batch in slices(batches):
-        sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
-        sets = [s if n >= _parts(s, percent)[1] else s[:0] for s, n in zip(sets, batch.column(2).to_pylist(), strict=True)]
-        owners = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(owners)], names=["token", "doc"])
 
+_SETS = "doc_id long, n_shingles long, hi long, lo long, counted array<long>"
 
-def _check(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, as a written table."""
-    ta = texts.select(F.col("doc_id").alias("ia"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc_id").alias("ib"), F.col("text").alias("text_b"))
-    # Rows are still small where a hub meets its text, and the second join deals by the other document.
-    x = pairs.join(ta, F.col("a") == F.col("ia")).select("a", "b", "text_a").join(tb, F.col("b") == F.col("ib")).select("a", "b", "text_a", "text_b")
-    return materialize(x.mapInArrow(lambda it: _linked(it, words, percent), "a long, b long"), "checked")
 
+def _sets(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Size and hash of each text's set, and its shingles in the part of the domain that is counted."""
+    below = _U(_part_of_domain(percent))
+    for batch in slices(batches):
+        n, hi, lo, counted = [], [], [], []
+        for text in batch.column(1).to_pylist():
+            s = shingles(text, words)
+            h = _hash(s)
+            n.append(len(s))
+            hi.append(h[0])
+            lo.append(h[1])
+            counted.append(s[: np.searchsorted(s, below)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(counted)], names=["doc_id", "n_shingles", "hi", "lo", "counted"])
 
-#: Rounds of comparing with hubs before what is left is compared pair by pair.
-HUB_ROUNDS = 3
-#: Signatures that a document must share with a hub to be compared with it in a round; fewer are most often chance.
-HUB_SHARED = 3
-def _of_sig() -> WindowSpec:
-    return Window.partitionBy("sig")
 
+_SIGNED = "node long, n long, need int, shingles array<long>, sigs array<long>"
 
 
-def _mixed(shared: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(sig, doc, comp, members) of the signatures that documents of several components share, as a written table."""
+def _signed(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Shingles and signatures of the rows (node, hi, lo, text) whose text is that class's; one id can have texts of several classes."""
+    for batch in slices(batches):
+        nodes, need, sets, sigs = [], [], [], []
+        for node, hi, lo, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            s = shingles(text, words)
+            if _hash(s) == (hi, lo):
+                signatures, least = _parts(s, percent)
+                nodes.append(node)
+                need.append(min(least, 1 << 30))
+                sets.append(s)
+                sigs.append(signatures)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(need, pa.int32()), _lists(sets), _lists(sigs)], names=["node", "n", "need", "shingles", "sigs"])
+
+
+def _check(pairs: DataFrame, sets: DataFrame, percent: int, signatures_too: bool = False) -> DataFrame:
+    """The pairs (a, b) that link, as a written table; ``signatures_too``: that they share one is still to be seen."""
+    more = ["sigs"] if signatures_too else []
+    ta = sets.select(F.col("node").alias("ia"), F.col("n").alias("na"), F.col("shingles").alias("sa"), *[F.col(c).alias("ga") for c in more])
+    tb = sets.select(F.col("node").alias("ib"), F.col("n").alias("nb"), F.col("shingles").alias("sb"), *[F.col(c).alias("gb") for c in more])
+    # Rows are still small where a hub meets its set, and the second join deals by the other document.
+    x = pairs.join(ta, F.col("a") == F.col("ia")).join(tb, F.col("b") == F.col("ib"))
+    if signatures_too:
+        x = x.where(F.arrays_overlap("ga", "gb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return materialize(x.where((common > 0) & (100 * common >= percent * (F.col("na") + F.col("nb") - common))).select("a", "b"), "checked")
+
+
+#: Hubs that a document is compared with in each round, and into how many kinds signatures are dealt, each of
+#: which takes other hubs. The first round gathers most of a group; the later ones try further members for those
+#: that are close to some of the group only.
+HUB_ROUNDS = (1, 8, 8, 8)
+#: Signatures that a document must share with a hub to be compared with it; fewer are most often chance.
+HUB_SHARED = 2
+
+
+def _mixed(shared: DataFrame, found: DataFrame | None, turn: int = 0) -> DataFrame:
+    """(sig, node, n, comp, hub) of the signatures that nodes of several components share, as a written table.
+
+    ``hub`` (node, n, comp) of a signature is a node of the largest component there: of the nodes that have the
+    signature, the first in an order that changes with ``turn`` and the kind of signature.
+    """
     if found is None:
-        return shared.withColumns({"comp": F.col("doc"), "members": F.lit(1).cast("long")})
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    c = materialize(found.join(sizes, "component").select("node", "component", "members"), "members")
-    x = shared.join(c, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
-    x = x.withColumns({"lo": F.min("comp").over(_of_sig()), "hi": F.max("comp").over(_of_sig())}).where("lo <> hi")
-    return materialize(x.select("sig", "doc", "comp", "members"), "mixed")
-
-
-def _hub_pairs(mixed: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """(a, b): for each document b the hub a, not of its component and not met before, with which it shares most signatures."""
-    hub = F.max(F.struct("members", (-F.col("doc")).alias("less"), "comp")).over(_of_sig())
-    x = mixed.withColumn("hub", hub).where(F.col("hub.comp") != F.col("comp"))
-    x = x.groupBy(F.col("doc").alias("b"), (-F.col("hub.less")).alias("a")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB_SHARED)
+        x = shared.select("sig", "node", "n", F.col("node").alias("comp"), F.lit(1).cast("long").alias("members"))
+    else:
+        sizes = found.groupBy(F.col("component").alias("c")).agg(F.count(F.lit(1)).alias("members"))
+        c = found.select(F.col("node").alias("found_node"), "component").join(sizes, F.col("component") == F.col("c"))
+        x = shared.join(c, F.col("node") == F.col("found_node"), "left").select("sig", "node", "n", F.coalesce("component", "node").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"))
+    order = F.xxhash64("node", F.pmod("sig", F.lit(HUB_ROUNDS[turn])), F.lit(turn))
+    ends = x.groupBy(F.col("sig").alias("s")).agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.max(F.struct("members", "comp", order.alias("order"), "node", "n")).alias("h"))
+    ends = ends.where("first <> last").select("s", F.struct("h.node", "h.n", "h.comp").alias("hub"))
+    return materialize(x.join(ends, F.col("sig") == F.col("s")).select("sig", "node", "n", "comp", "hub"), "mixed")
+
+
+def _hub_pairs(mixed: DataFrame, tested: DataFrame | None, percent: int, hubs: int) -> DataFrame:
+    """(a, b): for each node b the ``hubs`` hubs a, not of its component and not met before, with which it shares most signatures."""
+    alike = 100 * F.least("n", "hub.n") >= percent * F.greatest("n", "hub.n")
+    x = mixed.where((F.col("hub.comp") != F.col("comp")) & alike).groupBy(F.col("node").alias("b"), F.col("hub.node").alias("a")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB_SHARED)
     if tested is not None:
         x = x.join(tested.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
-    best = x.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("less"))).alias("m"))
-    return materialize(best.select((-F.col("m.less")).alias("a"), "b"), "hubs")
-
-
-def _close_pairs(mixed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) across components that pass the prefix and position filters and share a signature."""
-    docs = materialize(mixed.groupBy("doc", "comp").agg(F.collect_list("sig").alias("sigs")), "unsettled")
-    held = texts.join(docs.select(F.col("doc").alias("d"), F.size("sigs").alias("n")), F.col("doc_id") == F.col("d")).select("doc_id", "text", "n")
-    tokens = materialize(held.mapInArrow(lambda it: _tokens(it, words, percent), "token long, doc long"), "tokens")
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("token").alias("t"), "df")
-    # Tokens of one document only stand first in the order and match nothing: a number says how many.
-    common = tokens.join(materialize(counts, "token_counts"), F.col("token") == F.col("t")).groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
-    sizes = tokens.groupBy("doc").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumnRenamed("doc", "sd")
-    x = common.join(sizes, F.col("doc") == F.col("sd")).select("doc", "n", "ordered", (F.col("n") - F.size("ordered")).alias("alone"))
+    # A node has no more hubs than signatures.
+    best = x.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.col("n").desc(), "a"))).where(F.col("place") <= hubs)
+    return materialize(best.select("a", "b"), "hubs")
+
+
+def _close_pairs(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) across components that pass the prefix and position filters."""
+    shared = mixed.groupBy(F.col("node").alias("m"), "comp").agg(F.count(F.lit(1)).alias("shared"))
+    held = sets.join(shared, (F.col("node") == F.col("m")) & (F.col("shared") >= F.col("need"))).select("node", "comp", "n", "shingles")
+    held = materialize(held, "unsettled")
+    tokens = held.select("node", "comp", "n", F.explode("shingles").alias("token"))
+    counts = tokens.groupBy(F.col("token").alias("t")).agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("first"), F.max("comp").alias("last")).where("first <> last").select("t", "df")
+    # Tokens of one component only stand first in the order and match nothing: a number says how many.
+    # A document's list is no longer than the document.
+    common = tokens.join(counts, F.col("token") == F.col("t")).groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    x = common.withColumn("alone", F.col("n") - F.size("ordered"))
     # Of n tokens a linked set has at least percent per cent: it has one of the first n - that + 1.
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1 - F.col("alone")
-    x = x.where(prefix > 0).select("doc", "n", "alone", F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("at", "o"))
-    x = x.select("doc", "n", (F.col("at") + F.col("alone")).alias("pos"), F.col("o.token").alias("token"))
-    x = x.join(docs.select(F.col("doc").alias("cd"), "comp"), F.col("doc") == F.col("cd")).drop("cd")
-    of_token = Window.partitionBy("token")
-    x = x.withColumns({"lo": F.min("comp").over(of_token), "hi": F.max("comp").over(of_token)}).where("lo <> hi").drop("lo", "hi")
-    x = materialize(x, "prefixes")
-    a = x.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"), F.col("token").alias("tok_a"))
-    b = x.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), F.col("token").alias("tok_b"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1 - F.col("alone")).cast("int")
+    x = x.where(prefix > 0).select("node", "comp", "n", "alone", F.posexplode(F.slice("ordered", F.lit(1), prefix)).alias("at", "o"))
+    x = materialize(x.select("node", "comp", "n", (F.col("at") + F.col("alone")).alias("pos"), F.col("o.token").alias("token")), "prefixes")
+    a, b = (x.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("pos").alias(f"p{k}"), F.col("comp").alias(f"c{k}"), F.col("token").alias(f"tok_{k}")) for k in "ab")
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     near = ((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    pairs = a.join(b, (F.col("tok_a") == F.col("tok_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct()
-    sa, sb = docs.select(F.col("doc").alias("da"), F.col("sigs").alias("sa")), docs.select(F.col("doc").alias("db"), F.col("sigs").alias("sb"))
-    pairs = pairs.join(sa, F.col("a") == F.col("da")).join(sb, F.col("b") == F.col("db")).where(F.arrays_overlap("sa", "sb"))
-    return materialize(pairs.select("a", "b"), "pairs")
-
-
-def _hashed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, text) with the hash of their sets."""
-    for batch in slices(batches):
-        h = next(_classes(iter([batch]), words))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), h.column(2), h.column(3)], names=["doc_id", "text", "th", "tl"])
+    pairs = materialize(a.join(b, (F.col("tok_a") == F.col("tok_b")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct(), "pairs")
+    discard(held, x)
+    return pairs
 
 
-def _repeated_ids(x: DataFrame, named: DataFrame, classes: DataFrame, again: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(classes with their nodes, one text for each node, links) where the ids ``again`` come in several rows.
+def _nodes(named: DataFrame, percent: int) -> DataFrame:
+    """(node, hi, lo, first, may_link) of each class, as a written table: its smallest id, and whether so few of its shingles are its alone that it can link.
 
-    A class is one node. It is named by its first id, or, where that id is repeated and so may be the first
-    of several classes, by a number below all ids. The nodes of one id are linked.
+    A shingle is of one class alone if the least and the greatest of its classes' hashes are the same.
     """
-    numbered = materialize(classes.join(again, F.col("first") == F.col("r"), "left").withColumn("k", F.monotonically_increasing_id()), "numbered")
-    below = numbered.agg(F.min("first").alias("below"))
-    node = F.when(F.col("r").isNull(), F.col("first")).otherwise(F.col("below") - 1 - F.col("k"))
-    classes = materialize(numbered.crossJoin(F.broadcast(below)).select("hi", "lo", "first", "members", node.alias("node_of"), F.col("r").isNotNull().alias("made")), "classes")  # one row
-    rows = x.join(again, F.col("doc_id") == F.col("r"), "left_semi").mapInArrow(lambda it: _hashed(it, words), "doc_id long, text string, th long, tl long")
-    of_class = classes.where("made").select("hi", "lo", F.col("first").alias("f"), "node_of")
-    held = rows.join(of_class, (F.col("doc_id") == F.col("f")) & (F.col("th") == F.col("hi")) & (F.col("tl") == F.col("lo")))
-    held = materialize(held.groupBy(F.col("node_of").alias("doc_id")).agg(F.min("text").alias("text")), "repeated_texts")
-    texts = x.join(again, F.col("doc_id") == F.col("r"), "left_anti").unionByName(held)
-    mine = named.join(again, F.col("doc_id") == F.col("r"), "left_semi").select("doc_id", "hi", "lo").distinct()
-    mine = materialize(mine.join(classes.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "node_of"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("doc_id", "node_of"), "nodes_of_ids")
-    least = mine.groupBy(F.col("doc_id").alias("d")).agg(F.min("node_of").alias("a"))
-    links = mine.join(least, F.col("doc_id") == F.col("d")).where("a <> node_of").select("a", F.col("node_of").alias("b"))
-    return classes, texts, materialize(links, "id_links")
+    classes = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"))
+    counted = named.select("hi", F.explode("counted").alias("token")).groupBy("token").agg(F.min("hi").alias("h"), F.max("hi").alias("other"))
+    alone = counted.where("h = other").groupBy("h").agg(F.count(F.lit(1)).alias("alone"))
+    x = classes.join(alone, F.col("hi") == F.col("h"), "left")
+    may = 100 * F.coalesce("alone", F.lit(0)) <= (100 - percent) * F.col("n")
+    return materialize(x.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "first", may.alias("may_link")), "nodes")
+
+
+def _id_links(named: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links between the nodes of each id that comes with texts of several classes."""
+    again = named.groupBy(F.col("doc_id").alias("r")).agg(*[f(F.struct("hi", "lo")).alias(k) for f, k in ((F.min, "low"), (F.max, "high"))]).where("low <> high")
+    mine = named.select("doc_id", "hi", "lo").join(again, F.col("doc_id") == F.col("r"), "left_semi").distinct()
+    mine = materialize(mine.join(nodes.select(F.col("hi").alias("h"), F.col("lo").alias("l"), "node"), (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).select("doc_id", "node"), "nodes_of_ids")
+    least = mine.groupBy(F.col("doc_id").alias("d")).agg(F.min("node").alias("a"))
+    return mine.join(least, F.col("doc_id") == F.col("d")).where("a <> node").select("a", F.col("node").alias("b"))
+
+
+def _links(x: DataFrame, nodes: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): enough of the links between nodes that their components are right, ``known`` among them."""
+    texts = x.join(nodes.where("may_link").select("node", "hi", "lo", "first"), F.col("doc_id") == F.col("first")).select("node", "hi", "lo", "text")
+    # Rows that repeat an id and its text are one.
+    signed = texts.mapInArrow(lambda it: _signed(it, words, percent), _SIGNED)
+    sets = materialize(signed.dropDuplicates(["node"]), "signed")
+    rows = sets.select("node", "n", F.explode("sigs").alias("sig"))
+    several = rows.groupBy(F.col("sig").alias("s")).agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last").select("s")
+    shared = materialize(rows.join(several, F.col("sig") == F.col("s"), "left_semi"), "shared")
+    links, found, tested = known, None if known.isEmpty() else components(known), None
+    for turn, hubs in enumerate(HUB_ROUNDS):
+        mixed = _mixed(shared, found, turn)
+        pairs = _hub_pairs(mixed, tested, percent, hubs)
+        discard(mixed)
+        if pairs.isEmpty():
+            break
+        new = _check(pairs, sets, percent)
+        tested = pairs if tested is None else tested.union(pairs)
+        links = links.union(new)
+        if not new.isEmpty():
+            found = components(links)
+    mixed = _mixed(shared, found)
+    discard(shared)
+    pairs = _close_pairs(mixed, sets, percent)
+    links = links.union(_check(pairs, sets, percent, signatures_too=True))
+    discard(mixed, pairs, sets)
+    return links
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -287,48 +324,24 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with a null id link with nothing and have a null component. An empty table gives an empty result.
     """
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = materialize(x.mapInArrow(lambda it: _classes(it, words), "doc_id long, n_shingles long, hi long, lo long"), "sets")
+    sets = materialize(x.mapInArrow(lambda it: _sets(it, words, percent), _SETS), "sets")
     named = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = named.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members"))
-    again = materialize(named.groupBy(F.col("doc_id").alias("r")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("r"), "repeated")
-    # Documents of the classes; a class of one is its own.
-    if again.isEmpty():
-        classes, links, found = materialize(classes.withColumn("node_of", F.col("first")), "classes"), None, None
-    else:
-        classes, x, links = _repeated_ids(x, named, classes, again, words)
-        found = materialize(components(links), "components")
-    firsts = classes.select(F.col("node_of").alias("f"))
-    texts = x.join(firsts, F.col("doc_id") == F.col("f"), "left_semi")
-    signed = texts.mapInArrow(lambda it: _signed(it, words, percent), "sig long, doc long")
-    ends = signed.select("sig", "doc", F.min("doc").over(_of_sig()).alias("lo"), F.max("doc").over(_of_sig()).alias("hi"))
-    shared = materialize(ends.where("lo <> hi").select("sig", "doc").distinct(), "shared")
-    tested = None
-    for _ in range(HUB_ROUNDS):
-        pairs = _hub_pairs(_mixed(shared, found), tested)
-        if pairs.isEmpty():
-            break
-        new = _check(pairs, x, words, percent)
-        tested = pairs if tested is None else tested.union(pairs)
-        links = new if links is None else links.union(new)
-        if new.isEmpty():
-            break
-        found = materialize(components(links), "components")
-    more = _check(_close_pairs(_mixed(shared, found), x, words, percent), x, words, percent)
-    if links is None or not more.isEmpty():
-        found = materialize(components(more if links is None else links.union(more)), "components")
-    # Back from classes to rows.
-    top = classes.join(found, F.col("node_of") == F.col("node"), "left").select(F.col("hi").alias("h"), F.col("lo").alias("l"), "first", F.coalesce("component", "node_of").alias("of_class"))
-    top = materialize(top, "tops")
-    if not again.isEmpty():
-        # Nodes of repeated ids are no ids: the component's name is the smallest id of its classes.
-        names = top.groupBy(F.col("of_class").alias("c")).agg(F.min("first").alias("least"))
-        top = materialize(top.join(names, F.col("of_class") == F.col("c")).select("h", "l", F.col("least").alias("of_class")), "named_tops")
-    out = sets.join(top, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
-    if not again.isEmpty():
-        # A blank text is of the component of the id's other texts.
-        of_id = named.join(again, F.col("doc_id") == F.col("r"), "left_semi").join(top, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))).groupBy(F.col("doc_id").alias("o")).agg(F.min("of_class").alias("of_id"))
-        out = out.join(of_id, F.col("doc_id") == F.col("o"), "left").withColumn("of_class", F.coalesce("of_class", "of_id"))
-    return out.select("doc_id", "n_shingles", F.coalesce("of_class", "doc_id").alias("component_id"))
+    nodes = _nodes(named, percent)
+    rows = materialize(sets.drop("counted"), "rows")
+    discard(sets)
+    named = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
+    found = components(_links(x, nodes, _id_links(named, nodes), words, percent))
+    # Back from nodes to rows; a component is named by the smallest id of its classes.
+    at = nodes.join(found.select(F.col("node").alias("f"), "component"), F.col("node") == F.col("f"), "left").select("hi", "lo", "first", F.coalesce("component", "node").alias("comp"))
+    least = at.groupBy(F.col("comp").alias("c")).agg(F.min("first").alias("named"))
+    top = materialize(at.join(least, F.col("comp") == F.col("c")).select(F.col("hi").alias("h"), F.col("lo").alias("l"), "named"), "tops")
+    discard(nodes)
+    of_class = (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l"))
+    # A blank text is of the component of the id's other texts.
+    blank = rows.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
+    of_id = named.join(blank, "doc_id", "left_semi").join(top, of_class).groupBy(F.col("doc_id").alias("o")).agg(F.min("named").alias("of_id"))
+    out = rows.join(top, of_class & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").join(of_id, (F.col("doc_id") == F.col("o")) & (F.col("n_shingles") == 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("named", "of_id", "doc_id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

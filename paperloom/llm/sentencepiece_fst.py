@@ -1,24 +1,32 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-Three machines are compiled from a model file: the normaliser (space to ``▁``, a ``▁`` before the text),
-the pieces (a trie whose paths read a piece and write its id) and the byte fallback (one character without
-a piece of its own reads as its UTF-8 bytes, at a cost that no piece has). Their composition with an input
-is walked state by state, and the shortest path in the tropical semiring (least sum of costs) is taken.
+Three machines are compiled from a model file, each into flat arrays (``Machine``: one index of arcs by state and
+label, and the output and weight of every state):
+
+* the normaliser: the model's character map (longest rule first), white space and the ``▁`` before the text;
+* the pieces: reading a piece writes its id, at its cost;
+* the byte fallback: a character without a piece of its own reads as its UTF-8 bytes, at a cost that no piece has.
+
+The normaliser is deterministic and runs first. The other two are composed with its output as they are walked,
+a state being a position and a state of the pieces, and the shortest path in the tropical semiring (least sum
+of costs) is taken.
 
 * Unigram models: a piece costs its negative log probability.
 * BPE models: a path is the model's output exactly if every two neighbouring pieces are what the merges
   make of their joint text. So pieces cost nothing, and going from one piece to the next costs nothing or
-  infinity by that rule. That makes the path unique, and a state needs to remember only its last piece.
+  infinity by that rule. Every prefix of a text has one such path, so a position remembers only its last piece.
 
-Whether two pieces can be neighbours is worked out when first asked and kept. A text is composed chunk by
-chunk, cut where no piece of the model can cross, and chunks seen before keep their path.
+Whether two pieces can be neighbours is worked out when first asked and kept. A path never crosses two
+characters that stand side by side in no piece. So a text is composed part by part, and parts seen before keep
+their path.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -31,8 +39,8 @@ from paperloom.llm.common import slices
 _SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Chunks and neighbours that a worker remembers.
-CACHE_CHUNKS = 400_000
+#: A worker remembers between one and two times so many chunks (some 200 bytes each), and eight times so many neighbours.
+CACHE_CHUNKS = 600_000
 _INF = float("inf")
 
 
@@ -70,7 +78,7 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Model:
-    """What a model file says: pieces, scores, kinds and the few settings that matter here."""
+    """What a model file says: pieces, scores, kinds and settings."""
 
     def __init__(self, raw: bytes) -> None:
         self.pieces: list[str] = []
@@ -90,126 +98,275 @@ class Model:
                 normaliser = dict(_fields(value))
         self.kind = trainer.get(3, UNIGRAM)
         self.byte_fallback = bool(trainer.get(35, 0))
+        self.character_map = bytes(normaliser.get(2, b""))
         self.dummy_prefix = bool(normaliser.get(3, 1))
-        if self.kind not in (UNIGRAM, BPE) or normaliser.get(2) or normaliser.get(4, 1) or not normaliser.get(5, 1) or trainer.get(24, 0):
-            raise ValueError("only unigram and BPE models with the identity normaliser, kept white space and space prefixes are supported")
-        if USER_DEFINED in self.kinds:
-            raise ValueError("user-defined pieces are not supported")
+        self.remove_extra_spaces = bool(normaliser.get(4, 1))
+        self.space = _SPACE if normaliser.get(5, 1) else " "
+        if self.kind not in (UNIGRAM, BPE) or trainer.get(24, 0):
+            raise ValueError("only unigram and BPE models with white space before words are supported")
+        if USER_DEFINED in self.kinds and self.kind == UNIGRAM:
+            raise ValueError("user-defined pieces are supported in BPE models only")
         self.unknown = self.kinds.index(UNKNOWN)
 
 
+def character_rules(blob: bytes) -> dict[str, str]:
+    """What a model's character map replaces by what.
+
+    The blob is the byte length of a double-array trie, its 32-bit units, and the replacements, each ended by a
+    zero byte. In a unit, bits 0 to 7 and 31 are the label, bit 8 says that a value hangs below, and bits 10 to 30
+    are the offset to the children, times 256 if bit 9 is set.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).tolist(), blob[4 + size :]
+    rules, open_nodes = {}, [(0, b"")]
+    while open_nodes:
+        at, key = open_nodes.pop()
+        unit = units[at]
+        base = at ^ ((unit >> 10) << ((unit & 512) >> 6))
+        if unit >> 8 & 1:
+            start = units[base] & 0x7FFFFFFF
+            rules[key.decode()] = texts[start : texts.index(b"\0", start)].decode()
+        open_nodes += [(base ^ c, key + bytes([c])) for c in range(1, 256) if base ^ c < len(units) and units[base ^ c] & 0x800000FF == c]
+    return rules
+
+
+class Machine:
+    """A transducer compiled from (text that it reads, what it writes, cost), in flat arrays.
+
+    States are numbers from 0, the start. ``arcs`` finds the state that a state and a label lead to;
+    ``writes`` and ``costs`` hold, for each state, what ends there (-1: nothing does).
+    """
+
+    LABELS = 0x110000
+
+    def __init__(self, paths: Iterable[tuple[str, int, float]]) -> None:
+        self.arcs: dict[int, int] = {}
+        self.writes, self.costs = array("i", [-1]), array("d", [0.0])
+        for text, out, cost in paths:
+            state = 0
+            for c in text:
+                key = state * self.LABELS + ord(c)
+                state = self.arcs.setdefault(key, len(self.writes))
+                if state == len(self.writes):
+                    self.writes.append(-1)
+                    self.costs.append(0.0)
+            self.writes[state], self.costs[state] = out, cost
+
+    def longest(self, text: str, at: int) -> tuple[int, int]:
+        """Where the longest path that reads ``text`` from ``at`` ends, and what it writes; -1 if there is none."""
+        state, best = 0, (at, -1)
+        for end in range(at, len(text)):
+            state = self.arcs.get(state * self.LABELS + ord(text[end]))
+            if state is None:
+                break
+            if self.writes[state] >= 0:
+                best = end + 1, self.writes[state]
+        return best
+
+
 class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, model: Model) -> None:
         self.model = model
         self.bpe = model.kind == BPE
-        # The piece machine: nested dicts by character; the empty key holds (id, cost) of a final state.
-        self.trie: dict = {}
-        self.id_of: dict[str, int] = {}
-        for i, (piece, kind) in enumerate(zip(model.pieces, model.kinds, strict=True)):
-            if kind == NORMAL:
-                node = self.trie
-                for c in piece:
-                    node = node.setdefault(c, {})
-                node[""] = (i, 0.0 if self.bpe else -model.scores[i])
-                self.id_of[piece] = i
-        self.bytes_of = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == BYTE}
+        kinds = list(zip(range(len(model.pieces)), model.pieces, model.kinds, strict=True))
+        self.id_of = {piece: i for i, piece, kind in kinds if kind == NORMAL}
+        self.pieces = Machine((piece, i, 0.0 if self.bpe else -model.scores[i]) for piece, i in self.id_of.items())
+        self.own_id = {piece: i for i, piece, kind in kinds if kind == USER_DEFINED}
+        # Pieces of the user stand for themselves: nothing rewrites them and nothing merges with them.
+        rules = character_rules(model.character_map) | {piece: piece for piece in self.own_id}
+        self.written_by_rule = list(rules.values())
+        self.normaliser = Machine((key, i, 0.0) for i, key in enumerate(rules)) if rules else None
+        self.starts = re.compile("[" + "".join(re.escape(c) for c in sorted({key[0] for key in rules})) + "]") if rules else None
+        self.own = re.compile("(" + "|".join(re.escape(p) for p in sorted(self.own_id, key=len, reverse=True)) + ")") if self.own_id else None
+        self.bytes_of = {int(p[3:5], 16): i for i, p, kind in kinds if kind == BYTE}
         self.fallback_cost = 10.0 - min((model.scores[i] for i in self.id_of.values()), default=0.0)
-        body = [p for p in self.id_of if p.strip(_SPACE)]
-        self.cut_at_spaces = not any(_SPACE in p.lstrip(_SPACE) for p in body)
-        self.cut_at_lines = not any("\n" in p for p in body)
-        self.written = [p.replace(_SPACE, " ").encode() if k == NORMAL else b"" for p, k in zip(model.pieces, model.kinds, strict=True)]
+        #: Characters that stand side by side in some piece.
+        self.pairs = {p[i : i + 2] for p in self.id_of for i in range(len(p) - 1)}
+        self.cut_at_spaces = not any(p[1] == model.space and p[0] != model.space for p in self.pairs)
+        #: Whether every character that a piece has is a piece too; then no path of costs 0 needs the fallback.
+        self.closed = all(c in self.id_of for p in self.id_of for c in p)
+        self.written = [p.replace(model.space, " ").encode() if k in (NORMAL, USER_DEFINED) else b"" for _, p, k in kinds]
         for value, i in self.bytes_of.items():
             self.written[i] = bytes([value])
         self.written[model.unknown] = " ⁇ ".encode()
         self.paths: dict[str, bytes] = {}
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.neighbours: dict[int, bool] = {}
+
+    def normalise(self, text: str) -> str:
+        """The text as the pieces read it."""
+        if self.normaliser is not None:
+            out, at = [], 0
+            for m in iter(lambda: self.starts.search(text, at), None):
+                out.append(text[at : m.start()])
+                at, rule = self.normaliser.longest(text, m.start())
+                if rule < 0:
+                    out.append(m[0])
+                    at = m.end()
+                else:
+                    out.append(self.written_by_rule[rule])
+            text = "".join([*out, text[at:]])
+        if self.model.remove_extra_spaces:
+            text = re.sub(" {2,}", " ", text).strip(" ")
+        prefix = " " if self.model.dummy_prefix and text else ""
+        text = (prefix + text).replace(" ", self.model.space)
+        return text.rstrip(self.model.space) if self.model.remove_extra_spaces else text
 
     def _merged(self, text: str) -> list[str]:
         """What the merges make of a short text: the best-scored pair first, the leftmost of equals."""
-        parts = list(text)
+        parts, scores = list(text), self.model.scores
         while True:
-            pairs = [(-self.model.scores[i], at) for at in range(len(parts) - 1) if (i := self.id_of.get(parts[at] + parts[at + 1])) is not None]
-            if not pairs:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                i = self.id_of.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or scores[i] > best):
+                    best, at = scores[i], k
+            if best is None:
                 return parts
-            at = min(pairs)[1]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fits(self, left: int, right: int) -> bool:
-        """Whether two pieces can be neighbours (either may be -1: a fallback or an end, which no merge crosses)."""
-        key = (left, right)
-        if key not in self.neighbours:
-            a, b = (self.model.pieces[i] if i >= 0 else "" for i in key)
-            self.neighbours[key] = self._merged(a + b) == [x for x in (a, b) if x]
-        return self.neighbours[key]
+        """Whether two pieces can be neighbours (``left`` may be -1: a fallback or the start, which no merge crosses)."""
+        a, b = (self.model.pieces[i] if i >= 0 else "" for i in (left, right))
+        return self._merged(a + b) == [x for x in (a, b) if x]
 
     def _fallback(self, char: str) -> list[int]:
         return [self.bytes_of[b] for b in char.encode("utf-8", "surrogatepass")] if self.model.byte_fallback else [self.model.unknown]
 
+    def _free_path(self, text: str) -> list[int]:
+        """The path of cost 0, depth first with long pieces first: where arcs cost 0 or infinity, the first to reach the end is the shortest."""
+        n, labels = len(text), [ord(c) for c in text]
+        arcs, writes, width, known = self.pieces.arcs, self.pieces.writes, Machine.LABELS, self.neighbours
+        seen, out, ways = [False] * (n + 1), [-1], []
+        at = 0
+        while at < n:
+            if len(ways) < len(out):  # what can be read from here
+                state, here = 0, []
+                for end in range(at, n):
+                    state = arcs.get(state * width + labels[end])
+                    if state is None:
+                        break
+                    if writes[state] >= 0:
+                        here.append((end + 1, writes[state]))
+                ways.append((at, here))
+            here, left = ways[-1][1], out[-1]
+            while here:
+                end, piece = here.pop()
+                if seen[end]:
+                    continue
+                key = (left + 1) << 32 | piece
+                fits = known.get(key)
+                if fits is None:
+                    fits = known[key] = self._fits(left, piece)
+                if fits:
+                    seen[end] = True
+                    out.append(piece)
+                    at = end
+                    break
+            else:  # a dead end: back to the state before
+                ways.pop()
+                out.pop()
+                at = ways[-1][0]
+        return out[1:]
+
     def shortest_path(self, text: str) -> list[int]:
         """Ids on the least-cost path through the composition of the normalised ``text`` and the pieces."""
-        n = len(text)
-        # State: position in the text. Kept: cost, last piece, its start, the ids that it writes.
-        best: list[tuple[float, int, int, list[int]] | None] = [None] * (n + 1)
-        best[0] = (0.0, -1, 0, [])
+        if self.bpe and self.closed and all(c in self.id_of for c in text):
+            return self._free_path(text)
+        n, labels = len(text), [ord(c) for c in text]
+        arcs, writes, costs, width, known = self.pieces.arcs, self.pieces.writes, self.pieces.costs, Machine.LABELS, self.neighbours
+        # By position: the least cost, and the last piece on the way there (-1: a fallback) and its start.
+        best, last, start = [_INF] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
         for at in range(n):
-            if best[at] is None:
+            cost = best[at]
+            if cost == _INF:
                 continue
-            cost, last = best[at][:2]
-            node, alone = self.trie, False
+            state, alone, left = 0, False, last[at]
             for end in range(at, n):
-                node = node.get(text[end])
-                if node is None:
+                state = arcs.get(state * width + labels[end])
+                if state is None:
                     break
-                if "" in node:
+                piece = writes[state]
+                if piece >= 0:
                     alone |= end == at
-                    piece, weight = node[""]
-                    total = cost + weight
-                    if self.bpe and not self._fits(last, piece):
+                    total = cost + costs[state]
+                    if total >= best[end + 1]:
                         continue
-                    if best[end + 1] is None or total < best[end + 1][0]:
-                        best[end + 1] = (total, piece, at, [piece])
-            if not alone and (best[at + 1] is None or cost + self.fallback_cost < best[at + 1][0]):
-                best[at + 1] = (cost + self.fallback_cost, -1, at, self._fallback(text[at]))
+                    if self.bpe:
+                        key = (left + 1) << 32 | piece
+                        fits = known.get(key)
+                        if fits is None:
+                            fits = known[key] = self._fits(left, piece)
+                        if not fits:
+                            continue
+                    best[end + 1], last[end + 1], start[end + 1] = total, piece, at
+            if not alone and cost + self.fallback_cost < best[at + 1]:
+                best[at + 1], last[at + 1], start[at + 1] = cost + self.fallback_cost, -1, at
         out, at = [], n
         while at:
-            _, _, start, ids = best[at]
-            out.append(ids)
-            at = start
-        ids = [i for part in reversed(out) for i in part]
-        if not self.model.byte_fallback:  # a run of unknown characters is one unknown piece
-            ids = [i for k, i in enumerate(ids) if i != self.model.unknown or not k or ids[k - 1] != i]
-        return ids
+            out.append([last[at]] if last[at] >= 0 else self._fallback(text[start[at]]))
+            at = start[at]
+        return [i for part in reversed(out) for i in part]
+
+    def _parts(self, chunk: str) -> list[str]:
+        """A chunk cut between characters that stand side by side in no piece."""
+        cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.pairs), len(chunk)]
+        return [chunk[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _path(self, chunk: str) -> bytes:
+        """The path of a chunk that is not known, and so of its parts."""
+        out = self.older.get(chunk)
+        if out is None:
+            found = []
+            for part in self._parts(chunk):
+                path = self.paths.get(part) or self.older.get(part)
+                if path is None:
+                    path = array("I", self.shortest_path(part)).tobytes()
+                    if len(part) < 100:
+                        self.paths[part] = path
+                found.append(path)
+            out = b"".join(found)
+        if len(chunk) < 100:
+            self.paths[chunk] = out
+        return out
 
     def chunks(self, text: str) -> list[str]:
         """The normalised text, cut where no piece can cross."""
-        text = text.replace(" ", _SPACE)
-        if self.model.dummy_prefix:
-            text = _SPACE + text
-        if not self.cut_at_spaces or not self.model.byte_fallback:
-            return [text]
-        if self.cut_at_lines and "\n" in text:
-            return [c for line in re.split("(\n)", text) for c in _CUT.findall(line)]
-        return _CUT.findall(text)
+        return _cut(self.model.space).findall(text) if self.cut_at_spaces else [text]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text as little-endian unsigned 32-bit integers; null counts as empty."""
         if not text:
             return np.zeros(0, "<u4")
         if len(self.paths) > CACHE_CHUNKS:
-            self.paths = {}
-        if len(self.neighbours) > 4 * CACHE_CHUNKS:
+            self.older, self.paths = self.paths, {}
+        if len(self.neighbours) > 8 * CACHE_CHUNKS:
             self.neighbours = {}
-        out = []
-        for chunk in self.chunks(text):
-            path = self.paths.get(chunk)
-            if path is None:
-                path = np.array(self.shortest_path(chunk), "<u4").tobytes()
-                if len(chunk) < 100:
-                    self.paths[chunk] = path
-            out.append(path)
-        return np.frombuffer(b"".join(out), "<u4")
+        text = self.normalise(text)
+        if self.own is not None:
+            spans = self.own.split(text)
+            found = [self._ids(x) if k % 2 == 0 else array("I", [self.own_id[x]]).tobytes() for k, x in enumerate(spans)]
+        else:
+            found = [self._ids(text)]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        if not self.model.byte_fallback and len(ids):  # a run of unknown characters is one unknown piece
+            again = (ids == self.model.unknown) & np.r_[False, ids[:-1] == self.model.unknown]
+            ids = ids[~again]
+        return ids
+
+    def _ids(self, text: str) -> bytes:
+        chunks = self.chunks(text)
+        found = list(map(self.paths.get, chunks))
+        if None in found:
+            for k, path in enumerate(found):
+                if path is None:
+                    found[k] = self.paths.get(chunks[k]) or self._path(chunks[k])
+        return b"".join(found)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids stand for; bytes that are no UTF-8 become U+FFFD."""
@@ -217,7 +374,9 @@ class Transducer:
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
 
-_CUT = re.compile(f"{_SPACE}+[^{_SPACE}]*|[^{_SPACE}]+")
+@cache
+def _cut(space: str) -> re.Pattern:
+    return re.compile(f"{space}+[^{space}]*|[^{space}]+")
 
 
 @cache

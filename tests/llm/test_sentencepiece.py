@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
-from paperloom.llm.sentencepiece_fst import Transducer, Model, decode, default_path, encode, round_trip, transducer
+from paperloom.llm.sentencepiece_fst import Model, Transducer, _fields, decode, default_path, encode, round_trip, transducer
 from tests.llm.helpers import crowded, empty, odd
 
 ODD = ["", " ", "   ", " " * 7 + "a", "a" + " " * 40, "\t x", "a\x00b", "<s> a</s>", "<0x41>", "▁ ▁a", "ﬁ▁", "日本語　テスト", "\U0001f600 é ñ\r\n\n x", "don't", "aaaaaaaaaaaaaaaaaaaaaaaa", "1234567890 3.14159", "́a", "x" * 3000]
@@ -43,6 +43,41 @@ def test_odd_and_random_texts_equal_the_library(library):
         assert t.decode(t.encode(text)) == library.decode(library.encode(text)) == text.replace("▁", " ")
 
 
+def field(number, body):
+    size, out = len(body), b""
+    while size > 127:
+        out, size = out + bytes([size & 127 | 128]), size >> 7
+    return bytes([number << 3 | 2]) + out + bytes([size]) + body
+
+
+@pytest.mark.parametrize("rule", ["nfkc", "nmt_nfkc_cf"])
+@pytest.mark.parametrize("extra_spaces", [False, True])
+def test_models_with_a_character_map_and_pieces_of_the_user(rule, extra_spaces):
+    raw = open(default_path(), "rb").read()
+    maps = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, remove_extra_whitespaces=extra_spaces, escape_whitespaces=True).serialized_model_proto()
+    spec = dict(_fields(maps))[3]
+    # Of repeated fields the last one holds.
+    made = raw + field(1, field(1, b"<mark>") + b"\x15\0\0\0\0\x18\x04") + field(1, field(1, b"zqz") + b"\x15\0\0\0\0\x18\x04") + field(3, spec)
+    library, t = sentencepiece.SentencePieceProcessor(model_proto=made), Transducer(Model(made))
+    assert t.normaliser is not None
+    rng = random.Random(4)
+    chars = "aeinqzrst  .,'\n\tABé漢▁\U0001f600-0<>ﬁ①Ａ　ｶﾞ가각ǅ\u0301\u200b"
+    for text in [x for x in ODD if "\0" not in x] + ["a <mark>b zqzqzzqz<mark", "ＡＢＣ ﬁne ①②"] + ["".join(rng.choices(chars, k=rng.randint(1, 40))) for _ in range(300)]:
+        assert t.encode(text).tolist() == library.encode(text), text
+
+
+def test_both_searches_find_the_same_path():
+    t, rng = transducer(default_path()), random.Random(2)
+    for _ in range(300):
+        text = "▁" + "".join(rng.choices("theringaoslpqu", k=rng.randint(1, 14)))
+        free = t.shortest_path(text)
+        t.closed = False
+        try:
+            assert t.shortest_path(text) == free
+        finally:
+            t.closed = True
+
+
 def test_unigram_path_is_the_least_cost_of_all_paths():
     t = Transducer(Model(unigram(open(default_path(), "rb").read())))
     assert not t.bpe

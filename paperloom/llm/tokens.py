@@ -13,6 +13,8 @@ from __future__ import annotations
 from array import array
 from functools import cache
 
+import numpy as np
+
 #: A worker remembers between one and two times so many chunks; it bounds its memory (some 200 bytes each).
 CACHE_CHUNKS = 800_000
 #: Marks that end a word wherever they stand.
@@ -26,17 +28,6 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _places(ids: list[bytes | None]) -> list[int]:
-    """Where the list has None; few places, found by the list's own search."""
-    out, at = [], -1
-    try:
-        while True:
-            at = ids.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 @cache
 def encoder(path: str) -> "Encoder":
     """One encoder for each worker and vocabulary."""
@@ -54,6 +45,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_end = line_end[0] if len(line_end) == 1 else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -61,37 +54,54 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of short parts without line ends: they go to the tokenizer as the lines of one text."""
+        if not parts:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(parts)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(ids == self.line_end) if self.line_end is not None else []
+        if len(ends) != len(parts) - 1:  # a vocabulary that joins line ends with what is beside them
+            return self.plain(parts)
+        body, stops = ids.tobytes(), (4 * ends).tolist()
+        return [body[a:b] for a, b in zip([0, *(x + 4 for x in stops)], [*stops, len(body)], strict=True)]
+
     def _learn(self, missing: set[str]) -> None:
         """Add the ids of chunks; one that can't stand alone is left out."""
-        new: dict[str, tuple[str, str]] = {}
+        known, older = self.known, self.older.get
+        marked, parts = [], set()
         for chunk in missing:
-            if chunk in self.older:
-                self.known[chunk] = self.older[chunk]
-            elif chunk == "\n" or (chunk and not (chunk[1:2] if chunk[0] == " " else chunk[0]).isspace() and not chunk[-1].isspace()):
+            before = older(chunk)
+            if before is not None:
+                known[chunk] = before
+            elif chunk == "\n":
+                known[chunk] = self.plain([chunk])[0]
+            elif chunk and not (chunk[1:2] if chunk[0] == " " else chunk[0]).isspace() and not chunk[-1].isspace():
                 word = chunk.rstrip(_MARKS)
-                new[chunk] = (word, chunk[len(word) :]) if word and word[-1].isalpha() else (chunk, "")
-        known = self.known
-        parts = {p for pair in new.values() for p in pair if p and p not in known}
-        parts = list(parts)
-        known.update(zip(parts, self.plain(parts), strict=True))
-        for chunk, (word, marks) in new.items():
-            known[chunk] = known[word] + known[marks] if marks else known[word]
+                if word and word[-1].isalpha() and len(word) < len(chunk):
+                    marked.append((chunk, word, chunk[len(word) :]))
+                    parts.update(marked[-1][1:])
+                else:
+                    parts.add(chunk)
+        parts = [p for p in parts if p not in known]
+        known.update(zip(parts, self._parts(parts), strict=True))
+        known.update((chunk, known[word] + known[marks]) for chunk, word, marks in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null counts as empty."""
         if len(self.known) > CACHE_CHUNKS:
             self.older, self.known = self.known, {}
-        cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t and "\0" not in t else None for t in texts]
+        cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t and "\0" not in t else [] for t in texts]
+        self._learn(set().union(*cut) - self.known.keys())
         get = self.known.get
-        found = [list(map(get, chunks)) if chunks else [None] for chunks in cut]
-        gaps = [(chunks, ids, _places(ids)) for chunks, ids in zip(cut, found, strict=True) if chunks and None in ids]
-        if gaps:
-            self._learn({chunks[k] for chunks, _, at in gaps for k in at})
-            for chunks, ids, at in gaps:
-                for k in at:
-                    ids[k] = get(chunks[k])
-        out = [None if None in ids else b"".join(ids) for ids in found]
-        whole = [i for i, (t, ids) in enumerate(zip(texts, out, strict=True)) if t and ids is None]
+        out, whole = [], []
+        for t, chunks in zip(texts, cut, strict=True):
+            try:
+                out.append(b"".join(map(get, chunks)))
+                if t and not chunks:
+                    whole.append(len(out) - 1)
+            except TypeError:  # a chunk without ids of its own
+                whole.append(len(out))
+                out.append(b"")
         for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        return [x or b"" for x in out]
+        return out

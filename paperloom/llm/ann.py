@@ -1,32 +1,43 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph for each shard.
 
-Vectors are dealt by hash of their id over a few large shards. The task of a shard builds its graph in
-flat neighbour arrays (one integer matrix for each layer), and answers all queries on it; the shards'
-best are merged. Insertion and search go over whole batches of vectors at once: a step takes the best
-open candidates of every vector in the batch and scores all their neighbours in one matrix product.
+Vectors are dealt into cells by the nearest of a few centroids, and cells over twice the intended size are split
+by hash, so that no shard grows with the table. The task of a shard builds its graph in
+flat neighbour arrays (one integer matrix for each layer). A query goes to the shards of the cells whose
+centroids suit it best, and the shards' best are merged. Insertion and search go over whole batches of vectors
+at once: a step takes the best open candidates of every vector in the batch and scores all their neighbours in
+one matrix product.
+
+How many cells a query visits is measured, not set: for a bounded sample of queries the exact neighbours among
+all vectors are worked out, and as many cells are visited as it takes to hold ``CELL_RECALL`` of these. Where
+vectors have no structure that comes to all cells, and the search is slow but not wrong.
 
 Equal vectors are one node: only the ``k + 1`` smallest ids of each can be among the ``k`` nearest of
 anything (ties go to the smaller id, and a query leaves out itself), so the rest is never needed and no
 group of copies can shut itself off in the graph. Nearness is the inner product; graphs work in single
-precision, scores are worked out in double precision on the original vectors.
+precision, everything that a search finds is scored in double precision on the original vectors.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import discard, materialize
 
 K = 20
-#: A shard holds at most about so many different vectors; 100,000 of 64 dimensions with their graph take 45 MB.
-SHARD_VECTORS = 100_000
-#: So that a small table still uses several tasks.
-MIN_SHARDS = 6
+#: Different vectors that a cell is meant to hold; a shard holds at most twice as many (or, in tables that would have
+#: more than ``MAX_CELLS`` cells, twice the mean of that many cells). 100,000 of 64 dimensions take about 120 MB.
+CELL_VECTORS = 8192
+#: Bounds the centroids, which every task that deals vectors out is given (8 MB at 64 dimensions).
+MAX_CELLS = 16384
+#: Rows that centroids are fitted on, and queries that the number of visited cells is measured on.
+FIT_ROWS, FIT_QUERIES = 50_000, 200
+CELL_RECALL = 0.985
 M = 24
 EF_CONSTRUCTION = 100
 EF_SEARCH = 160
@@ -173,6 +184,92 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return x.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda c: c != 0))
 
 
+def _places(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` cells that suit each vector best, best first."""
+    out = np.zeros((len(vectors), n), np.int64)
+    for i in range(0, len(vectors), 512):  # bounds the matrix of scores
+        s = vectors[i : i + 512] @ centroids.T
+        out[i : i + 512] = s.argmax(axis=1)[:, None] if n == 1 else np.argsort(-s, axis=1, kind="stable")[:, :n]
+    return out
+
+
+def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Directions of ``cells`` centroids: means of what lies nearest by angle, worked out on ``sample``."""
+    x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    at = x[np.random.default_rng(5).permutation(len(x))[:cells]]
+    for _ in range(rounds):
+        own = _places(x, at, 1)[:, 0]
+        sums = np.zeros_like(at)
+        np.add.at(sums, own, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        at = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), at)
+    return at
+
+
+def _dealt(batches: Iterator[pd.DataFrame], centroids: dict[int, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """Nodes with the cell that each belongs to."""
+    for batch in batches:
+        cell = np.zeros(len(batch), np.int64)
+        for dim, rows in batch.reset_index(drop=True).groupby(batch["v"].map(len).to_numpy()):
+            v = np.stack(rows["v"].to_numpy())
+            scale = np.abs(v).max(axis=1, keepdims=True)  # so that no square overflows
+            cell[rows.index] = _places(v / scale, centroids[dim], 1)[:, 0]
+        yield batch.assign(cell=cell)
+
+
+def _truth(batches: Iterator[pd.DataFrame], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pd.DataFrame]:
+    """The ``k`` nearest of each sampled query among the nodes of this task, by dimension."""
+    best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for dim, rows in batch.groupby(batch["v"].map(len).to_numpy()):
+            own, q = queries[dim]
+            s = q @ np.stack(rows["v"].to_numpy()).T
+            s[own[:, None] == rows["first"].to_numpy()[None, :]] = -np.inf
+            c = np.broadcast_to(rows["cell"].to_numpy(), s.shape)
+            if dim in best:
+                s, c = np.concatenate([best[dim][0], s], 1), np.concatenate([best[dim][1], c], 1)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best[dim] = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+    for dim, (s, c) in best.items():
+        q = np.repeat(np.arange(len(s)), s.shape[1])
+        ok = s.ravel() > -np.inf
+        yield pd.DataFrame({"dim": dim, "q": q, "score": s.ravel(), "cell": c.ravel()})[ok]
+
+
+def _fit(nodes: DataFrame, k: int, cell_vectors: int) -> tuple[dict[int, np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]], dict[int, int]]:
+    """By dimension: centroids, sampled queries (their ids and vectors) and the most vectors to a shard."""
+    sizes = {r.dim: r["count"] for r in nodes.groupBy(F.size("v").alias("dim")).count().collect()}
+    centroids, queries, most = {}, {}, {}
+    for dim, n in sizes.items():
+        cells = min(MAX_CELLS, -(-n // cell_vectors))
+        of_dim = nodes.where(F.size("v") == dim)
+        every = max(1, n // FIT_ROWS)
+        # Least hashes of the ids: a fixed sample, bounded by its limit.
+        drawn = of_dim.where(F.pmod(F.xxhash64("first"), F.lit(every)) == 0).orderBy(F.xxhash64("first"), "first").limit(FIT_ROWS).select("first", "v").collect()
+        v = np.array([r.v for r in drawn])
+        scaled = v / np.abs(v).max(axis=1, keepdims=True)
+        centroids[dim] = fit_centroids(scaled, cells)
+        queries[dim] = np.array([r["first"] for r in drawn[:FIT_QUERIES]], np.int64), v[:FIT_QUERIES]
+        most[dim] = 2 * max(cell_vectors, -(-n // MAX_CELLS))
+    return centroids, queries, most
+
+
+def _visits(nodes: DataFrame, centroids: dict[int, np.ndarray], queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> dict[int, int]:
+    """By dimension: how many cells hold ``CELL_RECALL`` of the exact neighbours of the sampled queries."""
+    found = nodes.mapInPandas(lambda it: _truth(it, queries, k), "dim int, q long, score double, cell long")
+    nearest = Window.partitionBy("dim", "q").orderBy(F.col("score").desc(), "cell")
+    # At most FIT_QUERIES times k rows for each dimension.
+    rows = found.withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k).select("dim", "q", "cell").toPandas()
+    out = {}
+    for dim, c in centroids.items():
+        order = _places(queries[dim][1], c, len(c))
+        place = np.argsort(order, axis=1)
+        mine = rows[rows["dim"] == dim]
+        at = np.sort(place[mine["q"].to_numpy(int), mine["cell"].to_numpy(int)])
+        out[dim] = int(at[int(np.ceil(CELL_RECALL * len(at))) - 1]) + 1 if len(at) else len(c)
+    return out
+
+
 _INDEX = "shard long, dim int, n int, ids array<array<long>>, vectors binary, level binary, near array<binary>"
 
 
@@ -184,20 +281,41 @@ def _build(rows: pd.DataFrame, m: int, ef: int) -> pd.DataFrame:
     return pd.DataFrame(one)
 
 
-def build_index(vectors: DataFrame, k: int = K, m: int = M, ef: int = EF_CONSTRUCTION, shard_vectors: int = SHARD_VECTORS) -> tuple[DataFrame, int]:
-    """The written index, one row for each shard with its flat arrays, and the number of shards.
+@dataclass
+class Index:
+    """A written index: ``graphs`` has one row for each shard with its flat arrays; the rest says where a query goes."""
 
-    ``vectors`` is what ``usable`` returns. Every vector is indexed; equal ones share a node that holds
-    their ``k + 1`` smallest ids.
-    """
+    graphs: DataFrame
+    centroids: dict[int, np.ndarray]
+    shards: dict[int, list[list[int]]]
+    visits: dict[int, int]
+
+
+def build_index(vectors: DataFrame, k: int = K, m: int = M, ef: int = EF_CONSTRUCTION, cell_vectors: int = CELL_VECTORS) -> Index:
+    """``vectors`` is what ``usable`` returns. Every vector is indexed; equal ones share a node that holds their ``k + 1`` smallest ids."""
     first = Window.partitionBy("v").orderBy("id")
     # The limit on the rank is applied in the map tasks already, so a group of copies never travels whole.
     ranked = vectors.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
     nodes = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.min("id").alias("first"))
     nodes = materialize(nodes, "nodes")
-    shards = max(MIN_SHARDS, -(-nodes.count() // shard_vectors))
-    dealt = nodes.withColumn("shard", F.size("v") * F.lit(shards).cast("long") + F.pmod(F.xxhash64("first"), F.lit(shards)))
-    return materialize(dealt.groupBy("shard").applyInPandas(lambda rows: _build(rows, m, ef), _INDEX), "graphs"), shards
+    centroids, queries, most = _fit(nodes, k, cell_vectors)
+    dealt = materialize(nodes.mapInPandas(lambda it: _dealt(it, centroids), "v array<double>, ids array<long>, first long, cell long"), "dealt")
+    discard(nodes)
+    # One row for each cell, of which there are at most MAX_CELLS.
+    numbers, shards = [], {dim: [[] for _ in c] for dim, c in centroids.items()}
+    for r in sorted(dealt.groupBy(F.size("v").alias("dim"), "cell").count().collect()):
+        parts = -(-r["count"] // most[r.dim])
+        start = numbers[-1][2] + numbers[-1][3] if numbers else 0
+        numbers.append((r.dim, r.cell, start, parts))
+        shards[r.dim][r.cell] = list(range(start, start + parts))
+    spark = vectors.sparkSession
+    at = spark.createDataFrame(numbers, "c_dim int, c_cell long, start long, parts int")
+    placed = dealt.join(F.broadcast(at), (F.size("v") == F.col("c_dim")) & (F.col("cell") == F.col("c_cell")))
+    placed = placed.select("v", "ids", "first", (F.col("start") + F.pmod(F.xxhash64("first"), F.col("parts"))).alias("shard"))
+    graphs = materialize(placed.groupBy("shard").applyInPandas(lambda rows: _build(rows, m, ef), _INDEX), "graphs")
+    visits = _visits(dealt, centroids, queries, k)
+    discard(dealt)
+    return Index(graphs, centroids, shards, visits)
 
 
 class _Shard:
@@ -212,12 +330,16 @@ class _Shard:
         g.near = [np.frombuffer(b, "<i4").reshape(n, -1) for b in row.near]
 
     def answer(self, query_ids: np.ndarray, queries: np.ndarray, k: int, ef: int) -> tuple[list, list, list]:
-        found = self.graph.nearest(queries, max(ef, k + 1))[:, : k + 1]
+        found = self.graph.nearest(queries, max(ef, k + 1))
         owners, ids, scores = [], [], []
         for own, q, nodes in zip(query_ids.tolist(), queries, found, strict=True):
             nodes = nodes[nodes >= 0]
             s = self.exact[nodes] @ q
-            best = sorted((-x, i) for x, node in zip(s.tolist(), nodes.tolist(), strict=True) for i in self.ids[node].tolist() if i != own)[:k]
+            order = np.argsort(-s, kind="stable")
+            # The nodes that can hold the k nearest: the first k + 1, and what ties with the last of them.
+            order = order[s[order] >= s[order[min(k, len(order) - 1)]]]
+            best = sorted((-x, i) for x, node in zip(s[order].tolist(), nodes[order].tolist(), strict=True) for i in self.ids[node].tolist() if i != own)
+            best = sorted((x, i) for i, x in dict((i, x) for x, i in reversed(best)).items())[:k]  # an id once, at its best
             owners += [own] * len(best)
             ids += [i for _, i in best]
             scores += [-x for x, _ in best]
@@ -239,28 +361,49 @@ def _answer(batches: Iterator[pd.DataFrame], k: int, ef: int) -> Iterator[pd.Dat
                 yield pd.DataFrame({"query_id": owners, "vec_id": ids, "score": scores})
 
 
+def _routed(batches: Iterator[pd.DataFrame], index: Index) -> Iterator[pd.DataFrame]:
+    """One row for each query and shard that it visits."""
+    for batch in batches:
+        ids, vs, places = [], [], []
+        for dim, rows in batch.groupby(batch["v"].map(len).to_numpy()):
+            v = np.stack(rows["v"].to_numpy())
+            cells = _places(v / np.abs(v).max(axis=1, keepdims=True), index.centroids[dim], index.visits[dim])
+            for own, vector, mine in zip(rows["id"].tolist(), rows["v"], cells.tolist(), strict=True):
+                at = [s for c in mine for s in index.shards[dim][c]]
+                ids += [own] * len(at)
+                vs += [vector] * len(at)
+                places += at
+        yield pd.DataFrame({"shard": pd.array(places, "int64"), "query_id": pd.array(ids, "int64"), "v": vs})
+
+
 #: Queries that one task answers; a shard's graph is sent to as many tasks as that takes.
-TASK_QUERIES = 200_000
+TASK_QUERIES = 50_000
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", m: int = M, ef_construction: int = EF_CONSTRUCTION, ef: int = EF_SEARCH, shard_vectors: int = SHARD_VECTORS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", m: int = M, ef_construction: int = EF_CONSTRUCTION, ef: int = EF_SEARCH, cell_vectors: int = CELL_VECTORS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every vector whose id is divisible by ``every``.
 
     The query itself is left out; there are fewer rows where there are fewer candidates. Ties go to the
     smaller id. Vectors that are null, zero or hold a null or non-finite component, and rows with a null
-    id, take no part; vectors of another dimension are no candidates. Repeated rows count once. An empty
-    table gives an empty result.
+    id, take no part; vectors of another dimension are no candidates. Repeated rows count once. An id with
+    several vectors is found, and asks, by each of them, and every other id counts once, at its best. An
+    empty table gives an empty result.
     """
     x = usable(vectors, id_col, vector_col)
-    index, shards = build_index(x, k, m, ef_construction, shard_vectors)
+    index = build_index(x, k, m, ef_construction, cell_vectors)
+    route = Index(None, index.centroids, index.shards, index.visits)
     queries = x.where(F.col("id") % every == 0).distinct()
-    copies = max(1, -(-queries.count() // TASK_QUERIES))
-    place = F.col("shard") * F.lit(copies)
-    asked = queries.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    asked = asked.select(((F.size("v") * F.lit(shards).cast("long") + F.col("s")) * F.lit(copies) + F.pmod(F.xxhash64("id"), F.lit(copies))).alias("place"), F.col("id").alias("query_id"), "v")
-    graphs = index.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((place + F.col("c")).alias("place"), *[c.split()[0] for c in _INDEX.split(", ")[1:]])
-    both = graphs.unionByName(asked, allowMissingColumns=True)
-    both = both.repartition(shards * copies, "place").sortWithinPartitions("place", F.col("n").isNull())
-    found = both.mapInPandas(lambda it: _answer(it, k, ef), "query_id long, vec_id long, score double")
+    asked = materialize(queries.mapInPandas(lambda it: _routed(it, route), "shard long, query_id long, v array<double>"), "asked")
+    # A shard with many queries is answered by several tasks, each with a copy of its graph.
+    copies = asked.groupBy(F.col("shard").alias("s")).agg(F.ceil(F.count(F.lit(1)) / TASK_QUERIES).cast("int").alias("copies"))
+    placed = asked.join(copies, F.col("shard") == F.col("s")).select(F.struct("shard", F.pmod(F.xxhash64("query_id"), F.col("copies")).cast("int").alias("copy")).alias("at"), "query_id", "v")
+    graphs = index.graphs.join(copies, F.col("shard") == F.col("s")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    graphs = graphs.select(F.struct("shard", "copy").alias("at"), *[c.split()[0] for c in _INDEX.split(", ")[1:]])
+    both = graphs.unionByName(placed, allowMissingColumns=True).withColumn("place", F.concat_ws("/", "at.shard", "at.copy")).drop("at")
+    shards = sum(len(s) for cells in index.shards.values() for s in cells)
+    both = both.repartition(max(1, shards), "place").sortWithinPartitions("place", F.col("n").isNull())
+    found = both.mapInPandas(lambda it: _answer(it, k, ef), "query_id long, vec_id long, score double").repartition("query_id")
+    once = Window.partitionBy("query_id", "vec_id").orderBy(F.col("score").desc())
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = found.withColumn("again", F.row_number().over(once)).where(F.col("again") == 1)
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -85,7 +85,7 @@ def linked_papers(scheme: DataFrame, papers: DataFrame) -> DataFrame:
 
 
 #: Words that say nothing about what a course is about.
-GENERIC_WORDS = ["introduction", "engineering", "advanced", "fundamentals", "principles", "systems", "applications", "laboratory", "theory", "basic", "elements"]
+GENERIC_WORDS = ["introduction", "foundations", "fundamentals", "advanced", "principles", "laboratory", "techniques", "systems", "theory", "applications", "concepts"]
 
 
 def share_keyword(a: Column, b: Column) -> Column:

@@ -45,7 +45,7 @@ def prunable(papers: DataFrame) -> DataFrame:
 
 def find_or_create(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """(parents, rows with their parent's id): one parent for each key, numbered by its values' hash, so that a retry gives the same ids."""
-    pid = F.xxhash64(*key)
+    pid = F.sha2(F.to_json(F.struct(*key)), 256)  # the names stand in it, so nulls do not shift
     parents = rows.select(*key).distinct().withColumn("paper_id", pid)
     return parents, rows.withColumn("paper_id", pid).drop(*key)
 

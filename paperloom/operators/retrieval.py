@@ -6,6 +6,9 @@ A set of queries is a table of its own; where it meets the corpus it is broadcas
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,16 +64,27 @@ def dot(a: str | Column, b: str | Column) -> Column:
 def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = 50, condition: Column | None = None) -> DataFrame:
     """query_id, id, score, rank of the ``k`` corpus rows nearest to each query vector, under a predicate.
 
-    ``queries`` (query_id, q_vec, ...) is a stated set of at most ``QUERY_BLOCK`` rows; larger sets are
-    given in blocks. Each task keeps only its own ``k`` best of each query before the shuffle.
+    ``queries`` (query_id, q_vec, ...) is a stated set, taken in blocks. Each task keeps only its own ``k`` best
+    of each query before the shuffle.
     """
-    n = queries.limit(QUERY_BLOCK + 1).count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"give at most {QUERY_BLOCK} queries at a time")
-    x = corpus.join(F.broadcast(queries), F.lit(True) if condition is None else condition)  # a checked, stated query set
+    x = in_blocks(queries, lambda q: corpus.join(F.broadcast(q), F.lit(True) if condition is None else condition))
     return ranked(x.select("query_id", "id", F.round(dot("q_vec", "vec"), 6).alias("score")), k)
 
 
+def in_blocks(queries: DataFrame, join: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
+    """The union of ``join`` over blocks of a stated set of queries, each small enough to be broadcast: ``QUERY_BLOCK`` rows at most.
+
+    Blocks are dealt by hash of the key and dealt anew, into twice as many, until the largest fits.
+    """
+    blocks, whole = -(-queries.count() // QUERY_BLOCK), queries
+    while blocks > 1:
+        of = F.pmod(F.xxhash64(key), F.lit(blocks))
+        if queries.groupBy(of.alias("block")).count().agg(F.max("count")).first()[0] <= QUERY_BLOCK:
+            return reduce(DataFrame.unionByName, [join(whole.where(of == i)) for i in range(blocks)])
+        blocks *= 2
+    return join(whole)
+
+
 def by_mode(queries: DataFrame, vector: DataFrame, keyword: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The two lists with only the queries whose ``mode`` wants them (hybrid wants both)."""
     v = queries.where("mode IN ('hybrid', 'vector')").select("query_id")
@@ -97,7 +111,7 @@ def filter_listing(queries: DataFrame, corpus: DataFrame, first: int = 200) -> D
 
     The score is one over the place.
     """
-    x = corpus.join(F.broadcast(queries.limit(QUERY_BLOCK)), passes("f"))  # a stated query set
+    x = in_blocks(queries, lambda q: corpus.join(F.broadcast(q), passes("f")))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("year"), "document_id", "unit", "question_id")
     x = x.withColumn("first", F.row_number().over(w)).where(F.col("first") <= first)
     again = Window.partitionBy("query_id").orderBy(F.desc("recurrence"), F.desc_nulls_last("year"), "first")
@@ -178,9 +192,10 @@ def scattered_score(name: Column, query: Column) -> Column:
 def fuzzy(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """query_id, kind, id, score: the best score over a catalogue row's fields (``names``); rows without one are left out.
 
-    The queries are a stated set of at most ``QUERY_BLOCK`` rows.
+    The queries are a stated set, taken in blocks.
     """
-    x = catalogue.select("kind", "id", F.explode("names").alias("name")).join(F.broadcast(queries.select("query_id", "q").limit(QUERY_BLOCK)), F.lit(True))
+    named = catalogue.select("kind", "id", F.explode("names").alias("name"))
+    x = in_blocks(queries.select("query_id", "q"), lambda q: named.join(F.broadcast(q), F.lit(True)))
     one = contiguous_score(F.col("name"), F.col("q"))
     x = x.withColumn("score", F.coalesce(one, scattered_score(F.col("name"), F.col("q")))).where("score IS NOT NULL")
     return x.groupBy("query_id", "kind", "id").agg(F.round(F.max("score"), 3).alias("score"))

@@ -13,15 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.retrieval import dot
+from paperloom.operators.catalogue import share_keyword
+from paperloom.operators.retrieval import dot, in_blocks
 from paperloom.tables import settled
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int = 8) -> DataFrame:
+#: Vectors to a block of the exact pair join; two blocks and their products take some 35 MB at 64 dimensions.
+BLOCK_VECTORS = 1500
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, score) of all a < b whose inner product is over the threshold; score to six places.
 
-    ``vectors``: id, vec. A task holds two blocks of n / ``blocks`` vectors, so ``blocks`` bounds its memory.
+    ``vectors``: id, vec. A task holds two blocks of about ``BLOCK_VECTORS`` vectors, however many there are.
+    The work is that of all pairs; ``candidate_pairs`` is for tables too large for that.
     """
+    blocks = blocks or max(1, -(-vectors.count() // BLOCK_VECTORS))
     x = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     cells = x.withColumn("other", F.explode(others)).select("id", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -128,12 +135,11 @@ def resolve_proposals(proposals: DataFrame, vocabulary: DataFrame, threshold: fl
     return x.select("slug", F.coalesce("same", "near", "slug").alias("topic"), F.when(F.col("same").isNotNull(), "same").when(F.col("near").isNotNull(), "near").otherwise("new").alias("how"))
 
 
-def link_titles(official: DataFrame, titles: DataFrame, threshold: float = 0.8, most: int = 10_000) -> DataFrame:
-    """(code, p_code, score): titles whose cosine, rounded to two places first, reaches the threshold.
+def link_titles(official: DataFrame, titles: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(code, p_code, score): titles whose cosine, rounded to two places first, reaches the threshold and which share a distinctive word.
 
-    ``official``: code, vec (a scheme, checked to be short); ``titles``: p_code, p_vec.
+    ``official``: code, title, vec (a stated scheme, taken in blocks); ``titles``: p_code, p_title, p_vec.
     """
-    if official.limit(most + 1).count() > most:
-        raise ValueError("the scheme is too long to be broadcast")
-    x = titles.join(F.broadcast(official), F.lit(True))
-    return x.select("code", "p_code", F.round(dot("vec", "p_vec"), 2).alias("score")).where((F.col("score") >= threshold) & (F.col("code") != F.col("p_code")))
+    x = in_blocks(official, lambda o: titles.join(F.broadcast(o), F.lit(True)), "code")
+    x = x.select("code", "title", "p_code", "p_title", F.round(dot("vec", "p_vec"), 2).alias("score"))
+    return x.where((F.col("score") >= threshold) & (F.col("code") != F.col("p_code")) & share_keyword(F.col("title"), F.col("p_title"))).select("code", "p_code", "score")

@@ -35,10 +35,10 @@ def act1(spark, d):
     return _days(spark, d)
 
 
-@query("act2_streaks", f"""WITH {_DAYS}, t AS (SELECT * FROM days WHERE user_id % 3 > 0 OR day(day) % 4 > 0), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS island FROM t), r AS (SELECT user_id, island, count(*) AS n, max(day) AS e FROM i GROUP BY 1, 2)
+@query("act2_streaks", f"""WITH {_DAYS}, t AS (SELECT * FROM days), i AS (SELECT *, day - row_number() OVER (PARTITION BY user_id ORDER BY day)::INT AS island FROM t), r AS (SELECT user_id, island, count(*) AS n, max(day) AS e FROM i GROUP BY 1, 2)
 SELECT user_id, coalesce((SELECT max(n) FROM r WHERE r.user_id = t.user_id AND e >= {_TODAY} - 1), 0) AS current, (SELECT max(n) FROM r WHERE r.user_id = t.user_id) AS longest, bool_or(day = {_TODAY}) AS active_today, coalesce(sum(focus) FILTER (day = {_TODAY}), 0)::BIGINT AS focus_today, coalesce(sum(focus) FILTER (day > {_TODAY} - 7), 0)::BIGINT AS focus_week FROM t GROUP BY user_id""")
 def act2(spark, d):
-    return A.streaks(_days(spark, d).where((F.col("user_id") % 3 > 0) | (F.dayofmonth("day") % 4 > 0)), _today())
+    return A.streaks(_days(spark, d), _today())
 
 
 @query("act3_activity_grid", f"WITH {_DAYS}, c AS (SELECT user_id, unnest(generate_series({_TODAY} - 83, {_TODAY}, INTERVAL 1 DAY))::DATE AS day FROM (SELECT DISTINCT user_id FROM days)) SELECT user_id, day, CASE WHEN focus >= 50 THEN 3 WHEN focus > 0 OR visits >= 4 THEN 2 WHEN days.visits IS NOT NULL THEN 1 ELSE 0 END AS level FROM c LEFT JOIN days USING (user_id, day)")
@@ -208,9 +208,9 @@ def fn1(spark, d):
     return V.table(spark, d, "part").select("p_type", "p_name", S.acronym(F.concat_ws(" of the ", F.split("p_name", " ")[0], F.split("p_name", " ")[1])).alias("acronym")).distinct()
 
 
-@query("fn2_topic_slugs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(left(text, 60)), '[''’]', '', 'g'), '[^a-z0-9+#]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("fn2_topic_slugs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '[''’]', '', 'g'), '[^a-z0-9+#]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def fn2(spark, d):
-    return V.table(spark, d, "documents").select("doc_id", S.topic_slug(F.left("text", F.lit(60))).alias("slug"))
+    return V.table(spark, d, "documents").select("doc_id", S.topic_slug(F.col("text")).alias("slug"))
 
 
 @query("fn7_clipped_texts", "SELECT doc_id, CASE WHEN length(text) > 320 THEN left(text, 319) || '…' ELSE text END AS clipped FROM documents")
@@ -224,9 +224,9 @@ def fn8(spark, d):
     return q.select(S.describe_scope(F.col("course_code"), F.col("course_title"), F.col("semester"), F.lit(None).cast("string"), F.col("year"), F.when(F.col("unit") % 2 != 0, F.col("year") + 1)).alias("scope")).distinct()
 
 
-@query("fn10_highlight", r"SELECT doc_id, regexp_replace(left(text, 300), '(?i)(^|[^\p{L}0-9])((?:the|tion)[\p{L}0-9]*)', '\1**\2**', 'g') AS text FROM documents WHERE lang = 'en'")
+@query("fn10_highlight", r"SELECT doc_id, regexp_replace(text, '(?i)(^|[^\p{L}0-9])((?:the|tion)[\p{L}0-9]*)', '\1**\2**', 'g') AS text FROM documents")
 def fn10(spark, d):
-    return V.table(spark, d, "documents").where("lang = 'en'").select("doc_id", S.highlight(F.left("text", F.lit(300)), F.array(F.lit("the"), F.lit("tion"), F.lit("of"))).alias("text"))
+    return V.table(spark, d, "documents").select("doc_id", S.highlight(F.col("text"), F.array(F.lit("the"), F.lit("tion"), F.lit("of"))).alias("text"))
 
 
 @query("fn15_junk_ratio", "SELECT doc_id, round(length(regexp_replace(text, '[A-Za-z0-9\\s.,;:()''\"?!\\-+*/=<>%&_\\[\\]{}^|$#@~`’‘“”–—…→←≤≥≠∑√π∞∈∪∩θλμσΣΔ]', '', 'g')) / greatest(1, length(text)), 6) AS ratio FROM documents")
@@ -241,9 +241,9 @@ def fn16(spark, d):
     return V.questions(spark, d).groupBy("bloom", S.level_name(F.col("bloom")).alias("level"), S.unit_label(F.col("unit")).alias("unit_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("fn17_search_keys", "SELECT sha256(lower(trim(regexp_replace(left(text, 40), '\\s+', ' ', 'g')))) AS key, count(*) AS n FROM documents GROUP BY 1")
+@query("fn17_search_keys", "SELECT sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS key, count(*) AS n FROM documents GROUP BY 1")
 def fn17(spark, d):
-    return V.table(spark, d, "documents").groupBy(S.search_key(F.left("text", F.lit(40))).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return V.table(spark, d, "documents").groupBy(S.search_key(F.col("text")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ast2_citations", f"{WITH} SELECT question_id, course_code || ' ' || exam_type || ' ' || month || ' ' || year || ' U' || unit AS citation FROM questions")
@@ -251,7 +251,7 @@ def ast2(spark, d):
     return V.questions(spark, d).select("question_id", S.citation(F.col("course_code"), F.col("exam_type"), F.col("month"), F.col("year"), F.concat(F.lit(" U"), "unit")).alias("citation"))
 
 
-@query("ast4_question_keys", "SELECT count(DISTINCT key) AS n_keys FROM (SELECT rtrim(lower(regexp_replace(left(text, 30), '\\s+', ' ', 'g')), '?.! ') || '|' || source AS key FROM documents)")
+@query("ast4_question_keys", "SELECT count(DISTINCT key) AS n_keys FROM (SELECT rtrim(lower(regexp_replace(text, '\\s+', ' ', 'g')), '?.! ') || '|' || source AS key FROM documents)")
 def ast4(spark, d):
-    t = V.table(spark, d, "documents").withColumn("q", F.concat(F.upper(F.left("text", F.lit(30))), F.lit(" ?!")))
+    t = V.table(spark, d, "documents").withColumn("q", F.concat(F.upper(F.col("text")), F.lit(" ?!")))
     return t.agg(F.countDistinct(C.question_key(F.col("q"), F.col("source"))).alias("n_keys"))

@@ -35,11 +35,11 @@ def doc1(spark, d):
     return D.lines(_pages(spark, d))
 
 
-@query("doc3_marker_repair", r"""WITH m AS (SELECT doc_id, unnest(['| ' || left(text, 30), '(C) ' || left(text, 20), '© ) x', 'marks CO1', 'see coi here', 'CoZ']) AS line, generate_subscripts([1,2,3,4,5,6], 1) AS k FROM documents)
+@query("doc3_marker_repair", r"""WITH m AS (SELECT doc_id, unnest(['| ' || text, '(C) ' || text, '© ) x', 'marks CO1', 'see coi here', 'CoZ']) AS line, generate_subscripts([1,2,3,4,5,6], 1) AS k FROM documents)
 SELECT doc_id, k, CASE k WHEN 1 THEN CASE WHEN regexp_matches(t, '^\s*\(?\s*[A-H]\s*\)\s') THEN 'never' ELSE t END WHEN 2 THEN 'c) ' || ltrim(substr(line, 5)) WHEN 3 THEN '© ) x' WHEN 4 THEN 'marks CO1' WHEN 5 THEN 'see CO1 here' ELSE 'CO2' END AS line FROM (SELECT *, substr(line, 3) AS t FROM m)""".replace("WHEN 3 THEN '© ) x'", "WHEN 3 THEN 'c) x'").replace("'c) ' || ltrim(substr(line, 5))", "'c) ' || substr(line, 5)"))
 def doc3(spark, d):
     t = V.table(spark, d, "documents")
-    made = F.array(F.concat(F.lit("| "), F.left("text", F.lit(30))), F.concat(F.lit("(C) "), F.left("text", F.lit(20))), F.lit("© ) x"), F.lit("marks CO1"), F.lit("see coi here"), F.lit("CoZ"))
+    made = F.array(F.concat(F.lit("| "), F.col("text")), F.concat(F.lit("(C) "), F.col("text")), F.lit("© ) x"), F.lit("marks CO1"), F.lit("see coi here"), F.lit("CoZ"))
     x = t.select("doc_id", F.posexplode(made).alias("k", "line"))
     return x.select("doc_id", (F.col("k") + 1).alias("k"), D.repair_markers(F.col("line")).alias("line"))
 

@@ -8,6 +8,7 @@ from paperloom import views as V
 from paperloom.operators import analytics as A
 from paperloom.operators import retrieval as R
 from paperloom.operators import similarity as S
+from paperloom.operators.catalogue import GENERIC_WORDS
 from paperloom.operators.filters import FILTER_FIELDS, override, passes
 from paperloom.plans.analytics import _list
 from paperloom.plans.registry import query
@@ -22,7 +23,7 @@ def _terms(text: str) -> str:
 
 def _text_queries(spark, d):
     b = V.table(spark, d, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("text", " "), 1, 8)).alias("text"))
+    return b.select(F.col("item_id").alias("query_id"), "text")
 
 
 def _corpus(spark, d):
@@ -30,7 +31,7 @@ def _corpus(spark, d):
     return t.select(F.col("document_id").alias("id"), R.words(F.col("text")).alias("body"), F.array("source").alias("tags"), F.array("lang").alias("lang"))
 
 
-_BQ = f"q AS (SELECT query_id, unnest(list_distinct({_terms('t')})) AS term FROM (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS t FROM benchmark))"
+_BQ = f"q AS (SELECT query_id, unnest(list_distinct({_terms('t')})) AS term FROM (SELECT item_id AS query_id, text AS t FROM benchmark))"
 _BF = f"f AS (SELECT doc_id AS id, 1.0 AS boost, 'body' AS field, {_terms('text')} AS t FROM documents UNION ALL SELECT doc_id, 1.0, 'tags', [source] FROM documents UNION ALL SELECT doc_id, 0.5, 'lang', [lang] FROM documents)"
 _BM25 = f"""{_BQ}, {_BF}, st AS (SELECT field, count(*) AS n, avg(len(t)) AS al FROM f GROUP BY field),
 tf AS (SELECT field, boost, id, len(t) AS l, term, count(*) AS tf FROM (SELECT *, unnest(t) AS term FROM f) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
@@ -54,10 +55,10 @@ def _dot(a: str, b: str) -> str:
 
 
 def _vector_queries(spark, d):
-    return V.vectors(spark, d).where("id % 40 = 0 AND id < 1600").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"), F.col("doc").alias("q_doc"))
+    return V.vectors(spark, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("vec").alias("q_vec"), F.col("doc").alias("q_doc"))
 
 
-_VQ = "vq AS (SELECT id AS query_id, vec AS q_vec, doc AS q_doc FROM v WHERE id % 40 = 0 AND id < 1600)"
+_VQ = "vq AS (SELECT id AS query_id, vec AS q_vec, doc AS q_doc FROM v WHERE id % 20 = 0)"
 
 
 def _vr(where: str, name: str = "vr") -> str:
@@ -70,11 +71,11 @@ def ret3(spark, d):
 
 
 _FUSED = "fu AS (SELECT query_id, id, max(vr) AS vector_rank, max(kr) AS keyword_rank, round(coalesce(1.0 / (60 + max(vr)), 0) + coalesce(1.0 / (60 + max(kr)), 0), 9) AS score FROM (SELECT query_id, id, rank AS vr, NULL::BIGINT AS kr FROM vl UNION ALL SELECT query_id, id, NULL, rank FROM kl) GROUP BY 1, 2), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vector_rank ASC NULLS LAST, keyword_rank) AS rank FROM fu)"
-_LISTS = f"{VECTORS}, {_VQ}, {_vr('true')}, vl AS (SELECT query_id // 40 AS query_id, id, rank FROM vr), {_BM25}, kl AS (SELECT query_id, id, rank FROM bm)"
+_LISTS = f"{VECTORS}, {_VQ}, {_vr('true')}, vl AS (SELECT query_id // 20 AS query_id, id, rank FROM vr), {_BM25}, kl AS (SELECT query_id, id, rank FROM bm)"
 
 
 def _lists(spark, d):
-    v = R.nearest_vectors(_vector_queries(spark, d), V.vectors(spark, d)).select((F.col("query_id") / 40).cast("long").alias("query_id"), "id", "rank")
+    v = R.nearest_vectors(_vector_queries(spark, d), V.vectors(spark, d)).select((F.col("query_id") / 20).cast("long").alias("query_id"), "id", "rank")
     return v, _keyword(spark, d).select("query_id", "id", "rank")
 
 
@@ -217,16 +218,21 @@ def ret12(spark, d):
     return S.tags(_near(spark, d), 0.2)
 
 
-@query("ret13_proposals", f"WITH {VECTORS}, pr AS (SELECT id % 60 + 20 AS slug, vec FROM v WHERE id BETWEEN 100 AND 159), n AS (SELECT slug, arg_max(t.id, (round({_dot('pr.vec', 't.vec')}, 6), t.id)) AS near FROM pr JOIN v t ON t.id < 40 WHERE slug >= 40 AND round({_dot('pr.vec', 't.vec')}, 6) >= 0.25 GROUP BY 1) SELECT slug, CASE WHEN slug < 40 THEN slug ELSE coalesce(near, slug) END AS topic, CASE WHEN slug < 40 THEN 'same' WHEN near IS NOT NULL THEN 'near' ELSE 'new' END AS how FROM pr LEFT JOIN n USING (slug)")
+@query("ret13_proposals", f"WITH {VECTORS}, pr AS (SELECT id AS slug, vec FROM v), n AS (SELECT slug, arg_max(t.id, (round({_dot('pr.vec', 't.vec')}, 6), t.id)) AS near FROM pr JOIN v t ON t.id < 40 WHERE slug >= 40 AND round({_dot('pr.vec', 't.vec')}, 6) >= 0.25 GROUP BY 1) SELECT slug, CASE WHEN slug < 40 THEN slug ELSE coalesce(near, slug) END AS topic, CASE WHEN slug < 40 THEN 'same' WHEN near IS NOT NULL THEN 'near' ELSE 'new' END AS how FROM pr LEFT JOIN n USING (slug)")
 def ret13(spark, d):
-    p = V.vectors(spark, d).where("id BETWEEN 100 AND 159").select((F.col("id") % 60 + 20).alias("slug"), F.col("vec").alias("p_vec"))
+    p = V.vectors(spark, d).select(F.col("id").alias("slug"), F.col("vec").alias("p_vec"))
     return S.resolve_proposals(p, _vocabulary(spark, d).select("topic", "t_vec"), 0.25)
 
 
-@query("jn7_title_linkage", f"WITH {VECTORS} SELECT o.id AS code, t.id AS p_code, round({_dot('o.vec', 't.vec')}, 2) AS score FROM v o JOIN v t ON o.id < 40 AND o.id <> t.id WHERE round({_dot('o.vec', 't.vec')}, 2) >= 0.3")
+_SHARE = f"len(list_filter(string_split_regex(lower(o.title), '[^a-z]+'), lambda w: length(w) >= 4 AND w NOT IN ('{"', '".join(GENERIC_WORDS)}') AND contains(regexp_replace(lower(t.title), '[^a-z]', '', 'g'), w))) > 0"
+
+
+@query("jn7_title_linkage", f"WITH {VECTORS}, ti AS (SELECT id, vec, p_name AS title FROM v JOIN part ON p_partkey = id) SELECT o.id AS code, t.id AS p_code, round({_dot('o.vec', 't.vec')}, 2) AS score FROM ti o JOIN ti t ON o.id % 20 = 0 AND o.id <> t.id WHERE round({_dot('o.vec', 't.vec')}, 2) >= 0.3 AND {_SHARE}")
 def jn7(spark, d):
-    v = V.vectors(spark, d)
-    return S.link_titles(v.where("id < 40").select(F.col("id").alias("code"), "vec"), v.select(F.col("id").alias("p_code"), F.col("vec").alias("p_vec")), 0.3)
+    part = V.table(spark, d, "part").select(F.col("p_partkey").alias("pk"), "p_name")
+    v = V.vectors(spark, d).join(part, F.col("id") == F.col("pk"))
+    official = v.where("id % 20 = 0").select(F.col("id").alias("code"), F.col("p_name").alias("title"), "vec")
+    return S.link_titles(official, v.select(F.col("id").alias("p_code"), F.col("p_name").alias("p_title"), F.col("vec").alias("p_vec")), 0.3)
 
 
 def _catalogue(spark, d):

@@ -81,12 +81,13 @@ def judge(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFram
 
     ``candidates`` must be a written table with a unique ``row_id``.
     """
-    owned = ownership(candidates).select(F.col("value_hash").alias("o_hash"), "owners", "repositories")
-    spread = materialize(owned, "owners").withColumn("o_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    # Values that are not among the copied ones need no row here. The salt is part of the written table, so that its size is what Spark sees.
+    widely = ownership(candidates).where(F.col("owners") >= copied_owners).select(F.col("value_hash").alias("o_hash"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("o_salt"))
+    spread = materialize(widely, "copied")
     each = candidates.select("row_id", F.explode("found").alias("c"))
     each = each.select("row_id", "c", F.unhex(F.sha2("c.value", 256)).alias("value_hash"), F.pmod(F.xxhash64("row_id"), F.lit(_SALTS)).cast("int").alias("salt"))
-    known = each.join(spread, (F.col("value_hash") == F.col("o_hash")) & (F.col("salt") == F.col("o_salt")), "inner")
-    copied = F.col("owners") >= copied_owners
+    known = each.join(spread, (F.col("value_hash") == F.col("o_hash")) & (F.col("salt") == F.col("o_salt")), "left")
+    copied = F.col("o_hash").isNotNull()
     live = ~copied & F.expr(_looks_live("c.value"))
     known = known.where((F.col("c.kind") != BARE[0]) | ~copied)
     span = F.struct("c.start", "c.rank", "c.end", "c.kind", live.alias("live"), copied.alias("copied"))

@@ -3,7 +3,7 @@
 A page becomes a row of text blocks. A classifier gives each block two costs, of calling it boilerplate
 and of calling it content; they are the capacities from the source and to the sink. Neighbouring blocks,
 and successive blocks of the same container, are tied by smoothness edges. The minimum cut, found by
-augmenting paths, splits the blocks; those on the source's side are the main text.
+maximum flow, splits the blocks; those on the source's side are the main text.
 """
 
 from __future__ import annotations
@@ -32,13 +32,15 @@ _STOP = re.compile(r"[.!?,;:…。]")
 #: Elements by what they do to blocks.
 DROPPED = frozenset("script style noscript template textarea title select svg math iframe object canvas audio video head button".split())
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table tbody thead tfoot blockquote figure fieldset details dialog menu center".split())
-BREAKS = frozenset("p li h1 h2 h3 h4 h5 h6 tr dt dd pre hr caption figcaption address summary legend option".split())
+BREAKS = frozenset("p li h1 h2 h3 h4 h5 h6 tr td th dt dd pre hr caption figcaption address summary legend option".split())
+INLINE = frozenset("span b i em strong small u s a mark font abbr cite q label ins del sub sup code".split())
 #: Elements, roles and name parts that speak for boilerplate or for content.
 BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond replies related recommended widget pagination pager toolbar masthead login signup copyright disclaimer topbar sitemap".split()
 )
+ADVERT_NAMES = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo".split())
 CONTENT_TAGS = frozenset("article main".split())
 CONTENT_NAMES = frozenset("article articlebody post entry story content main maintext".split())
 
@@ -68,17 +70,17 @@ def blocks(page: str) -> list[Block]:
     stack = [("", 0, False, False)]
     parts: list[str] = []
     linked = link = containers = 0
-    heading = False
+    heading = leaf = False
 
     def close() -> None:
-        nonlocal linked, heading
+        nonlocal linked, heading, leaf
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
                 _, number, bad, good = stack[-1]
-                out.append(Block(text, min(linked, len(text)), number, bad, good, heading))
+                out.append(Block(text, min(linked, len(text)), number, bad or leaf, good, heading))
             parts.clear()
-        linked, heading = 0, False
+        linked, heading, leaf = 0, False, False
 
     at = 0
     while True:
@@ -95,7 +97,9 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if name in DROPPED:
+        if name in INLINE and not m["end"] and m["rest"] and _unseen(m["rest"]):
+            at = _end_of(page, name, at)
+        elif name in DROPPED:
             if not m["end"] and not m["rest"].endswith("/"):
                 ends = re.compile(f"</{re.escape(name)}(?=[\\s>/]|$)[^>]*>?", re.I)
                 if name == "head":  # it may be left open: the body ends it
@@ -108,11 +112,12 @@ def blocks(page: str) -> list[Block]:
             parts.append(" ")
         elif name == "a":
             link = 0 if m["end"] else 1
-        elif name == "br" or name in ("td", "th", "img", "wbr"):
+        elif name == "br" or name in ("img", "wbr"):
             parts.append("" if name == "wbr" else " ")
         elif name in BREAKS:
             close()
             heading = name[0] == "h" and name != "hr" and not m["end"]
+            leaf = not m["end"] and bool(m["rest"]) and _judged(name, m["rest"], False, True)[0]
         elif name in CONTAINERS:
             close()
             if m["end"]:
@@ -128,12 +133,40 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _names(a: dict[str, str]) -> set[str]:
+    return set(_SPLIT_NAMES.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}").lower())) if a else set()
+
+
+def _hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+
+
+def _unseen(rest: str) -> bool:
+    """Whether what an inline element holds is no text of its block: it is hidden or an advert."""
+    a = _attributes(rest)
+    return _hidden(a) or bool(_names(a) & ADVERT_NAMES)
+
+
+def _end_of(page: str, name: str, at: int) -> int:
+    """Where the inline element that was opened just before ``at`` ends: behind its end tag, or where a block tag stands if it has none before that."""
+    depth = 1
+    for m in _TOKEN.finditer(page, at):
+        tag = (m["name"] or "").lower()
+        if tag == name:
+            depth += -1 if m["end"] else 1
+            if not depth:
+                return m.end()
+        elif tag in CONTAINERS or tag in BREAKS:
+            return m.start()
+    return len(page)
+
+
 def _judged(name: str, rest: str, bad: bool, good: bool) -> tuple[bool, bool]:
     """Whether a container is inside boilerplate and inside content, given its parent."""
     a = _attributes(rest) if rest else {}
-    names = set(_SPLIT_NAMES.split(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')} {a.get('itemprop', '')}").lower())) if a else set()
+    names = _names(a)
     role = a.get("role", "").lower()
-    hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    hidden = _hidden(a)
     whole = name in ("html", "body")
     says_content = name in CONTENT_TAGS or role in ("main", "article") or bool(names & CONTENT_NAMES) and not names & BOILERPLATE_NAMES and not whole
     says_boilerplate = name in BOILERPLATE_TAGS or role in BOILERPLATE_ROLES or hidden or bool(names & BOILERPLATE_NAMES) and not whole
@@ -165,7 +198,9 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
     """Which nodes stay with the source in the minimum cut with the fewest nodes there.
 
     ``edges`` are (node, node, capacity both ways). What source and sink can send straight through a node
-    goes first; then shortest augmenting paths run from any node with supply to any with demand.
+    goes first. Then come phases: one search from all nodes with supply gives each its distance, and all paths
+    of the least length to nodes with demand are filled. Supply seldom goes further than a few blocks, so the
+    phases are few and a page costs little more than its length.
     """
     n = len(source)
     spare = [a - b for a, b in zip(source, sink, strict=True)]
@@ -173,40 +208,47 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
     room: list[int] = []
     out: list[list[int]] = [[] for _ in range(n)]
     for a, b, capacity in edges:
-        out[a].append(len(to))
-        to.append(b)
-        room.append(capacity)
-        out[b].append(len(to))
-        to.append(a)
-        room.append(capacity)
+        for x, y in ((a, b), (b, a)):
+            out[x].append(len(to))
+            to.append(y)
+            room.append(capacity)
     while True:
-        came: list[int] = [-1] * n
-        seen = [s > 0 for s in spare]
-        queue = deque(i for i, s in enumerate(spare) if s > 0)
-        end = -1
+        supply = [i for i, s in enumerate(spare) if s > 0]
+        far, queue, met = [-1] * n, deque(supply), False
+        for i in supply:
+            far[i] = 0
         while queue:
             a = queue.popleft()
             for e in out[a]:
-                b = to[e]
-                if room[e] and not seen[b]:
-                    seen[b], came[b] = True, e
-                    if spare[b] < 0:
-                        end = b
-                        queue.clear()
-                        break
-                    queue.append(b)
-        if end < 0:
-            return seen
-        path, a = [], end
-        while came[a] >= 0:
-            path.append(came[a])
-            a = to[came[a] ^ 1]
-        flow = min(spare[a], -spare[end], *(room[e] for e in path))
-        spare[a] -= flow
-        spare[end] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+                if room[e] and far[to[e]] < 0:
+                    far[to[e]] = far[a] + 1
+                    met |= spare[to[e]] < 0
+                    queue.append(to[e])
+        if not met:
+            return [d >= 0 for d in far]
+        tried = [0] * n
+        for i in supply:
+            path: list[int] = []
+            while spare[i] > 0:
+                a = to[path[-1]] if path else i
+                if spare[a] < 0:
+                    flow = min(spare[i], -spare[a], *(room[e] for e in path))
+                    spare[i] -= flow
+                    spare[a] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    path = []
+                    continue
+                while tried[a] < len(out[a]) and not (room[e := out[a][tried[a]]] and far[to[e]] == far[a] + 1):
+                    tried[a] += 1
+                if tried[a] < len(out[a]):
+                    path.append(out[a][tried[a]])
+                elif path:
+                    path.pop()
+                    tried[to[path[-1]] if path else i] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:

@@ -72,3 +72,17 @@ def test_minimum_cut_against_all_cuts():
 def test_smoothness_carries_a_short_block():
     page = f"<div><p>{PROSE}</p><p>and so</p><p>{PROSE}</p></div>"
     assert "and so" in main_text(page) and len(blocks(page)) == 3
+
+
+def test_notices_and_hidden_text_inside_an_article():
+    page = "<article><h1>Title of it</h1><p>A first paragraph that says something, at length.</p><p class='cookie-notice'>We use cookies on this site.</p><p class=\"advert\">Buy now, pay later.</p><p hidden>Not to be seen.</p><p>The second paragraph<span style='display: none'> secret <span>words</span></span> goes on <b class='promo'>50 % off</b>here.</p></article>"
+    assert main_text(page) == "Title of it\nA first paragraph that says something, at length.\nThe second paragraph goes on here."
+
+
+def test_long_pages_take_seconds():
+    import time
+
+    page = "<body>" + "".join(f"<div><p>Paragraph {i} says a good deal, and then some more.</p></div><p><a href=x>link {i}</a></p>" for i in range(25_000)) + "</body>"
+    began = time.time()
+    assert main_text(page).count("\n") > 20_000
+    assert time.time() - began < 30

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from paperloom import views as V
 from paperloom.functions import scalars as S
-from paperloom.llm.common import scratch_dir
 from paperloom.operators import activity as ACT
 from paperloom.operators import analytics as A
 from paperloom.operators import assistant as AST
@@ -16,6 +15,7 @@ from paperloom.operators import listing as L
 from paperloom.operators.understanding import understand
 from paperloom.plans.registry import query
 from paperloom.sources import intake as I
+from paperloom.tables import shared_folder
 
 
 def _pages(spark, d):
@@ -145,7 +145,7 @@ def str2s(spark, d):
     s = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     s = s.select(F.col("ts").cast("timestamp").alias("ts"), "user_id").withWatermark("ts", "60 days")
     out = ACT.rate_audit(s, "user_id", "15 minutes", 1)
-    base, written = f"{scratch_dir(spark)}/paperloom-rates-{uuid.uuid4().hex}", []
+    base, written = f"{shared_folder(spark)}/paperloom-rates-{uuid.uuid4().hex}", []
 
     def write(batch, epoch):
         # Each batch is the whole result so far; the last one counts.

@@ -91,17 +91,27 @@ class Encoder:
         if len(self.known) > CACHE_CHUNKS:
             self.older, self.known = self.known, {}
         cut = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if t and "\0" not in t else [] for t in texts]
-        self._learn(set().union(*cut) - self.known.keys())
+        # Most chunks are known: each is looked up once, and only the gaps of a text are looked at again.
         get = self.known.get
-        out, whole = [], []
-        for t, chunks in zip(texts, cut, strict=True):
+        found = [list(map(get, chunks)) for chunks in cut]
+        out, gaps, missing = [], {}, set()
+        for i, (chunks, ids) in enumerate(zip(cut, found, strict=True)):
             try:
-                out.append(b"".join(map(get, chunks)))
-                if t and not chunks:
-                    whole.append(len(out) - 1)
-            except TypeError:  # a chunk without ids of its own
-                whole.append(len(out))
+                out.append(b"".join(ids))
+            except TypeError:  # not all of them are known
+                gaps[i] = [at for at, x in enumerate(ids) if x is None]
+                missing.update([chunks[at] for at in gaps[i]])
                 out.append(b"")
+        self._learn(missing)
+        whole = [i for i, t in enumerate(texts) if t and not cut[i]]
+        for i, places in gaps.items():
+            chunks, ids = cut[i], found[i]
+            for at in places:
+                ids[at] = get(chunks[at])
+            try:
+                out[i] = b"".join(ids)
+            except TypeError:  # a chunk without ids of its own
+                whole.append(i)
         for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out

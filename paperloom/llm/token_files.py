@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,36 @@ SEGMENT_IDS = 1 << 18
 _HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("spare", "u1"), ("values", "<u2"), ("exceptions", "<u2")])
 
 
+@lru_cache(128)
+def _lanes(width: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For n values of a width: the 32-bit word where each begins, its place there, and the first value of each word."""
+    bit = np.arange(n, dtype=np.int64) * width
+    word = bit >> 5
+    return word, (bit & 31).astype(np.uint64), np.flatnonzero(np.diff(word, prepend=-1))
+
+
+def _pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one behind the other from the lowest bit up."""
+    if not width:
+        return b""
+    _, place, firsts = _lanes(width, len(values))
+    # A value begins in every word, since none is wider; what goes over a word's end belongs to the next.
+    sums = np.add.reduceat((values & np.uint64((1 << width) - 1)) << place, firsts)
+    words = np.zeros(len(sums) + 1, np.uint64)
+    words[:-1] = sums & np.uint64(0xFFFFFFFF)
+    words[1:] |= sums >> np.uint64(32)
+    return words.astype("<u4").tobytes()[: (len(values) * width + 7) // 8]
+
+
+def _unpack_bits(body: bytes, width: int, n: int) -> np.ndarray:
+    if not width:
+        return np.zeros(n, np.uint32)
+    word, place, firsts = _lanes(width, n)
+    words = np.frombuffer(body.ljust(4 * (len(firsts) + 1), b"\0"), "<u4").astype(np.uint64)
+    pairs = words[:-1] | words[1:] << np.uint64(32)
+    return (pairs[word] >> place & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """One block of 1 to 65,535 values of 32 bits."""
     least = int(values.min())
@@ -42,19 +73,16 @@ def pack_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     typical = int(np.partition(rest, k := min(len(rest) - 1, int(len(rest) * percentile / 100)))[k])
     width = typical.bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
     head = np.array([(least, width, 0, len(values), len(over))], _HEAD)
     high = (rest[over] >> np.uint32(width)).astype("<u4") if width < 32 else np.zeros(0, "<u4")
-    return head.tobytes() + np.packbits(bits.ravel(), bitorder="little").tobytes() + over.astype("<u2").tobytes() + high.tobytes()
+    return head.tobytes() + _pack_bits(rest.astype(np.uint64), width) + over.astype("<u2").tobytes() + high.tobytes()
 
 
 def unpack_block(block: bytes) -> np.ndarray:
     head = np.frombuffer(block, _HEAD, 1)[0]
     n, width, extra, at = int(head["values"]), int(head["width"]), int(head["exceptions"]), _HEAD.itemsize
     size = (n * width + 7) // 8
-    full = np.zeros((n, 32), np.uint8)
-    full[:, :width] = np.unpackbits(np.frombuffer(block, np.uint8, size, at), bitorder="little")[: n * width].reshape(n, width)
-    rest = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
+    rest = _unpack_bits(block[at : at + size], width, n)
     over = np.frombuffer(block, "<u2", extra, at + size)
     rest[over] |= np.frombuffer(block, "<u4", extra, at + size + 2 * extra) << np.uint32(width)
     return rest + np.uint32(head["least"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
+from paperloom.llm import ann, decontaminate, filter_audit, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
 from paperloom.llm.common import table
 
 
@@ -50,9 +50,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing, op12_decontaminate, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op12_decontaminate": decontaminate.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

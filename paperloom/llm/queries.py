@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import ann, decontaminate, filter_audit, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
+from paperloom.llm import alignment, ann, decontaminate, filter_audit, html_extract, line_dedup, ngram_join, packing, quality, secrets, sentencepiece_fst, sharding, token_files
 from paperloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_links(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -59,7 +63,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing, op12_decontaminate, op13_filter_audit)}
+    return {f.__name__: f for f in (op1_html_extract, op2_token_files, op3_nearest_neighbours, op4_secret_scan, op5_line_dedup, op6_quality_rules, op7_sharding, op8_sentencepiece, op9_ngram_jaccard_join, op10_packing, op11_token_alignment, op12_decontaminate, op13_filter_audit)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,7 +54,7 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
+    def parts(self, parts: list[str]) -> list[bytes]:
         """The ids of short parts without line ends: they go to the tokenizer as the lines of one text."""
         if not parts:
             return []
@@ -83,7 +83,7 @@ class Encoder:
                 else:
                     parts.add(chunk)
         parts = [p for p in parts if p not in known]
-        known.update(zip(parts, self._parts(parts), strict=True))
+        known.update(zip(parts, self.parts(parts), strict=True))
         known.update((chunk, known[word] + known[marks]) for chunk, word, marks in marked)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:

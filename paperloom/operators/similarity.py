@@ -1,88 +1,208 @@
-"""Similarity joins over vectors, duplicate parents and groups.
-
-Exact pairs are found block against block: vectors are dealt into blocks, every pair of blocks is one
-task's matrix product, and only pairs over the threshold leave it. For tables too large for that,
-``candidate_pairs`` blocks by random hyperplanes first and checks exactly after (its recall is measured
-in the tests).
+"""Similarity joins over unit vectors, duplicate parents and groups, without all pairs.
+
+Vectors are hashed by random hyperplanes. A pair at an angle ``w`` agrees on one plane with probability 1 - w/pi, so the
+number of planes to a table follows from the number of vectors (buckets of about ``BUCKET`` at even spread) and the
+number of tables from the recall asked for at the threshold; closer pairs are found more often. Within
+a bucket every pair is compared exactly. Equal vectors are one class before anything is hashed. A bucket
+that is larger than ``BLOCK`` all the same is compared block by block, in as many tasks as it has pairs of
+blocks, and what leaves a task is already reduced (a row's best, the best of all), never the pairs of a group.
+With ``exact`` there is one table without planes: all pairs, block by block.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.catalogue import share_keyword
 from paperloom.operators.retrieval import dot, in_blocks
 from paperloom.tables import settled
 
+#: Vectors that a bucket should have, and the most that one side of a comparison has.
+BUCKET = 1000
+BLOCK = 2000
+#: The share of pairs at the threshold that the tables are to find.
+RECALL = 0.95
+_SALTS = 16
+#: In place of an id where there is none.
+_NONE = (1 << 63) - 1
+
+
+def hash_plan(n: int, threshold: float, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
+    """(planes to a table, tables) for ``n`` vectors: a pair at the threshold shares a bucket of some table with probability ``recall``."""
+    planes = max(0, round(math.log2(max(1, n) / bucket)))
+    shared = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes
+    return planes, 1 if shared >= recall else math.ceil(math.log(1 - recall) / math.log(1 - shared))
+
+
+def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int = 5) -> DataFrame:
+    """``classes`` with ``keys``: the bucket of ``vec`` in each table."""
+    normals = np.random.default_rng(seed).normal(size=(dim, tables * planes))
+    weights = 1 << np.arange(planes, dtype=np.int64)
 
-#: Vectors to a block of the exact pair join; two blocks and their products take some 35 MB at 64 dimensions.
-BLOCK_VECTORS = 1500
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vec = batch.column(batch.schema.get_field_index("vec"))
+            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            keys = ((x @ normals > 0).reshape(len(x), tables, planes) * weights).sum(2)
+            offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))], names=[*batch.schema.names, "keys"])
 
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema) + ", keys array<bigint>"
+    return classes.mapInArrow(keyed, schema)
 
-def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
-    """(a, b, score) of all a < b whose inner product is over the threshold; score to six places.
 
-    ``vectors``: id, vec. A task holds two blocks of about ``BLOCK_VECTORS`` vectors, however many there are.
-    The work is that of all pairs; ``candidate_pairs`` is for tables too large for that.
+#: From a task's left and right rows and the pairs found (places in both, scores) to the rows that leave it.
+Reduce = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+
+
+def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str) -> DataFrame:
+    """``reduce`` over the pairs of every bucket (and equal ``within``) whose score, to six places, reaches the threshold.
+
+    ``keyed``: id, vec, keys. A pair that shares buckets of several tables counts in the first only.
     """
-    blocks = blocks or max(1, -(-vectors.count() // BLOCK_VECTORS))
-    x = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
-    others = F.sequence(F.lit(0), F.lit(blocks - 1))
-    cells = x.withColumn("other", F.explode(others)).select("id", "vec", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["block"] == i], rows[rows["block"] == j]
+    rows = keyed.select("*", F.posexplode("keys").alias("table", "key"))
+    of = ["table", "key", *within]
+    # At most one row for each BLOCK rows; a hot bucket's rows meet it as Spark sees fit (broadcast or skew join).
+    big = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select(*[F.col(c).alias(f"b_{c}") for c in of], "size")
+    rows = rows.join(big, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in of], "left").drop(*[f"b_{c}" for c in of])
+    blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("size", "blocks", "other")
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        i, j, table = x["i"].iloc[0], x["j"].iloc[0], x["table"].iloc[0]
+        left = x[x["block"] == i].reset_index(drop=True)
+        right = left if i == j else x[x["block"] == j].reset_index(drop=True)
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64", "score": "float64"})
-        s = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-        ai, bi = np.nonzero(s > threshold - 1e-9)
-        p, q = left["id"].to_numpy()[ai], right["id"].to_numpy()[bi]
-        out = pd.DataFrame({"a": np.minimum(p, q), "b": np.maximum(p, q), "score": np.round(s[ai, bi], 6)})
-        return out[(p < q) if i == j else (p != q)]
-
-    return cells.groupBy("i", "j").applyInPandas(compare, "a long, b long, score double").where(F.col("score") > threshold)
-
-
-def candidate_pairs(vectors: DataFrame, threshold: float, planes: int = 8, tables: int = 24, seed: int = 5) -> DataFrame:
-    """(a, b, score) over the threshold among pairs on the same side of all hyperplanes of some table: approximate, without all pairs."""
-    dim = len(vectors.select("vec").first().vec)
-    rng = np.random.default_rng(seed)
-    normals = rng.normal(size=(tables, planes, dim))
-    keys = [
-        F.concat_ws("", F.lit(f"{t}:"), *[F.when(dot("vec", F.array(*[F.lit(float(c)) for c in normals[t, p]])) > 0, "1").otherwise("0") for p in range(planes)]) for t in range(tables)
-    ]
-    x = vectors.select("id", "vec", F.explode(F.array(*keys)).alias("key"))
-    a, b = x.select(F.col("id").alias("a"), "key"), x.select(F.col("id").alias("b"), F.col("key").alias("k2"))
-    pairs = a.join(b, (F.col("key") == F.col("k2")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
-    va, vb = vectors.select(F.col("id").alias("a"), F.col("vec").alias("va")), vectors.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return pairs.join(va, "a").join(vb, "b").select("a", "b", F.round(dot("va", "vb"), 6).alias("score")).where(F.col("score") > threshold)
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence: float = 0.6, n: int = 100) -> DataFrame:
-    """The most similar pairs of different documents among rows that are sure enough. ``vectors``: id, vec, doc, confidence."""
-    sure = vectors.where(F.col("confidence") >= min_confidence)
-    d = sure.select("id", "doc")
-    x = similar_pairs(sure, threshold).join(d.toDF("a", "doc_a"), "a").join(d.toDF("b", "doc_b"), "b").where("doc_a <> doc_b")
-    return x.orderBy(F.desc("score"), "a", "b").limit(n).select("a", "b", "score")
-
-
-def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, nearest: int = 10) -> DataFrame:
-    """(id, parent): the first earlier question of the same paper over the threshold, else the most similar earlier one.
-
-    Order of arrival is the id. Of other papers only the ``nearest`` by similarity count. ``vectors``: id, vec, doc.
+            return reduce(left, right, *[np.zeros(0, np.int64)] * 2, np.zeros(0))
+        s = np.round(np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T, 6)
+        p, q = np.nonzero(s >= threshold)
+        if i == j:
+            p, q = p[p < q], q[p < q]
+        if table and len(p):
+            a, b = (np.stack(t["keys"].to_numpy())[:, :table] for t in (left, right))
+            new = np.concatenate([~(a[p[k : k + 100_000]] == b[q[k : k + 100_000]]).any(1) for k in range(0, len(p), 100_000)])
+            p, q = p[new], q[new]
+        return reduce(left, right, p, q, s[p, q])
+
+    return rows.groupBy(*of, "i", "j").applyInPandas(compare, schema)
+
+
+def _hashed(x: DataFrame, threshold: float, recall: float, exact: bool, bucket: int) -> DataFrame:
+    """A written table of ``x`` with the keys of its vectors."""
+    found = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    planes, tables = (0, 1) if exact else hash_plan(found.n, threshold, recall, bucket)
+    return settled(with_keys(x, planes, tables, found.dim or 1))
+
+
+def _all_pairs_of(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+    a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """(a, b, score) of the a < b whose inner product, to six places, reaches the threshold; of equal vectors the least id stands for all.
+
+    ``vectors``: id, vec (unit vectors of one length; null ones are left out). ``equal_vectors`` has who stands for whom.
+    """
+    x = vectors.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec")
+    return in_buckets(_hashed(x, threshold, recall, exact, bucket), threshold, [], _all_pairs_of, "a long, b long, score double")
+
+
+def equal_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, first) of the rows whose vector an earlier row has: the least id of that vector."""
+    first = vectors.where("vec IS NOT NULL").groupBy("vec").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    salted = first.select(F.md5(F.to_json(F.struct("vec"))).alias("of"), "first", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("f_salt"))
+    x = vectors.where("vec IS NOT NULL").select("id", F.md5(F.to_json(F.struct("vec"))).alias("digest"), F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int").alias("salt"))
+    return x.join(salted, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("f_salt"))).where("id > first").select("id", "first")
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence: float = 0.6, n: int = 100, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """The ``n`` most similar pairs (over the threshold) of different documents among rows that are sure enough: a, b, score.
+
+    ``vectors``: id, vec, doc, confidence. Classes of equal vectors are compared; a task passes on its ``n`` best
+    pairs of classes, by score and by the least pair of rows of different documents in them, and only those
+    that are best of all are expanded to rows.
+    """
+    sure = vectors.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull()).select("id", "vec", "doc")
+    # The first row of a class, and the first of another document: Spark keeps two rows of a class before the shuffle.
+    units = sure.groupBy("vec", "doc").agg(F.min("id").alias("id"))
+    two = units.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where("r <= 2")
+    classes = two.groupBy("vec").agg(F.max(F.when(F.col("r") == 1, F.col("id"))).alias("id"), F.max(F.when(F.col("r") == 1, F.col("doc"))).alias("doc"), F.coalesce(F.max(F.when(F.col("r") == 2, F.col("id"))), F.lit(_NONE)).alias("second"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        c1, d1 = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
+        c2, d2 = left["second"].to_numpy()[p], right["second"].to_numpy()[q]
+        apart = left["doc"].to_numpy()[p] != right["doc"].to_numpy()[q]
+        lo, hi = np.minimum(c1, d1), np.maximum(c1, d1)
+        # Where both first rows are of one document, one of them meets the other's first row of another document.
+        lo1, hi1, lo2, hi2 = np.minimum(c1, d2), np.maximum(c1, d2), np.minimum(c2, d1), np.maximum(c2, d1)
+        sooner = (lo1 < lo2) | (lo1 == lo2) & (hi1 <= hi2)
+        lo, hi = np.where(apart, lo, np.where(sooner, lo1, lo2)), np.where(apart, hi, np.where(sooner, hi1, hi2))
+        out = pd.DataFrame({"a_class": c1, "b_class": d1, "score": s, "lo": lo, "hi": hi})
+        return out[out["hi"] < _NONE].sort_values(["score", "lo", "hi"], ascending=[False, True, True]).head(n)
+
+    schema = "a_class long, b_class long, score double, lo long, hi long"
+    keyed = _hashed(classes, threshold, recall, exact, bucket)
+    links = in_buckets(keyed, threshold, [], best, schema)
+    own = keyed.where(F.col("second") < _NONE).select(F.col("id").alias("a_class"), F.col("id").alias("b_class"), F.round(dot("vec", "vec"), 6).alias("score"), F.col("id").alias("lo"), F.col("second").alias("hi"))
+    links = settled(links.unionByName(own).where(F.col("score") > threshold).orderBy(F.desc("score"), "lo", "hi").limit(n))
+    # At most 2n classes; of each class and document no more than its n + 1 first rows can be in the n best pairs.
+    wanted = links.select(F.explode(F.array("a_class", "b_class")).alias("w")).distinct()
+    of = keyed.join(F.broadcast(wanted), F.col("id") == F.col("w")).select(F.col("vec").alias("c_vec"), F.col("id").alias("class"))
+    rows = sure.join(F.broadcast(of), F.col("vec") == F.col("c_vec")).select("class", "id", "doc")
+    rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("class", "doc").orderBy("id"))).where(F.col("r") <= n + 1).drop("r")
+    a, b = rows.toDF("ca", "a", "doc_a"), rows.toDF("cb", "b", "doc_b")
+    x = links.join(a, F.col("a_class") == F.col("ca")).join(b, F.col("b_class") == F.col("cb"))
+    x = x.where("doc_a <> doc_b AND (a_class <> b_class OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    return x.orderBy(F.desc("score"), "a", "b").limit(n)
+
+
+def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """(id, parent): the first earlier question of the same paper over the threshold, else the most similar earlier one (ties to the smaller id).
+
+    Order of arrival is the id, which is unique. ``vectors``: id, vec (unit), doc. Rows without a vector have no parent. Every task
+    reduces to one row for each row of a bucket: the least id of its paper, or the best earlier one. Rows
+    that repeat a vector take what its first row has found, as that is as near to all of them.
     """
-    pairs = similar_pairs(vectors, threshold - 1e-6)
-    d = vectors.select("id", "doc")
-    x = pairs.join(d.toDF("a", "doc_a"), "a").join(d.toDF("b", "doc_b"), "b").select(F.col("b").alias("id"), F.col("a").alias("earlier"), "score", (F.col("doc_a") == F.col("doc_b")).alias("same"))
-    x = x.where(F.col("score") >= threshold)
-    first = x.where("same").groupBy("id").agg(F.min("earlier").alias("in_paper"))
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "earlier")
-    best = x.withColumn("r", F.row_number().over(w)).where(F.col("r") <= nearest).where("r = 1").select(F.col("id").alias("b_id"), F.col("earlier").alias("best"))
-    return vectors.select("id").join(first, "id", "left").join(best, F.col("id") == F.col("b_id"), "left").select("id", F.coalesce("in_paper", "best").alias("parent"))
+    x = vectors.where("vec IS NOT NULL").select("id", "vec", "doc")
+
+    def first(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
+        out = pd.DataFrame({"id": np.maximum(a, b), "found": np.minimum(a, b)})
+        return out.groupby("id", as_index=False)["found"].min()
+
+    def best(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
+        a, b = left["id"].to_numpy()[p], right["id"].to_numpy()[q]
+        out = pd.DataFrame({"id": np.maximum(a, b), "found": np.minimum(a, b), "score": s})
+        return out.sort_values(["score", "found"], ascending=[False, True]).drop_duplicates("id")
+
+    # Within a paper: one row for each vector of a paper.
+    units = _hashed(x.groupBy("vec", "doc").agg(F.min("id").alias("id")), threshold, recall, exact, bucket)
+    in_paper = in_buckets(units, threshold, ["doc"], first, "id long, found long").groupBy("id").agg(F.min("found").alias("found"))
+    # Over all papers: one row for each vector.
+    classes = units.groupBy("vec", "keys").agg(F.min("id").alias("id"))
+    nearest = in_buckets(classes, threshold, [], best, "id long, found long, score double")
+    nearest = nearest.groupBy("id").agg(F.min_by("found", F.struct(-F.col("score"), F.col("found"))).alias("found"), F.max("score").alias("score"))
+    # A later row of a vector: its first row is an earlier one with the highest score there is, but others may be as near.
+    again = equal_vectors(x.select(F.struct("vec", "doc").alias("vec"), "id")).select("id", F.col("first").alias("of"))
+    of_unit = again.join(in_paper.toDF("u", "before"), F.col("of") == F.col("u"), "left").select("id", F.coalesce("before", "of").alias("found"))
+    in_paper = in_paper.unionByName(of_unit)
+    self_score = classes.select(F.col("id").alias("c"), F.round(dot("vec", "vec"), 6).alias("own"))
+    repeated = equal_vectors(x.select("vec", "id")).select("id", F.col("first").alias("of"))
+    near = nearest.join(self_score, F.col("id") == F.col("c")).where("score >= own").select(F.col("id").alias("n_id"), F.col("found").alias("n_found"))
+    of_class = repeated.join(near, F.col("of") == F.col("n_id"), "left").select("id", F.coalesce("n_found", "of").alias("found"))
+    nearest = nearest.select("id", "found").unionByName(of_class)
+    out = vectors.select("id").join(in_paper.toDF("p_id", "in_paper"), F.col("id") == F.col("p_id"), "left")
+    return out.join(nearest.toDF("b_id", "best"), F.col("id") == F.col("b_id"), "left").select("id", F.coalesce("in_paper", "best").alias("parent"))
 
 
 def groups(parents: DataFrame) -> DataFrame:

@@ -50,13 +50,3 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 def test_names_and_twins_belong_together():
     assert set(plans.SQL) <= set(plans.QUERIES)
     assert len(plans.QUERIES) > 120
-
-
-def test_blocked_similarity_finds_most_exact_pairs(spark, sf_dir):
-    from paperloom.operators.similarity import candidate_pairs, similar_pairs
-    from paperloom.views import vectors
-
-    v = vectors(spark, sf_dir)
-    exact = {(r.a, r.b) for r in similar_pairs(v, 0.3).collect()}
-    found = {(r.a, r.b) for r in candidate_pairs(v, 0.3, planes=4, tables=24).collect()}
-    assert found <= exact and len(found) >= 0.6 * len(exact)

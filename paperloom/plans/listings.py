@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from paperloom import views as V
+from paperloom.document_table import DocumentTable
 from paperloom.functions import scalars as S
 from paperloom.operators import activity as ACT
 from paperloom.operators import analytics as A
@@ -15,6 +16,7 @@ from paperloom.operators import listing as L
 from paperloom.operators.understanding import understand
 from paperloom.plans.registry import query
 from paperloom.sources import intake as I
+from paperloom.streaming import intake
 from paperloom.tables import shared_folder
 
 
@@ -157,6 +159,24 @@ def str2s(spark, d):
     return rates.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("str1_intake", "SELECT document_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT doc_id AS document_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY 1")
+def str1(spark, d):
+    """Documents taken in as a stream over the table's files, merged into a document table and read back."""
+    t = V.table(spark, d, "documents")
+    s = spark.readStream.schema(t.schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 8).parquet(f"{d}/documents.parquet*")
+    base = f"{shared_folder(spark)}/paperloom-intake-{uuid.uuid4().hex}"
+    target = DocumentTable(spark, f"{base}/lines")
+
+    def process(pages):
+        kept = F.filter(F.transform(F.split("text", "\n"), lambda l: F.trim(l)), lambda l: l != "")
+        return pages.select("document_id", F.posexplode(kept).alias("at", "line"))
+
+    intake.ingest(s.select(F.col("doc_id").alias("document_id"), "text"), process, target, f"{base}/checkpoint").awaitTermination()
+    rows = target.read()
+    rows = rows if rows is not None else process(t.limit(0).select(F.col("doc_id").alias("document_id"), "text"))
+    return rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).cast("long").alias("n_chars"))
+
+
 @query("str4_live_allowance_batch", "SELECT event_id AS request_id, place, place <= 2 AS ok FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id, (ts + INTERVAL '330 minutes')::DATE ORDER BY ts, event_id) AS place FROM events)")
 def str4(spark, d):
     """What the live allowance says of each request, worked out as a batch (the stream itself is tested against it)."""

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom import views as V
+from paperloom.document_table import DocumentTable
 from paperloom.operators import analytics as A
 from paperloom.operators import retrieval as R
 from paperloom.operators import similarity as S
 from paperloom.operators.catalogue import GENERIC_WORDS
+from paperloom.operators.curation import retag
 from paperloom.operators.filters import FILTER_FIELDS, override, passes
 from paperloom.plans.analytics import _list
 from paperloom.plans.registry import query
+from paperloom.tables import shared_folder
 from paperloom.views import VECTORS, WITH
 
 _STOP = "', '".join(R.STOP_WORDS)
@@ -218,6 +223,32 @@ def ret12(spark, d):
     return S.tags(_near(spark, d), 0.2)
 
 
+_RETAG = "segment IN ('BUILDING', 'MACHINERY') AND status IN ('F', 'O')"
+
+
+@query("cur5_retag", f"""{WITH}, {VECTORS}, {_NEAR}, t AS (SELECT id, string_agg(topic::VARCHAR, ',' ORDER BY place) AS tags FROM c WHERE score >= 0.2 AND place <= 3 GROUP BY id),
+s AS (SELECT document_id FROM papers WHERE {_RETAG} AND document_id IN (SELECT document_id FROM questions WHERE confidence < 0.02))
+SELECT question_id, document_id, CASE WHEN document_id IN (SELECT document_id FROM s) THEN coalesce(tags, '') WHEN confidence < 0.02 THEN '' ELSE array_to_string(topics, ',') END AS tags FROM questions LEFT JOIN t ON t.id = group_id""")
+def cur5(spark, d):
+    """Papers of two codes with untagged questions, tagged by their groups' vectors; the job runs twice over the whole table.
+
+    Segments play course codes, two order states play ready and in review, and the surest questions have lost their topics.
+    """
+    q = V.questions(spark, d)
+    q = q.withColumn("topics", F.when(F.col("confidence") >= 0.02, F.col("topics")).otherwise(F.array().cast("array<string>")))
+    p = V.papers(spark, d).select("document_id", F.col("segment").alias("course_code"), F.when(F.col("status") == "F", "ready").when(F.col("status") == "O", "needs_review").otherwise("failed").alias("status"))
+    table = DocumentTable(spark, f"{shared_folder(spark)}/paperloom-questions-{uuid.uuid4().hex}")
+    table.merge(q.select("question_id", "document_id", "group_id", "topics"), 0)
+
+    def tag(questions):
+        topics = S.tags(_near(spark, d), 0.2).select(F.col("id").alias("g"), F.split("tags", ",").alias("found"))
+        return questions.join(topics, F.col("group_id") == F.col("g")).select("question_id", F.col("found").alias("topics"))
+
+    for epoch in (1, 2):
+        retag(table, p, tag, epoch, ["BUILDING", "MACHINERY"], only_untagged=True)
+    return table.read().select("question_id", "document_id", F.array_join("topics", ",").alias("tags"))
+
+
 @query("ret13_proposals", f"WITH {VECTORS}, pr AS (SELECT id AS slug, vec FROM v), n AS (SELECT slug, arg_max(t.id, (round({_dot('pr.vec', 't.vec')}, 6), t.id)) AS near FROM pr JOIN v t ON t.id < 40 WHERE slug >= 40 AND round({_dot('pr.vec', 't.vec')}, 6) >= 0.25 GROUP BY 1) SELECT slug, CASE WHEN slug < 40 THEN slug ELSE coalesce(near, slug) END AS topic, CASE WHEN slug < 40 THEN 'same' WHEN near IS NOT NULL THEN 'near' ELSE 'new' END AS how FROM pr LEFT JOIN n USING (slug)")
 def ret13(spark, d):
     p = V.vectors(spark, d).select(F.col("id").alias("slug"), F.col("vec").alias("p_vec"))

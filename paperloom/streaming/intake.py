@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from paperloom.document_table import DocumentTable
 from paperloom.functions.scalars import india_day
 
 
@@ -22,12 +23,15 @@ def first_copies(pages: DataFrame, delay: str = "1 day") -> DataFrame:
     return pages.withColumn("hash", F.sha2("text", 256)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["hash"])
 
 
-def ingest(pages: DataFrame, process: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Each batch is processed and written under its documents' partitions; a document that comes again replaces its earlier rows."""
+def ingest(pages: DataFrame, process: Callable[[DataFrame], DataFrame], target: DocumentTable, checkpoint: str) -> StreamingQuery:
+    """Each batch is processed and merged into the target; a document that comes again replaces its earlier rows.
+
+    ``process`` keeps the target's key. A batch that is repeated after a failure has the same number and
+    replaces itself. A target belongs to one checkpoint, which numbers its batches.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        out = process(batch)
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("document_id").parquet(target)
+        target.merge(process(batch), epoch, batch.select(target.key))
 
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

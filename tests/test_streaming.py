@@ -1,24 +1,102 @@
+import os
+
 from pyspark.sql import functions as F
 
 from paperloom import views as V
+from paperloom.document_table import DocumentTable
 from paperloom.operators.activity import rate_audit
+from paperloom.operators.curation import retag
 from paperloom.operators.documents import lines
 from paperloom.streaming import intake as I
 
 
+def files_of(path):
+    return sum(f.startswith("part-") for _, _, names in os.walk(path) for f in names)
+
+
 def test_ingest_replaces_documents_that_come_again(spark, tmp_path):
-    src, target = str(tmp_path / "src"), str(tmp_path / "out")
+    src = str(tmp_path / "src")
+    target = DocumentTable(spark, str(tmp_path / "out"))
     schema = "document_id long, page long, text string, ts timestamp"
     ts = F.lit("2024-01-01 10:00:00").cast("timestamp")
     one = spark.createDataFrame([(1, 1, "a\nb"), (2, 1, "c"), (3, 1, "c")], "document_id long, page long, text string").withColumn("ts", ts)
     one.coalesce(1).write.parquet(src)
     pages = I.first_copies(I.pages_stream(spark, src, schema))
-    q = I.ingest(pages, lambda b: lines(b).select("document_id", "line"), target, str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert sorted(r.line for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
-    spark.createDataFrame([(1, 1, "z")], "document_id long, page long, text string").withColumn("ts", ts).write.mode("append").parquet(src)
-    I.ingest(pages, lambda b: lines(b).select("document_id", "line"), target, str(tmp_path / "cp")).awaitTermination(120)
-    assert sorted(r.line for r in spark.read.parquet(target).collect()) == ["c", "z"]
+    process = lambda b: lines(b).select("document_id", "line")
+    I.ingest(pages, process, target, str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.line for r in target.read().collect()) == ["a", "b", "c"]
+    spark.createDataFrame([(1, 1, "z"), (2, 1, " ")], "document_id long, page long, text string").withColumn("ts", ts).write.mode("append").parquet(src)
+    I.ingest(pages, process, target, str(tmp_path / "cp")).awaitTermination(120)
+    left = {(r.document_id, r.line) for r in target.read().collect()}
+    assert (1, "z") in left and not {(1, "a"), (1, "b"), (2, "c")} & left
+
+
+def batch(spark, ids, word):
+    return spark.createDataFrame([(i, f"{word}{k}") for i in ids for k in range(i % 3)], "document_id long, line string")
+
+
+def held(table):
+    return sorted(map(tuple, table.read().collect()))
+
+
+def test_document_table_against_a_dict(spark, tmp_path):
+    """Batches with documents that come again, that lose all rows, and batches that are repeated, late ones too."""
+    table, want = DocumentTable(spark, str(tmp_path / "t"), buckets=2, compact_after=3), {}
+    assert table.read() is None
+    plan = [(range(10), "a"), (range(5, 15), "b"), (range(0, 20, 4), "c"), (range(3), "d"), (range(19, 22), "e"), ([7, 8], "f"), ([1], "g"), ([2], "h")]
+    for epoch, (ids, word) in enumerate(plan):
+        rows, docs = batch(spark, ids, word), spark.createDataFrame([(i,) for i in ids], "document_id long")
+        table.merge(rows, epoch, docs)
+        want |= {i: [f"{word}{k}" for k in range(i % 3)] for i in ids}
+        now = sorted((i, l) for i, ls in want.items() for l in ls)
+        assert held(table) == now
+        table.merge(rows, epoch, docs)  # the same batch again
+        if epoch:  # and one that was merged long ago
+            ids0, word0 = plan[max(0, epoch - 3)]
+            if table._marked("base") and table._marked("base")[-1] >= epoch - 3 >= 0:
+                table.merge(batch(spark, ids0, word0), epoch - 3)
+        assert held(table) == now
+    # Two bases and the batches after the older one, in two files each, with their keys.
+    assert files_of(tmp_path / "t") <= 2 * 2 + 2 * 2 * 2 * 3
+
+
+def test_an_unfinished_batch_is_not_read(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    table.merge(batch(spark, [1, 2], "a"), 0)
+    before = held(table)
+    table._write(batch(spark, [1, 2], "b"), "rows", 1)  # the driver was lost here
+    assert held(table) == before
+    table.merge(batch(spark, [1], "c"), 1)
+    assert held(table) == [(1, "c0"), (2, "a0"), (2, "a1")]
+
+
+def test_many_documents_few_files(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"), buckets=4, compact_after=4)
+    for epoch in range(6):
+        table.merge(spark.range(epoch * 15_000, epoch * 15_000 + 25_000).select(F.col("id").alias("document_id"), F.lit(epoch).alias("v")), epoch)
+    assert table.read().count() == 100_000
+    assert table.read().groupBy("v").count().orderBy("v").collect()[-1]["count"] == 25_000
+    assert files_of(tmp_path / "t") <= 4 * (2 + 2 * 2 * 4)
+
+
+def test_retag_twice_is_once(spark, tmp_path):
+    table = DocumentTable(spark, str(tmp_path / "t"))
+    rows = [("q1", 1, ["x"]), ("q2", 1, []), ("q3", 2, []), ("q4", 3, ["y"]), ("q5", 4, []), ("q6", 5, None)]
+    table.merge(spark.createDataFrame(rows, "question_id string, document_id long, topics array<string>"), 0)
+    papers = spark.createDataFrame([(1, "ready", "A"), (2, "needs_review", "B"), (3, "ready", "A"), (4, "failed", "A"), (5, "ready", "A"), (6, "ready", "A")], "document_id long, status string, course_code string")
+    tag = lambda q: q.where("question_id <> 'q6'").select("question_id", F.array(F.lit("new")).alias("topics"))
+    state = lambda: {r.question_id: r.topics for r in table.read().collect()}
+    report = retag(table, papers, tag, 1, ["A"], only_untagged=True)
+    assert {tuple(r) for r in report.collect()} == {(1, 2, 2), (5, 1, 1)}
+    first = state()
+    assert first == {"q1": ["new"], "q2": ["new"], "q3": [], "q4": ["y"], "q5": [], "q6": []}
+    assert spark.read.parquet(f"{tmp_path}/t/rows/epoch=1").select("document_id").distinct().count() == 2
+    retag(table, papers, tag, 1, ["A"], only_untagged=True)
+    assert state() == first
+    retag(table, papers, tag, 2, ["A"], only_untagged=True)
+    assert state() == first
+    retag(table, papers, tag, 3)
+    assert state() == {"q1": ["new"], "q2": ["new"], "q3": ["new"], "q4": ["new"], "q5": [], "q6": []}
 
 
 def test_stream_of_rates_equals_its_batch(spark, sf_dir, tmp_path):

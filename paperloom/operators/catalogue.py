@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.analytics import joined
+from paperloom.tables import settled
 
 
 def with_labels(topics_used: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -157,12 +158,33 @@ def derived_status(papers: DataFrame, reviews: DataFrame) -> DataFrame:
     return x.select("document_id", F.coalesce("n_open", F.lit(0)).alias("n_open"), F.when(F.col("n_open") > 0, "needs_review").otherwise("ready").alias("status"))
 
 
-def page_of(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """One page of an ordered table, with the total and the number of pages on each row; the page is kept in range."""
-    n = df.agg(F.count(F.lit(1)).alias("total")).withColumn("n_pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)))
-    # A page number beyond the last is the last: the offset depends on the count, so ranks are compared.
-    at = F.least(F.lit(max(1, page)), F.col("n_pages"))
-    # Only the rows up to the page asked for can be on it or, when it is out of range, the last rows.
-    x = df.withColumn("k", F.lit(1)).join(n.withColumn("k", F.lit(1)), "k").drop("k")
-    first = x.orderBy(*order).limit(page * size).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
-    return first.where((F.col("pos") > (at - 1) * size) & (F.col("pos") <= at * size)).drop("pos")
+#: Pages that end within so many rows are taken as the first rows; a later page is looked for in a part of about PART_ROWS.
+FIRST_ROWS = 10_000
+PART_ROWS = 200_000
+
+
+def page_of(df: DataFrame, order: list[Column], page: int, size: int, first_rows: int = FIRST_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    """One page of an ordered table, with the total and the number of pages on each row; the page is kept in range.
+
+    ``order`` is a total order. An early page is a top-k. For a late one the rows are dealt into ranges of the
+    order, written, and counted by range; the counts (one row for each ``part_rows`` rows) say which ranges the page lies in, and only
+    those are sorted. So no task holds the rows before the page.
+    """
+    total = df.count()
+    n_pages = max(1, -(-total // size))
+    skip = (min(max(1, page), n_pages) - 1) * size
+    if skip + size > first_rows:
+        ranged = settled(df.repartitionByRange(max(1, -(-total // part_rows)), *order).withColumn("__part", F.spark_partition_id()))
+        df, skip = _ranges_with(ranged, skip, size)
+    return df.orderBy(*order).offset(skip).limit(size).withColumns({"total": F.lit(total).cast("long"), "n_pages": F.lit(n_pages).cast("long")})
+
+
+def _ranges_with(ranged: DataFrame, skip: int, size: int) -> tuple[DataFrame, int]:
+    """The rows of the ranges that hold the places after ``skip``, and how many of those rows come before."""
+    at, chosen, before = 0, [], 0
+    for r in ranged.groupBy("__part").count().orderBy("__part").collect():
+        if at < skip + size and at + r["count"] > skip:
+            before = at if not chosen else before
+            chosen.append(r["__part"])
+        at += r["count"]
+    return ranged.where(F.col("__part").isin(chosen)).drop("__part"), skip - before

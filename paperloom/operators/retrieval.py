@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.filters import passes
+from paperloom.tables import settled
 
 QUERY_BLOCK = 10_000
 K1, B = 1.2, 0.75
@@ -27,26 +28,73 @@ def words(text: Column) -> Column:
     return F.filter(F.split(t, WORD_SPLIT), lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int = 50) -> DataFrame:
+#: Postings, for each query, of the rarest terms that the first bound is worked out from.
+FIRST_POSTINGS = 2000
+#: Scores are rounded to six places, so rows this near to a bound are kept.
+_SLACK = 2e-6
+
+
+def postings(queries: DataFrame, corpus: DataFrame, fields: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """(query_id, term) wanted, and (id, term, s): what a term of the queries adds to a row's score. Both are written tables.
+
+    The corpus is read once: each field gives its terms and, under the empty term, one row with its length, from which
+    the statistics of the whole corpus are worked out. Terms of no query go before the first shuffle.
+    """
+    wanted = settled(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
+    # The terms are worked out once a row, in the explode of the fields.
+    named = [F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields]
+    rows = corpus.select("id", F.explode(F.array(*named)).alias("f")).where("f.terms IS NOT NULL")
+    rows = rows.select("id", "f.field", F.size("f.terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.col("f.terms"))).alias("term"))
+    asked = wanted.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
+    tf = settled(rows.join(asked, "term", "left_semi").groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf")))
+    # One row for each field.
+    stats = tf.where("term = ''").groupBy(F.col("field").alias("s_field")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    tf = tf.where("term <> ''")
+    df = tf.groupBy(F.col("field").alias("d_field"), F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
+    boost = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    df = df.join(F.broadcast(stats), F.col("d_field") == F.col("s_field")).withColumn("weight", F.element_at(boost, F.col("d_field")) * idf * (K1 + 1))
+    x = tf.join(df, (F.col("field") == F.col("d_field")) & (F.col("term") == F.col("d_term")))
+    s = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    return wanted, settled(x.groupBy("id", "term").agg(F.sum(s).alias("s")))
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int = 50, first_postings: int = FIRST_POSTINGS) -> DataFrame:
     """query_id, id, score (6 places), rank of the ``k`` best rows of each query.
 
-    ``queries``: query_id, text; ``corpus``: id and one array of terms for each field. A row matches when a
-    field holds a query term. Statistics are those of the whole corpus. Terms of the queries filter the
-    postings before anything else is joined, so common words of the corpus cost only their own postings.
+    ``queries``: query_id, text; ``corpus``: id and one array of terms for each field. A row matches when a field
+    holds a query term. Statistics are those of the whole corpus.
+
+    Common words have the most postings and add the least. The rarest terms of a query (``first_postings``
+    postings, one term at least) give a first score of some rows; the ``k``-th best of these is a bound that the result can't stay under.
+    Terms whose highest contributions together can't reach it are *weak*: a row with weak terms only is not in the result, so the postings
+    of weak terms are read for the rows that are in reach of the bound alone. Every other row is left out
+    for sure, so the result is that of scoring all.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    terms = wanted.select("term").distinct()
-    total = None
-    for field, boost in fields.items():
-        f = corpus.select("id", F.col(field).alias("t")).withColumn("len", F.size("t"))
-        stats = f.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")).withColumn("one", F.lit(1))
-        tf = f.select("id", "len", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-        df = tf.groupBy(F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
-        x = tf.join(df, F.col("term") == F.col("d_term")).withColumn("one", F.lit(1)).join(F.broadcast(stats), "one")  # one row
-        idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        part = x.select("term", "id", (F.lit(boost) * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("s"))
-        total = part if total is None else total.unionByName(part)
-    scored = total.join(wanted, "term").groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
+    wanted, posted = postings(queries, corpus, fields)
+    # One row for each term of the queries.
+    terms = posted.groupBy(F.col("term").alias("t_term")).agg(F.count(F.lit(1)).alias("n"), F.max("s").alias("most"))
+    of_query = Window.partitionBy("query_id")
+    by_rarity = of_query.orderBy("n", "term")
+    asked = wanted.join(terms, F.col("term") == F.col("t_term")).withColumn("before", F.coalesce(F.sum("n").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    asked = settled(asked.withColumn("rare", (F.col("before") < first_postings) & ((F.col("before") == 0) | (F.col("before") + F.col("n") <= first_postings))).select("query_id", "term", "n", "most", "rare"))
+
+    def scores(of: DataFrame) -> DataFrame:
+        return posted.join(of.select("query_id", F.col("term").alias("q_term")), F.col("term") == F.col("q_term")).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+
+    first = scores(asked.where("rare")).withColumn("r", F.row_number().over(of_query.orderBy(F.desc("s"), "id"))).where(F.col("r") == k)
+    bound = first.select(F.col("query_id").alias("b_id"), F.col("s").alias("bound"))
+    x = asked.join(bound, F.col("query_id") == F.col("b_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    # The commonest terms, as long as all they can add stays under the bound.
+    x = x.withColumn("reach", F.sum("most").over(of_query.orderBy(F.desc("n"), "term")))
+    x = settled(x.withColumn("weak", ~F.col("rare") & (F.col("reach") + _SLACK < F.col("bound"))).select("query_id", "term", "most", "weak", "bound"))
+    strong = scores(x.where("NOT weak"))
+    spare = x.groupBy(F.col("query_id").alias("w_id")).agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("spare"))
+    near = settled(strong.join(spare, F.col("query_id") == F.col("w_id")).where(F.col("s") + F.col("spare") + _SLACK >= F.col("bound")).select("query_id", "id", "s"))
+    weak = x.where("weak").select(F.col("query_id").alias("k_id"), F.col("term").alias("k_term"))
+    rest = near.join(weak, F.col("query_id") == F.col("k_id")).select("query_id", F.col("id").alias("n_id"), "k_term")
+    rest = posted.join(rest, (F.col("id") == F.col("n_id")) & (F.col("term") == F.col("k_term"))).select("query_id", "id", "s")
+    scored = near.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
     return ranked(scored, k)
 
 

@@ -220,6 +220,14 @@ def srt2(spark, d):
     return C.page_of(V.papers(spark, d).select("document_id", "created_at"), [F.desc("created_at"), F.asc("document_id")], 3, 25).select("document_id", "total", "n_pages")
 
 
+@query("srt2_late_page", "SELECT l_orderkey, l_linenumber, l_shipdate, (SELECT count(*) FROM lineitem) AS total, ceil((SELECT count(*) FROM lineitem) / 25)::BIGINT AS n_pages FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25 OFFSET 49975")
+def srt2_late(spark, d):
+    """Page 2,000, far behind the first rows."""
+    x = V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey")
+    order = [F.desc("l_shipdate"), *map(F.asc, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    return C.page_of(x, order, 2000, 25).drop("l_partkey", "l_suppkey")
+
+
 @query("srt3_custom_order", f"WITH {LIBRARY} SELECT paper_id, year, exam_type FROM library ORDER BY CASE exam_type WHEN 'SEE' THEN 0 WHEN 'Makeup' THEN 1 ELSE 2 END, year DESC NULLS LAST, paper_id LIMIT 100")
 def srt3(spark, d):
     rank = F.when(F.col("exam_type") == "SEE", 0).when(F.col("exam_type") == "Makeup", 1).otherwise(2)

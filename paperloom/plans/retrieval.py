@@ -16,7 +16,7 @@ from paperloom.operators.curation import retag
 from paperloom.operators.filters import FILTER_FIELDS, override, passes
 from paperloom.plans.analytics import _list
 from paperloom.plans.registry import query
-from paperloom.tables import shared_folder
+from paperloom.tables import settled, shared_folder
 from paperloom.views import VECTORS, WITH
 
 _STOP = "', '".join(R.STOP_WORDS)
@@ -80,8 +80,9 @@ _LISTS = f"{VECTORS}, {_VQ}, {_vr('true')}, vl AS (SELECT query_id // 20 AS quer
 
 
 def _lists(spark, d):
+    """Both lists, written once: 50 rows for each query."""
     v = R.nearest_vectors(_vector_queries(spark, d), V.vectors(spark, d)).select((F.col("query_id") / 20).cast("long").alias("query_id"), "id", "rank")
-    return v, _keyword(spark, d).select("query_id", "id", "rank")
+    return settled(v), settled(_keyword(spark, d).select("query_id", "id", "rank"))
 
 
 @query("ret5_rank_fusion", f"WITH {_LISTS}, {_FUSED} SELECT query_id, id, score, vector_rank, keyword_rank, rank FROM fr")

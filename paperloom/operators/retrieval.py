@@ -207,12 +207,18 @@ def evaluate(hits: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return x.groupBy("mode").agg(mean(F.col("n") / F.col("size")).alias("recall"), mean(F.col("d") / F.col("size")).alias("recall_distinct"), mean(1 / F.col("first")).alias("mrr"))
 
 
+#: Fixed values of the fuzzy scores: what stands before a word's start, and what a match gains and loses.
+BEFORE_WORD = r"[\s\-/(]"
+CONTIGUOUS, AT_START, BY_LENGTH = 1000, 200, 0.5
+EACH, STREAK, START, GAP, MOST_GAP = 1.0, 3.0, 6.0, 0.3, 10
+
+
 def contiguous_score(name: Column, query: Column) -> Column:
     """Score of a name that holds the query as one piece: earlier and at a word's start is better; NULL if it does not."""
     n, q = F.lower(name), F.lower(query)
     at = F.instr(n, q)
-    starts = (at == 1) | F.substring(n, at - 1, F.lit(1)).rlike("[^a-z0-9]")
-    return F.when((F.length(q) > 0) & (at > 0), 1000 - (at - 1) + F.when(starts, 200).otherwise(0) - 0.5 * F.length(n))
+    starts = (at == 1) | F.substring(n, at - 1, F.lit(1)).rlike(BEFORE_WORD)
+    return F.when((F.length(q) > 0) & (at > 0), CONTIGUOUS - (at - 1) + F.when(starts, AT_START).otherwise(0) - BY_LENGTH * F.length(n))
 
 
 def scattered_score(name: Column, query: Column) -> Column:
@@ -222,31 +228,51 @@ def scattered_score(name: Column, query: Column) -> Column:
     """
     n = F.lower(name)
     state = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("score"), F.lit(0).alias("streak"), F.lit(True).alias("ok"))
-
-    chars = F.filter(F.split(F.lower(query), ""), lambda c: (c != "") & (c != " "))
     place = lambda s, c: F.call_function("locate", c, n, s["at"] + 1)
 
     def fold(s: Column, c: Column) -> Column:
         at = place(s, c)
         streak = F.when(at == s["at"] + 1, s["streak"] + 1).otherwise(0)
-        start = (at == 1) | F.substring(n, at - 1, F.lit(1)).rlike("[^a-z0-9]")
-        gain = 10 + 5.0 * streak + F.when(start, 8.0).otherwise(0.0) - F.least(at - s["at"] - 1, F.lit(10)).cast("double")
+        start = (at == 1) | F.substring(n, at - 1, F.lit(1)).rlike(BEFORE_WORD)
+        gain = EACH + STREAK * streak + F.when(start, START).otherwise(0.0) - GAP * F.least(at - s["at"] - 1, F.lit(MOST_GAP))
         return F.struct(at.alias("at"), (s["score"] + gain).alias("score"), streak.alias("streak"), (s["ok"] & (at > 0)).alias("ok"))
 
+    chars = _characters(F.lower(query))
     done = F.aggregate(chars, state, fold)
-    return F.when((F.size(chars) > 0) & done["ok"], done["score"] - 0.5 * F.length(n))
+    return F.when((F.size(chars) > 0) & done["ok"], done["score"])
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: (c != "") & (c != " "))
+
+
+def _in_order(chars: Column) -> Column:
+    """All pairs of a first and a later character, and all characters, each once."""
+    later = F.transform(chars, lambda c, i: F.transform(F.array_distinct(F.slice(chars, i + 2, F.size(chars))), lambda d: F.concat(c, d)))
+    return F.array_distinct(F.concat(chars, F.flatten(later)))
 
 
 def fuzzy(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """query_id, kind, id, score: the best score over a catalogue row's fields (``names``); rows without one are left out.
 
-    The queries are a stated set, taken in blocks.
+    Either way to match has the query's characters in their order, so every two neighbours of them are a pair *in order* in
+    the name. A query is looked up by its rarest such pair in an index of names; only what it finds there is scored.
+    Equal names and equal queries are scored once; queries without characters match nothing.
     """
-    named = catalogue.select("kind", "id", F.explode("names").alias("name"))
-    x = in_blocks(queries.select("query_id", "q"), lambda q: named.join(F.broadcast(q), F.lit(True)))
-    one = contiguous_score(F.col("name"), F.col("q"))
-    x = x.withColumn("score", F.coalesce(one, scattered_score(F.col("name"), F.col("q")))).where("score IS NOT NULL")
-    return x.groupBy("query_id", "kind", "id").agg(F.round(F.max("score"), 3).alias("score"))
+    named = catalogue.select("kind", "id", F.explode("names").alias("name")).where("name IS NOT NULL").withColumn("n", F.lower("name"))
+    q = queries.select("query_id", F.lower(F.trim("q")).alias("q_text"))
+    asked = q.select("q_text").distinct().withColumn("c", _characters(F.col("q_text"))).where(F.size("c") > 0)
+    pairs = F.transform(F.slice("c", 1, F.size("c") - 1), lambda x, i: F.concat(x, F.get("c", i + 1)))
+    asked = asked.select("q_text", F.explode(F.when(F.size("c") > 1, F.array_distinct(pairs)).otherwise(F.col("c"))).alias("pair"))
+    index = named.select("n").distinct().select("n", F.explode(_in_order(_characters(F.col("n")))).alias("key"))
+    index = settled(index.join(asked.select(F.col("pair").alias("key")).distinct(), "key", "left_semi"))
+    counts = index.groupBy(F.col("key").alias("c_key")).agg(F.count(F.lit(1)).alias("names"))
+    # A query with a pair that no name has finds nothing by that pair.
+    rarest = asked.join(counts, F.col("pair") == F.col("c_key"), "left").groupBy("q_text").agg(F.min_by("pair", F.struct(F.coalesce("names", F.lit(0)), "pair")).alias("pair"))
+    x = rarest.join(index, F.col("pair") == F.col("key")).select("q_text", "n")
+    x = x.withColumn("score", F.coalesce(contiguous_score(F.col("n"), F.col("q_text")), scattered_score(F.col("n"), F.col("q_text")))).where("score IS NOT NULL")
+    x = x.select(F.col("n").alias("s_n"), "q_text", "score").join(named, F.col("s_n") == F.col("n")).groupBy(F.col("q_text").alias("s_text"), "kind", "id").agg(F.round(F.max("score"), 3).alias("score"))
+    return q.join(x, F.col("q_text") == F.col("s_text")).select("query_id", "kind", "id", "score")
 
 
 #: How many of each kind a palette shows.

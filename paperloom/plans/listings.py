@@ -69,12 +69,30 @@ def _matched(spark, d):
     return asked, L.match_courses(asked, courses)
 
 
-@query("jn10_course_matching")
+def _sql_words(c: str) -> str:
+    return f"list_filter(string_split_regex(regexp_replace(replace(lower({c}), '&', ' and '), '[^a-z0-9 ]', ' ', 'g'), '\\s+'), lambda w: w <> '')"
+
+
+def _sql_without(words: str, stop: list[str]) -> str:
+    return f"list_filter({words}, lambda w: w NOT IN ('{"', '".join(stop)}'))"
+
+
+#: The same by all pairs of a department.
+_MATCHED = f"""co AS (SELECT p_brand || '-' || p_partkey AS code, p_name || ' ' || lower(p_type) AS title, 'D' || (p_size % 5) AS dept, p_size % 8 + 1 AS c_sem, p_partkey AS place FROM part),
+pa AS (SELECT c_custkey AS paper_id, CASE WHEN c_custkey % 3 = 0 THEN upper(p_name) ELSE p_name || ' & economy' END AS subject, 'D' || (c_custkey % 5) AS dept, CASE WHEN c_custkey % 4 > 0 THEN (c_custkey % 8 + 1)::INT END AS semester FROM customer JOIN part ON c_custkey = p_partkey),
+cw AS (SELECT code, dept, c_sem, place, array_to_string(w, ' ') AS ct, list_distinct({_sql_without('w', L.KEY_STOP)}) AS ck, array_to_string(list_transform({_sql_without('w', L.NO_INITIAL)}, lambda v: v[1]), '') AS ci FROM (SELECT *, {_sql_words('title')} AS w FROM co)),
+pw AS (SELECT *, array_to_string(w, ' ') AS st, list_distinct({_sql_without('w', L.KEY_STOP)}) AS sk, CASE WHEN regexp_full_match(trim(subject), '[A-Za-z]{{2,6}}') THEN lower(trim(subject)) END AS ab FROM (SELECT *, {_sql_words('subject')} AS w FROM pa)),
+sc AS (SELECT paper_id, code, place, CASE WHEN contains(st, ct) OR contains(ct, st) THEN 1 WHEN ab = ci OR ab = ci || 'a' THEN 0.9 ELSE len(list_intersect(sk, ck)) / greatest(len(sk), len(ck), 1) END AS score
+  FROM pw JOIN cw ON pw.dept = cw.dept AND (semester IS NULL OR abs(semester - c_sem) <= 1)),
+be AS (SELECT paper_id, arg_min(code, (-score, place)) AS course_code FROM sc WHERE score >= {L.LEAST_SCORE} GROUP BY 1)"""
+
+
+@query("jn10_course_matching", f"WITH {_MATCHED} SELECT paper_id, subject, dept, semester, course_code FROM pa LEFT JOIN be USING (paper_id)")
 def jn10(spark, d):
     return _matched(spark, d)[1].select("paper_id", "subject", "dept", "semester", "course_code")
 
 
-@query("cls10_match_rate")
+@query("cls10_match_rate", f"WITH {_MATCHED} SELECT (SELECT count(*) FROM customer) AS n_files, count(*) AS n_papers, count(course_code) AS n_matched FROM pa LEFT JOIN be USING (paper_id)")
 def cls10(spark, d):
     return L.match_rate(V.table(spark, d, "customer"), _matched(spark, d)[1])
 

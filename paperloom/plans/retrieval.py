@@ -282,13 +282,40 @@ def _palette_queries(spark):
 _NAMES = "nm AS (SELECT 'course' AS kind, p_partkey::VARCHAR AS id, unnest([p_name, p_brand]) AS name FROM part UNION ALL SELECT 'branch', n_nationkey::VARCHAR, n_name FROM nation UNION ALL SELECT DISTINCT 'subject', p_type, p_type FROM part)"
 
 
-@query("ret10_contiguous_matches", f"WITH {_NAMES}, q AS (SELECT * FROM (VALUES (1, 'ring'), (2, 'nation_1'), (3, 'brand#2'), (4, 'ec')) t(query_id, q)), m AS (SELECT *, instr(lower(name), q) AS pos FROM nm, q) SELECT query_id::BIGINT AS query_id, kind, id, max(round(1000 - (pos - 1) + CASE WHEN pos = 1 OR regexp_matches(substr(lower(name), pos - 1, 1), '[^a-z0-9]') THEN 200 ELSE 0 END - 0.5 * length(name), 3))::DOUBLE AS score FROM m WHERE pos > 0 GROUP BY 1, 2, 3")
+@query("ret10_contiguous_matches", f"WITH {_NAMES}, q AS (SELECT * FROM (VALUES (1, 'ring'), (2, 'nation_1'), (3, 'brand#2'), (4, 'ec')) t(query_id, q)), m AS (SELECT *, instr(lower(name), q) AS pos FROM nm, q) SELECT query_id::BIGINT AS query_id, kind, id, max(round(1000 - (pos - 1) + CASE WHEN pos = 1 OR regexp_matches(substr(lower(name), pos - 1, 1), '{R.BEFORE_WORD}') THEN 200 ELSE 0 END - 0.5 * length(name), 3))::DOUBLE AS score FROM m WHERE pos > 0 GROUP BY 1, 2, 3")
 def ret10(spark, d):
     x = _catalogue(spark, d).select("kind", "id", F.explode("names").alias("name")).join(F.broadcast(_palette_queries(spark)), F.lit(True))
     x = x.withColumn("score", R.contiguous_score(F.col("name"), F.col("q"))).where("score IS NOT NULL")
     return x.groupBy("query_id", "kind", "id").agg(F.round(F.max("score"), 3).alias("score"))
 
 
-@query("ret11_palette")
+def _name_queries(spark, d):
+    """Every twentieth part is asked for: by a word, by the beginnings of its words, or by its brand."""
+    p = V.table(spark, d, "part").where("p_partkey % 20 = 0")
+    k = F.col("p_partkey")
+    word = lambda i: F.try_element_at(F.split("p_name", " "), F.lit(i))
+    q = F.when(k % 60 == 0, word(2)).when(k % 60 == 20, F.concat(F.substring(word(1), 1, 2), F.substring(word(2), 1, 3))).otherwise(F.col("p_brand"))
+    return p.select(k.cast("long").alias("query_id"), q.alias("q"))
+
+
+_FUZZY = f"""nm AS (SELECT 'course' AS kind, p_partkey::VARCHAR AS id, lower(unnest([p_name, p_brand])) AS t FROM part UNION ALL SELECT 'branch', n_nationkey::VARCHAR, lower(n_name) FROM nation UNION ALL SELECT DISTINCT 'subject', p_type, lower(p_type) FROM part),
+qs AS (SELECT p_partkey AS query_id, lower(CASE p_partkey % 60 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 20 THEN split_part(p_name, ' ', 1)[1:2] || split_part(p_name, ' ', 2)[1:3] ELSE p_brand END) AS q FROM part WHERE p_partkey % 20 = 0),
+pr AS (SELECT t, q, instr(t, q) AS pos FROM (SELECT DISTINCT t FROM nm), (SELECT DISTINCT q FROM qs)),
+fo AS (SELECT t, q, replace(q, ' ', '') AS ch, 0 AS i, 0 AS at_, 0.0::DOUBLE AS score, 0 AS streak FROM pr WHERE pos = 0
+  UNION ALL SELECT t, q, ch, i + 1, at_ + p, score + {R.EACH} + {R.STREAK} * CASE WHEN p = 1 THEN streak + 1 ELSE 0 END + CASE WHEN at_ + p = 1 OR regexp_matches(substr(t, at_ + p - 1, 1), '{R.BEFORE_WORD}') THEN {R.START} ELSE 0 END - {R.GAP} * least(p - 1, {R.MOST_GAP}), CASE WHEN p = 1 THEN streak + 1 ELSE 0 END
+  FROM (SELECT *, instr(substr(t, at_ + 1), substr(ch, i + 1, 1)) AS p FROM fo WHERE i < length(ch)) WHERE p > 0),
+sn AS (SELECT t, q, {R.CONTIGUOUS} - (pos - 1) + CASE WHEN pos = 1 OR regexp_matches(substr(t, pos - 1, 1), '{R.BEFORE_WORD}') THEN {R.AT_START} ELSE 0 END - {R.BY_LENGTH} * length(t) AS score FROM pr WHERE pos > 0 UNION ALL SELECT t, q, score FROM fo WHERE i = length(ch)),
+fz AS (SELECT query_id, kind, id, round(max(score), 3)::DOUBLE AS score FROM qs JOIN sn USING (q) JOIN nm USING (t) GROUP BY 1, 2, 3)"""
+
+
+@query("ret10_fuzzy_scores", f"WITH RECURSIVE {_FUZZY} SELECT * FROM fz")
+def ret10_fuzzy(spark, d):
+    return R.fuzzy(_name_queries(spark, d), _catalogue(spark, d))
+
+
+_MOST = "CASE kind " + " ".join(f"WHEN '{kind}' THEN {n}" for kind, n in R.PALETTE.items()) + " END"
+
+
+@query("ret11_palette", f"WITH RECURSIVE {_FUZZY}, tp AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM fz), pl AS (SELECT query_id, kind, id, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS place FROM tp WHERE best < 500 OR score >= 500) SELECT * FROM pl WHERE place <= {_MOST}")
 def ret11(spark, d):
-    return R.palette(R.fuzzy(_palette_queries(spark), _catalogue(spark, d)))
+    return R.palette(R.fuzzy(_name_queries(spark, d), _catalogue(spark, d)))

@@ -62,13 +62,17 @@ def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int
 Reduce = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str) -> DataFrame:
+def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str, only: Column | None = None) -> DataFrame:
     """``reduce`` over the pairs of every bucket (and equal ``within``) whose score, to six places, reaches the threshold.
 
-    ``keyed``: id, vec, keys. A pair that shares buckets of several tables counts in the first only.
+    ``keyed``: id, vec, keys. A pair that shares buckets of several tables counts in the first only. With
+    ``only``, buckets without any such row are left out.
     """
     rows = keyed.select("*", F.posexplode("keys").alias("table", "key"))
     of = ["table", "key", *within]
+    if only is not None:
+        touched = rows.where(only).select(*[F.col(c).alias(f"t_{c}") for c in of]).distinct()
+        rows = rows.join(touched, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in of], "left_semi")
     # At most one row for each BLOCK rows; a hot bucket's rows meet it as Spark sees fit (broadcast or skew join).
     big = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select(*[F.col(c).alias(f"b_{c}") for c in of], "size")
     rows = rows.join(big, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in of], "left").drop(*[f"b_{c}" for c in of])
@@ -166,13 +170,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence:
     return x.orderBy(F.desc("score"), "a", "b").limit(n)
 
 
-def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET, since: int | None = None) -> DataFrame:
     """(id, parent): the first earlier question of the same paper over the threshold, else the most similar earlier one (ties to the smaller id).
 
     Order of arrival is the id, which is unique. ``vectors``: id, vec (unit), doc. Rows without a vector have no parent. Every task
     reduces to one row for each row of a bucket: the least id of its paper, or the best earlier one. Rows
-    that repeat a vector take what its first row has found, as that is as near to all of them.
+    that repeat a vector take what its first row has found, as that is as near to all of them. With ``since``, only
+    the rows from that id on are answered, and only buckets that they are in are compared.
     """
+    # A class of vectors is as old as its first row, but its later rows need what that row finds, so the last one counts.
+    late = None if since is None else F.col("last") >= since
     x = vectors.where("vec IS NOT NULL").select("id", "vec", "doc")
 
     def first(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
@@ -186,11 +193,11 @@ def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float
         return out.sort_values(["score", "found"], ascending=[False, True]).drop_duplicates("id")
 
     # Within a paper: one row for each vector of a paper.
-    units = _hashed(x.groupBy("vec", "doc").agg(F.min("id").alias("id")), threshold, recall, exact, bucket)
-    in_paper = in_buckets(units, threshold, ["doc"], first, "id long, found long").groupBy("id").agg(F.min("found").alias("found"))
+    units = _hashed(x.groupBy("vec", "doc").agg(F.min("id").alias("id"), F.max("id").alias("last")), threshold, recall, exact, bucket)
+    in_paper = in_buckets(units, threshold, ["doc"], first, "id long, found long", late).groupBy("id").agg(F.min("found").alias("found"))
     # Over all papers: one row for each vector.
-    classes = units.groupBy("vec", "keys").agg(F.min("id").alias("id"))
-    nearest = in_buckets(classes, threshold, [], best, "id long, found long, score double")
+    classes = units.groupBy("vec", "keys").agg(F.min("id").alias("id"), F.max("last").alias("last"))
+    nearest = in_buckets(classes, threshold, [], best, "id long, found long, score double", late)
     nearest = nearest.groupBy("id").agg(F.min_by("found", F.struct(-F.col("score"), F.col("found"))).alias("found"), F.max("score").alias("score"))
     # A later row of a vector: its first row is an earlier one with the highest score there is, but others may be as near.
     again = equal_vectors(x.select(F.struct("vec", "doc").alias("vec"), "id")).select("id", F.col("first").alias("of"))
@@ -201,7 +208,8 @@ def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float
     near = nearest.join(self_score, F.col("id") == F.col("c")).where("score >= own").select(F.col("id").alias("n_id"), F.col("found").alias("n_found"))
     of_class = repeated.join(near, F.col("of") == F.col("n_id"), "left").select("id", F.coalesce("n_found", "of").alias("found"))
     nearest = nearest.select("id", "found").unionByName(of_class)
-    out = vectors.select("id").join(in_paper.toDF("p_id", "in_paper"), F.col("id") == F.col("p_id"), "left")
+    out = vectors.select("id") if since is None else vectors.select("id").where(F.col("id") >= since)
+    out = out.join(in_paper.toDF("p_id", "in_paper"), F.col("id") == F.col("p_id"), "left")
     return out.join(nearest.toDF("b_id", "best"), F.col("id") == F.col("b_id"), "left").select("id", F.coalesce("in_paper", "best").alias("parent"))
 
 
@@ -220,6 +228,36 @@ def groups(parents: DataFrame) -> DataFrame:
             return x.select("id", F.col("up").alias("group_id"))
 
 
+def extend_groups(old: DataFrame, parents: DataFrame) -> DataFrame:
+    """(id, group_id) of newly arrived rows: a parent that has a group passes it on, the others are resolved among themselves.
+
+    ``old``: id, group_id of all rows before; ``parents``: id, parent of the new ones. Old rows never change, as
+    parents come before their children; chains within the batch are doubled, then take their root's group.
+    """
+    known = old.select(F.col("id").alias("o_id"), F.col("group_id").alias("o_group"))
+    x = settled(parents.join(known, F.col("parent") == F.col("o_id"), "left").select("id", "parent", "o_group"))
+    roots = groups(x.select("id", F.when(F.col("o_group").isNull(), F.col("parent")).alias("parent")))
+    given = x.where("o_group IS NOT NULL").select(F.col("id").alias("g_id"), "o_group")
+    return roots.join(given, F.col("group_id") == F.col("g_id"), "left").select("id", F.coalesce("o_group", "group_id").alias("group_id"))
+
+
+def arrive(stored: DataFrame | None, batch: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """The batch (id, vec, doc; ids above all stored ones) with its ``group_id``, from the ``stored`` rows (the same, with theirs).
+
+    Only buckets with new vectors are compared, and only new rows get groups, so batch after batch
+    ends as all at once.
+    """
+    columns = ["id", "vec", "doc"]
+    if stored is None:
+        return batch.join(groups(duplicate_parents(batch, threshold, recall, exact, bucket)), "id").select(*columns, "group_id")
+    since = batch.agg(F.min("id")).first()[0]
+    if since is None:
+        return stored.limit(0)
+    both = stored.select(*columns).unionByName(batch.select(*columns))
+    found = extend_groups(stored, duplicate_parents(both, threshold, recall, exact, bucket, since))
+    return batch.join(found, "id").select(*columns, "group_id")
+
+
 def nearest_topics(questions: DataFrame, vocabulary: DataFrame, k: int = 8, floor: float = 0.65, known_bonus: float = 0.03, most_topics: int = 5000) -> DataFrame:
     """(id, topic, score, place): the ``k`` topics nearest to each question, a little nearer if used in its course before.
 

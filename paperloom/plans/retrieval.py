@@ -201,6 +201,18 @@ def ret9(spark, d):
     return S.groups(S.duplicate_parents(V.vectors(spark, d), 0.3))
 
 
+@query("ret9_arrivals", f"WITH RECURSIVE {VECTORS}, {_PARENT}, up AS (SELECT id, id AS root FROM par WHERE parent IS NULL UNION ALL SELECT par.id, up.root FROM par JOIN up ON par.parent = up.id) SELECT id, root AS group_id FROM up")
+def ret9_arrivals(spark, d):
+    """The same groups, kept up over three batches of rows as they arrive."""
+    v = V.vectors(spark, d)
+    last, stored = v.agg(F.max("id")).first()[0] or 0, None
+    for i in range(3):
+        batch = v.where((F.col("id") >= i * (last + 1) // 3) & (F.col("id") < (i + 1) * (last + 1) // 3))
+        new = settled(S.arrive(stored, batch, 0.3))
+        stored = new if stored is None else stored.unionByName(new)
+    return stored.select("id", "group_id")
+
+
 def _vocabulary(spark, d):
     v = V.vectors(spark, d).where("id < 40")
     return v.select(F.col("id").alias("topic"), F.col("vec").alias("t_vec"), F.array(F.col("doc"), (F.col("doc") + 1) % 10).alias("courses"))

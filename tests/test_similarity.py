@@ -91,3 +91,25 @@ def test_odd_tables(spark):
     some = spark.createDataFrame([(1, None, 1, 0.9), (2, [1.0, 0.0], 1, 0.9), (3, [1.0, 0.0], 1, 0.9), (4, [0.0, 1.0], None, 0.9)], COLUMNS)
     assert {(r.id, r.parent) for r in S.duplicate_parents(some, 0.9).collect()} == {(1, None), (2, None), (3, 2), (4, None)}
     assert S.near_duplicates(some, 0.9).count() == 0
+
+
+@pytest.mark.parametrize("cuts", [[0, 300, 310, 700], [0, 1, 2, 699, 700]])
+def test_groups_batch_by_batch_equal_all_at_once(spark, cuts):
+    v, doc = made(700)
+    x = frame(spark, v, doc).select("id", "vec", "doc")
+    parents, root = parents_of(v, doc, 0.6), {}
+    for i in range(700):
+        root[i] = i if parents[i] is None else root[parents[i]]
+    stored = None
+    for lo, hi in zip(cuts, cuts[1:]):
+        new = S.settled(S.arrive(stored, x.where(f"id >= {lo} AND id < {hi}"), 0.6, exact=True))
+        assert {r.id: r.group_id for r in new.collect()} == {i: root[i] for i in range(lo, hi)}
+        stored = new if stored is None else S.settled(stored.unionByName(new))
+    assert S.arrive(stored, x.limit(0), 0.6).count() == 0
+    assert len(set(root.values())) < 650
+
+
+def test_chains_within_a_batch(spark):
+    old = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, group_id long")
+    new = spark.createDataFrame([(4, 2), (5, 4), (6, 5), (7, None), (8, 7), (9, 3)], "id long, parent long")
+    assert {(r.id, r.group_id) for r in S.extend_groups(old, new).collect()} == {(4, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 3)}

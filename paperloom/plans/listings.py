@@ -163,18 +163,12 @@ def str2s(spark, d):
     """The rate audit run as a stream over the event table's files; its result is the batch's."""
     e = V.table(spark, d, "events")
     s = spark.readStream.schema(e.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
-    s = s.select(F.col("ts").cast("timestamp").alias("ts"), "user_id").withWatermark("ts", "60 days")
-    out = ACT.rate_audit(s, "user_id", "15 minutes", 1)
-    base, written = f"{shared_folder(spark)}/paperloom-rates-{uuid.uuid4().hex}", []
-
-    def write(batch, epoch):
-        # Each batch is the whole result so far; the last one counts.
-        batch.write.mode("overwrite").parquet(f"{base}/{epoch}")
-        written.append(f"{base}/{epoch}")
-
-    out.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    rates = spark.read.schema(out.schema).parquet(written[-1]) if written else spark.createDataFrame([], out.schema)
-    return rates.withColumn("start", F.col("start").cast("timestamp_ntz"))
+    s = s.select(F.col("ts").cast("timestamp").alias("ts"), "user_id")
+    log = intake.RateLog(spark, f"{shared_folder(spark)}/paperloom-rates-{uuid.uuid4().hex}", "user_id", "15 minutes", "1 hour")
+    log.run(s)
+    # Files need not be in the order of time: late requests count in their window here.
+    rates = log.closed().unionByName(log.open()).unionByName(log.late()).groupBy("key", "start").agg(F.sum("n").alias("n"))
+    return rates.select("key", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.greatest(F.col("n") - 1, F.lit(0)).alias("over"))
 
 
 @query("str1_intake", "SELECT document_id, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT doc_id AS document_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) WHERE line <> '' GROUP BY 1")

@@ -36,6 +36,62 @@ def ingest(pages: DataFrame, process: Callable[[DataFrame], DataFrame], target:
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _by_epoch(rows: DataFrame, target: str, checkpoint: str, mode: str) -> StreamingQuery:
+    """Each batch's rows under its number; a batch that is repeated overwrites its own."""
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+    return rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class RateLog:
+    """The request-rate audit as a stream: key, start, n of each window.
+
+    A window's row is written once, when the watermark has passed its end, and its state goes with it; so the state is the
+    windows of the last ``delay``. Requests that come after that are *late*: they are in no window's row. What arrives is
+    counted by window and batch beside it, without state, and what no row accounts for is the late count.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, window: str, delay: str) -> None:
+        self.spark, self.path, self.key, self.window, self.delay = spark, path, key, window, delay
+        self._schema = None
+
+    def _counted(self, requests: DataFrame) -> DataFrame:
+        g = requests.groupBy(F.window("ts", self.window).alias("w"), F.col(self.key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        return g.select("key", F.col("w.start").alias("start"), "n")
+
+    def run(self, requests: DataFrame) -> None:
+        """Take in all files that are there. ``requests``: a stream with ts (timestamp) and the key."""
+        closed = self._counted(requests.withWatermark("ts", self.delay))
+        self._schema = closed.schema
+        for part in ("closed", "arrived"):  # so that a stream without any file can be read
+            self.spark.createDataFrame([], self._schema).write.mode("overwrite").parquet(f"{self.path}/{part}/epoch=-1")
+        _by_epoch(closed, f"{self.path}/closed", f"{self.path}/checkpoint", "append").awaitTermination()
+
+        def arrived(batch: DataFrame, epoch: int) -> None:
+            self._counted(batch).write.mode("overwrite").parquet(f"{self.path}/arrived/epoch={epoch}")
+
+        requests.writeStream.foreachBatch(arrived).option("checkpointLocation", f"{self.path}/checkpoint-arrived").trigger(availableNow=True).start().awaitTermination()
+
+    def closed(self) -> DataFrame:
+        """The windows that are over."""
+        return self._written("closed")
+
+    def _written(self, part: str) -> DataFrame:
+        return self.spark.read.schema(self._schema).parquet(f"{self.path}/{part}").drop("epoch")
+
+    def open(self) -> DataFrame:
+        """The windows that still have state."""
+        if self._written("arrived").isEmpty():
+            return self.spark.createDataFrame([], self._schema)
+        state = self.spark.read.format("statestore").load(f"{self.path}/checkpoint")
+        return state.select(F.col(f"key.{self.key}").alias("key"), F.col("key.window.start").alias("start"), F.col("value.count").alias("n"))
+
+    def late(self) -> DataFrame:
+        """key, start, n of the requests that came when their window was over."""
+        arrived = self._written("arrived")
+        known = self.closed().unionByName(self.open()).withColumn("n", -F.col("n"))
+        return arrived.unionByName(known).groupBy("key", "start").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 class _Allowance(StatefulProcessor):
     """Counts the requests of one (user, day) and says which are within the cap."""
 

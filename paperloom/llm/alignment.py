@@ -147,7 +147,7 @@ class Aligner:
             else:
                 new.append(chunk)
         lines = [c for c in new if c != "\n"]
-        ids_a = dict(zip(lines, self.a.parts(lines), strict=True)) | {"\n": self.a.plain(["\n"])[0]}
+        ids_a = dict(zip(lines, self.a._parts(lines), strict=True)) | {"\n": self.a.plain(["\n"])[0]}
         # B puts a space before what it encodes; a chunk without one goes behind a line end.
         ids_b = self.b.encode([c[1:] if c[0] == " " else "\n" + c if c != "\n" else c for c in new], num_threads=1)
         skip = len(self.line_end)

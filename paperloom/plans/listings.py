@@ -45,7 +45,7 @@ def _listing(spark, d):
     host = F.regexp_extract("url", r"//([^/]+)/", 1)
     folder = F.get(F.array(F.lit("4. dbms"), F.lit("DATA COMMUNICATION AND THEORY"), F.lit("3rd sem"), F.regexp_extract("url", r"//(?:[a-z]+\.)?([a-z]+)\.", 1)), (k % 4).cast("int"))
     return p.select(
-        host.alias("source"), F.when(k % 5 == 0, None).when(k % 2 == 0, "CSE").otherwise("Civil").alias("branch"), F.when(k % 7 == 0, 1).otherwise(2).cast("int").alias("year"), F.when(k % 3 == 0, (k % 8 + 1).cast("int")).alias("semester"), (k % 11 == 0).alias("question_bank"),
+        "page_id", host.alias("source"), F.when(k % 5 == 0, None).when(k % 2 == 0, "CSE").otherwise("Civil").alias("branch"), F.when(k % 7 == 0, 1).otherwise(2).cast("int").alias("year"), F.when(k % 3 == 0, (k % 8 + 1).cast("int")).alias("semester"), (k % 11 == 0).alias("question_bank"),
         F.array(F.lit("Year"), F.lit("Branch"), folder, F.when(k % 6 == 0, "question papers").otherwise(F.concat(F.lit("notes of "), folder)), F.lit("5th sem 2018 batch")).alias("path"), name.alias("name"), F.regexp_replace("url", r"[?#].*$", "").alias("url"),
     )
 

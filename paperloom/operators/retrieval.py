@@ -115,20 +115,25 @@ def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = 50, conditio
     ``queries`` (query_id, q_vec, ...) is a stated set, taken in blocks. Each task keeps only its own ``k`` best
     of each query before the shuffle.
     """
-    x = in_blocks(queries, lambda q: corpus.join(F.broadcast(q), F.lit(True) if condition is None else condition))
-    return ranked(x.select("query_id", "id", F.round(dot("q_vec", "vec"), 6).alias("score")), k)
+
+    def search(q: DataFrame) -> DataFrame:
+        x = corpus.join(F.broadcast(q), F.lit(True) if condition is None else condition)
+        return ranked(x.select("query_id", "id", F.round(dot("q_vec", "vec"), 6).alias("score")), k)
+
+    return in_blocks(queries, search)
 
 
 def in_blocks(queries: DataFrame, join: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:
     """The union of ``join`` over blocks of a stated set of queries, each small enough to be broadcast: ``QUERY_BLOCK`` rows at most.
 
-    Blocks are dealt by hash of the key and dealt anew, into twice as many, until the largest fits.
+    Blocks are dealt by hash of the key and dealt anew, into twice as many, until the largest fits. With more than one, each
+    block's result is a job of its own and written, so no plan holds more than one of the joins.
     """
     blocks, whole = -(-queries.count() // QUERY_BLOCK), queries
     while blocks > 1:
         of = F.pmod(F.xxhash64(key), F.lit(blocks))
         if queries.groupBy(of.alias("block")).count().agg(F.max("count")).first()[0] <= QUERY_BLOCK:
-            return reduce(DataFrame.unionByName, [join(whole.where(of == i)) for i in range(blocks)])
+            return reduce(DataFrame.unionByName, [settled(join(whole.where(of == i))) for i in range(blocks)])
         blocks *= 2
     return join(whole)
 

@@ -57,3 +57,13 @@ def test_empty_tables(spark):
     q = spark.createDataFrame([(1, "a word")], "query_id long, text string")
     c = spark.createDataFrame([], "id long, body array<string>, tags array<string>")
     assert R.bm25(q, c, FIELDS).count() == R.bm25(q.limit(0), c, FIELDS).count() == 0
+
+
+def test_blocks_of_queries_give_the_same(spark, sf_dir, monkeypatch):
+    from paperloom import views as V
+
+    v = V.vectors(spark, sf_dir)
+    q = v.where("id % 20 = 0").selectExpr("id AS query_id", "vec AS q_vec")
+    whole = sorted(map(tuple, R.nearest_vectors(q, v, 5).collect()))
+    monkeypatch.setattr(R, "QUERY_BLOCK", 7)
+    assert sorted(map(tuple, R.nearest_vectors(q, v, 5).collect())) == whole and len(whole) == 125

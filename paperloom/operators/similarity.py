@@ -1,8 +1,8 @@
 """Similarity joins over unit vectors, duplicate parents and groups, without all pairs.
 
 Vectors are hashed by random hyperplanes. A pair at an angle ``w`` agrees on one plane with probability 1 - w/pi, so the
-number of planes to a table follows from the number of vectors (buckets of about ``BUCKET`` at even spread) and the
-number of tables from the recall asked for at the threshold; closer pairs are found more often. Within
+number of tables follows from the planes to a table and the recall asked for at the threshold; closer pairs are found more often.
+The number of planes is what costs least for the number of vectors (``hash_plan``). Within
 a bucket every pair is compared exactly. Equal vectors are one class before anything is hashed. A bucket
 that is larger than ``BLOCK`` all the same is compared block by block, in as many tasks as it has pairs of
 blocks, and what leaves a task is already reduced (a row's best, the best of all), never the pairs of a group.
@@ -24,9 +24,11 @@ from paperloom.operators.catalogue import share_keyword
 from paperloom.operators.retrieval import dot, in_blocks
 from paperloom.tables import settled
 
-#: Vectors that a bucket should have, and the most that one side of a comparison has.
-BUCKET = 1000
-BLOCK = 2000
+#: The most vectors that one side of a comparison has, and how many of them are multiplied with the other side at a time.
+BLOCK = 8000
+SLICE = 500
+#: What a copy of a vector costs in a shuffle, in comparisons of two vectors.
+COPY_COST = 500
 #: The share of pairs at the threshold that the tables are to find.
 RECALL = 0.95
 _SALTS = 16
@@ -34,11 +36,25 @@ _SALTS = 16
 _NONE = (1 << 63) - 1
 
 
-def hash_plan(n: int, threshold: float, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
-    """(planes to a table, tables) for ``n`` vectors: a pair at the threshold shares a bucket of some table with probability ``recall``."""
-    planes = max(0, round(math.log2(max(1, n) / bucket)))
-    shared = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes
-    return planes, 1 if shared >= recall else math.ceil(math.log(1 - recall) / math.log(1 - shared))
+def hash_plan(n: int, threshold: float, recall: float = RECALL, bucket: int | None = None) -> tuple[int, int]:
+    """(planes to a table, tables) for ``n`` vectors: a pair at the threshold shares a bucket of some table with probability ``recall``.
+
+    More planes make smaller buckets, so fewer comparisons and blocks, but need more tables, so more copies of each vector. The
+    cheapest plan is taken; no planes (all pairs, block by block) is one of them. ``bucket`` asks for buckets of a size instead.
+    """
+    alike = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def tables(planes: int) -> int:
+        shared = alike**planes
+        return 1 if shared >= recall else math.ceil(math.log(1 - recall) / math.log(1 - shared))
+
+    def cost(planes: int) -> float:
+        size = n / 2**planes
+        return tables(planes) * (COPY_COST * max(1, size / BLOCK) + size)
+
+    most = math.ceil(math.log2(max(1, n)))
+    planes = max(0, round(math.log2(max(1, n) / bucket))) if bucket else min(range(most + 1), key=cost)
+    return planes, tables(planes)
 
 
 def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int = 5) -> DataFrame:
@@ -87,15 +103,18 @@ def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Re
         right = left if i == j else x[x["block"] == j].reset_index(drop=True)
         if not len(left) or not len(right):
             return reduce(left, right, *[np.zeros(0, np.int64)] * 2, np.zeros(0))
-        s = np.round(np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T, 6)
-        p, q = np.nonzero(s >= threshold)
-        if i == j:
-            p, q = p[p < q], q[p < q]
+        a, b, found = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()).T, []
+        for k in range(0, len(a), SLICE):
+            scores = np.round(a[k : k + SLICE] @ b, 6)
+            p, q = np.nonzero(scores >= threshold)
+            near = p + k < q if i == j else np.ones(len(p), bool)
+            found.append((p[near] + k, q[near], scores[p[near], q[near]]))
+        p, q, s = map(np.concatenate, zip(*found, strict=True))
         if table and len(p):
             a, b = (np.stack(t["keys"].to_numpy())[:, :table] for t in (left, right))
             new = np.concatenate([~(a[p[k : k + 100_000]] == b[q[k : k + 100_000]]).any(1) for k in range(0, len(p), 100_000)])
-            p, q = p[new], q[new]
-        return reduce(left, right, p, q, s[p, q])
+            p, q, s = p[new], q[new], s[new]
+        return reduce(left, right, p, q, s)
 
     return rows.groupBy(*of, "i", "j").applyInPandas(compare, schema)
 
@@ -112,7 +131,7 @@ def _all_pairs_of(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, recall: float = RECALL, exact: bool = False, bucket: int | None = None) -> DataFrame:
     """(a, b, score) of the a < b whose inner product, to six places, reaches the threshold; of equal vectors the least id stands for all.
 
     ``vectors``: id, vec (unit vectors of one length; null ones are left out). ``equal_vectors`` has who stands for whom.
@@ -129,7 +148,7 @@ def equal_vectors(vectors: DataFrame) -> DataFrame:
     return x.join(salted, (F.col("digest") == F.col("of")) & (F.col("salt") == F.col("f_salt"))).where("id > first").select("id", "first")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence: float = 0.6, n: int = 100, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence: float = 0.6, n: int = 100, recall: float = RECALL, exact: bool = False, bucket: int | None = None) -> DataFrame:
     """The ``n`` most similar pairs (over the threshold) of different documents among rows that are sure enough: a, b, score.
 
     ``vectors``: id, vec, doc, confidence. Classes of equal vectors are compared; a task passes on its ``n`` best
@@ -170,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence:
     return x.orderBy(F.desc("score"), "a", "b").limit(n)
 
 
-def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET, since: int | None = None) -> DataFrame:
+def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int | None = None, since: int | None = None) -> DataFrame:
     """(id, parent): the first earlier question of the same paper over the threshold, else the most similar earlier one (ties to the smaller id).
 
     Order of arrival is the id, which is unique. ``vectors``: id, vec (unit), doc. Rows without a vector have no parent. Every task
@@ -241,7 +260,7 @@ def extend_groups(old: DataFrame, parents: DataFrame) -> DataFrame:
     return roots.join(given, F.col("group_id") == F.col("g_id"), "left").select("id", F.coalesce("o_group", "group_id").alias("group_id"))
 
 
-def arrive(stored: DataFrame | None, batch: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int = BUCKET) -> DataFrame:
+def arrive(stored: DataFrame | None, batch: DataFrame, threshold: float = 0.9, recall: float = RECALL, exact: bool = False, bucket: int | None = None) -> DataFrame:
     """The batch (id, vec, doc; ids above all stored ones) with its ``group_id``, from the ``stored`` rows (the same, with theirs).
 
     Only buckets with new vectors are compared, and only new rows get groups, so batch after batch

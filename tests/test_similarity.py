@@ -54,9 +54,10 @@ def test_recall_at_two_sizes(spark, n, threshold):
 
 
 def test_plan_grows_slowly():
-    (p1, t1), (p2, t2) = S.hash_plan(10**6, 0.9), S.hash_plan(10**9, 0.9)
-    assert p2 - p1 == 10 and t1 < t2 < 8 * t1  # rows shuffled: vectors x tables
-    assert S.hash_plan(500, 0.3) == (0, 1)
+    (_, t1), (_, t2) = S.hash_plan(10**6, 0.9), S.hash_plan(10**9, 0.9)
+    assert 1 < t1 < t2 < 12 * t1 < 1000  # rows shuffled: vectors x tables, where all pairs would be 1,000 times more
+    assert S.hash_plan(500, 0.3) == S.hash_plan(50_000, 0.3) == (0, 1)
+    assert S.hash_plan(10**7, 0.3)[0] > 4
 
 
 def test_parents_with_repeats(spark):

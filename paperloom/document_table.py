@@ -16,6 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that are sent to all tasks, some 50 bytes each; more are joined.
+BROADCAST_KEYS = 200_000
+
 
 class DocumentTable:
     def __init__(self, spark: SparkSession, path: str, key: str = "document_id", buckets: int = 8, compact_after: int = 8) -> None:
@@ -38,7 +41,7 @@ class DocumentTable:
         return base, [e for e in self._marked("batch") if (base is None or e > base) and (before is None or e < before)]
 
     def _write(self, df: DataFrame, folder: str, epoch: int) -> None:
-        df.repartition(self.buckets, self.key).write.mode("overwrite").parquet(f"{self.path}/{folder}/epoch={epoch}")
+        df.repartition(self.buckets, self.key).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}/epoch={epoch}")
 
     def merge(self, rows: DataFrame, epoch: int, documents: DataFrame | None = None) -> None:
         """Put ``rows`` in the place of all rows of their documents, and of those in ``documents`` that have no rows any more.
@@ -68,10 +71,16 @@ class DocumentTable:
         if not batches:
             return old
         k = F.col(self.key)
-        latest = self._parts("keys", batches).groupBy(k.alias("__k")).agg(F.max("epoch").alias("__e"))
+        latest = self._parts("keys", batches).groupBy(k.alias("__k")).agg(F.max("epoch").alias("__e"), F.count(F.lit(1)).alias("__n"))
+        again = self._small(latest.where("__n > 1"))
         new = self._parts("rows", batches)
-        new = new.join(latest, k.eqNullSafe(F.col("__k")) & (F.col("epoch") == F.col("__e"))).drop("__k", "__e", "epoch")
-        return new if old is None else old.join(latest, k.eqNullSafe(F.col("__k")), "left_anti").unionByName(new)
+        # Of a document that came more than once, the rows of earlier batches go; most came once.
+        new = new.join(again, k.eqNullSafe(F.col("__k")) & (F.col("epoch") < F.col("__e")), "left_anti").drop("epoch")
+        return new if old is None else old.join(self._small(latest), k.eqNullSafe(F.col("__k")), "left_anti").unionByName(new)
+
+    def _small(self, keys: DataFrame) -> DataFrame:
+        """Keys to be joined; broadcast if they are few, so that the rows need no shuffle."""
+        return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
 
     def compact(self) -> None:
         """Write the rows alive as a new base; what only older bases need goes."""

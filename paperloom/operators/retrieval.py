@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.filters import passes
-from paperloom.tables import settled
+from paperloom.tables import discard, settled, written
 
 QUERY_BLOCK = 10_000
 K1, B = 1.2, 0.75
@@ -38,25 +38,29 @@ def postings(queries: DataFrame, corpus: DataFrame, fields: dict[str, float]) ->
     """(query_id, term) wanted, and (id, term, s): what a term of the queries adds to a row's score. Both are written tables.
 
     The corpus is read once: each field gives its terms and, under the empty term, one row with its length, from which
-    the statistics of the whole corpus are worked out. Terms of no query go before the first shuffle.
+    the statistics of the whole corpus are worked out. Terms of no query go before the first shuffle, and the others travel
+    as numbers. The postings lie together by row, so that scores are summed where they are read.
     """
-    wanted = settled(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term")))
+    wanted = written(queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word")), "wanted")
+    numbered = wanted.select("word").distinct().withColumn("term", F.monotonically_increasing_id() + 1)
+    numbered = written(numbered.unionByName(queries.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(0).cast("long").alias("term"))), "terms")
     # The terms are worked out once a row, in the explode of the fields.
-    named = [F.struct(F.lit(f).alias("field"), F.col(f).alias("terms")) for f in fields]
+    named = [F.struct(F.lit(i).alias("field"), F.col(f).alias("terms")) for i, f in enumerate(fields)]
     rows = corpus.select("id", F.explode(F.array(*named)).alias("f")).where("f.terms IS NOT NULL")
-    rows = rows.select("id", "f.field", F.size("f.terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.col("f.terms"))).alias("term"))
-    asked = wanted.select("term").distinct().unionByName(queries.sparkSession.range(1).select(F.lit("").alias("term")))
-    tf = settled(rows.join(asked, "term", "left_semi").groupBy("field", "term", "id", "len").agg(F.count(F.lit(1)).alias("tf")))
+    rows = rows.select("id", "f.field", F.size("f.terms").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.col("f.terms"))).alias("word"))
+    tf = written(rows.join(numbered, "word").groupBy("id", "field", "term", "len").agg(F.count(F.lit(1)).cast("int").alias("tf")), "frequencies")
     # One row for each field.
-    stats = tf.where("term = ''").groupBy(F.col("field").alias("s_field")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    tf = tf.where("term <> ''")
-    df = tf.groupBy(F.col("field").alias("d_field"), F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
-    boost = F.create_map(*[F.lit(x) for pair in fields.items() for x in pair])
+    stats = tf.where("term = 0").groupBy(F.col("field").alias("s_field")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
+    df = tf.where("term > 0").groupBy(F.col("field").alias("d_field"), F.col("term").alias("d_term")).agg(F.count(F.lit(1)).alias("df"))
+    boost = F.element_at(F.array(*[F.lit(float(b)) for b in fields.values()]), F.col("d_field") + 1)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    df = df.join(F.broadcast(stats), F.col("d_field") == F.col("s_field")).withColumn("weight", F.element_at(boost, F.col("d_field")) * idf * (K1 + 1))
+    df = written(df.join(F.broadcast(stats), F.col("d_field") == F.col("s_field")).select("d_field", "d_term", "avg_len", (boost * idf * (K1 + 1)).alias("weight")), "weights")
     x = tf.join(df, (F.col("field") == F.col("d_field")) & (F.col("term") == F.col("d_term")))
     s = F.col("weight") * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return wanted, settled(x.groupBy("id", "term").agg(F.sum(s).alias("s")))
+    posted = written(x.select("id", "term", s.alias("s")).repartition("id").groupBy("id", "term").agg(F.sum("s").alias("s")), "postings")
+    asked = written(wanted.join(numbered, "word").select("query_id", "term"), "asked")
+    discard(tf, df, wanted, numbered)
+    return asked, posted
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int = 50, first_postings: int = FIRST_POSTINGS) -> DataFrame:
@@ -77,7 +81,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int
     of_query = Window.partitionBy("query_id")
     by_rarity = of_query.orderBy("n", "term")
     asked = wanted.join(terms, F.col("term") == F.col("t_term")).withColumn("before", F.coalesce(F.sum("n").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    asked = settled(asked.withColumn("rare", (F.col("before") < first_postings) & ((F.col("before") == 0) | (F.col("before") + F.col("n") <= first_postings))).select("query_id", "term", "n", "most", "rare"))
+    asked = written(asked.withColumn("rare", (F.col("before") < first_postings) & ((F.col("before") == 0) | (F.col("before") + F.col("n") <= first_postings))).select("query_id", "term", "n", "most", "rare"))
 
     def scores(of: DataFrame) -> DataFrame:
         return posted.join(of.select("query_id", F.col("term").alias("q_term")), F.col("term") == F.col("q_term")).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
@@ -87,10 +91,10 @@ def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int
     x = asked.join(bound, F.col("query_id") == F.col("b_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     # The commonest terms, as long as all they can add stays under the bound.
     x = x.withColumn("reach", F.sum("most").over(of_query.orderBy(F.desc("n"), "term")))
-    x = settled(x.withColumn("weak", ~F.col("rare") & (F.col("reach") + _SLACK < F.col("bound"))).select("query_id", "term", "most", "weak", "bound"))
+    x = written(x.withColumn("weak", ~F.col("rare") & (F.col("reach") + _SLACK < F.col("bound"))).select("query_id", "term", "most", "weak", "bound"))
     strong = scores(x.where("NOT weak"))
     spare = x.groupBy(F.col("query_id").alias("w_id")).agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("spare"))
-    near = settled(strong.join(spare, F.col("query_id") == F.col("w_id")).where(F.col("s") + F.col("spare") + _SLACK >= F.col("bound")).select("query_id", "id", "s"))
+    near = written(strong.join(spare, F.col("query_id") == F.col("w_id")).where(F.col("s") + F.col("spare") + _SLACK >= F.col("bound")).select("query_id", "id", "s"))
     weak = x.where("weak").select(F.col("query_id").alias("k_id"), F.col("term").alias("k_term"))
     rest = near.join(weak, F.col("query_id") == F.col("k_id")).select("query_id", F.col("id").alias("n_id"), "k_term")
     rest = posted.join(rest, (F.col("id") == F.col("n_id")) & (F.col("term") == F.col("k_term"))).select("query_id", "id", "s")

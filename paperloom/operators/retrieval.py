@@ -81,7 +81,7 @@ def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int
     of_query = Window.partitionBy("query_id")
     by_rarity = of_query.orderBy("n", "term")
     asked = wanted.join(terms, F.col("term") == F.col("t_term")).withColumn("before", F.coalesce(F.sum("n").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    asked = written(asked.withColumn("rare", (F.col("before") < first_postings) & ((F.col("before") == 0) | (F.col("before") + F.col("n") <= first_postings))).select("query_id", "term", "n", "most", "rare"))
+    asked = written(asked.withColumn("rare", (F.col("before") < first_postings) & ((F.col("before") == 0) | (F.col("before") + F.col("n") <= first_postings))).select("query_id", "term", "n", "most", "rare"), "asked")
 
     def scores(of: DataFrame) -> DataFrame:
         return posted.join(of.select("query_id", F.col("term").alias("q_term")), F.col("term") == F.col("q_term")).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
@@ -91,15 +91,21 @@ def bm25(queries: DataFrame, corpus: DataFrame, fields: dict[str, float], k: int
     x = asked.join(bound, F.col("query_id") == F.col("b_id"), "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
     # The commonest terms, as long as all they can add stays under the bound.
     x = x.withColumn("reach", F.sum("most").over(of_query.orderBy(F.desc("n"), "term")))
-    x = written(x.withColumn("weak", ~F.col("rare") & (F.col("reach") + _SLACK < F.col("bound"))).select("query_id", "term", "most", "weak", "bound"))
-    strong = scores(x.where("NOT weak"))
+    x = written(x.withColumn("weak", ~F.col("rare") & (F.col("reach") + _SLACK < F.col("bound"))).select("query_id", "term", "most", "weak", "bound"), "weak")
+    strong = written(scores(x.where("NOT weak")), "strong")
+    # The scores so far give a closer bound: all but the weak terms are in them.
+    by_score = of_query.orderBy(F.desc("s"), "id")
+    closer = strong.withColumn("r", F.row_number().over(by_score)).where(F.col("r") == k).select(F.col("query_id").alias("c_id"), F.col("s").alias("closer"))
     spare = x.groupBy(F.col("query_id").alias("w_id")).agg(F.max("bound").alias("bound"), F.coalesce(F.sum(F.when(F.col("weak"), F.col("most"))), F.lit(0.0)).alias("spare"))
-    near = written(strong.join(spare, F.col("query_id") == F.col("w_id")).where(F.col("s") + F.col("spare") + _SLACK >= F.col("bound")).select("query_id", "id", "s"))
+    spare = written(spare.join(closer, F.col("w_id") == F.col("c_id"), "left").select("w_id", (F.greatest("bound", F.coalesce("closer", F.lit(0.0))) - F.col("spare") - _SLACK).alias("least")), "least")
+    near = strong.join(spare, F.col("query_id") == F.col("w_id")).where(F.col("s") >= F.col("least")).select("query_id", "id", "s")
     weak = x.where("weak").select(F.col("query_id").alias("k_id"), F.col("term").alias("k_term"))
     rest = near.join(weak, F.col("query_id") == F.col("k_id")).select("query_id", F.col("id").alias("n_id"), "k_term")
     rest = posted.join(rest, (F.col("id") == F.col("n_id")) & (F.col("term") == F.col("k_term"))).select("query_id", "id", "s")
     scored = near.unionByName(rest).groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return ranked(scored, k)
+    best = written(ranked(scored, k), "best")  # k rows for each query
+    discard(asked, x, strong, spare, posted)
+    return best
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:

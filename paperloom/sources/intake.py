@@ -39,15 +39,18 @@ def gate(files: DataFrame, most: int = MAX_BYTES) -> DataFrame:
 
 def with_manifest(files: DataFrame, spark: SparkSession, manifest: str, root: str) -> DataFrame:
     """Files with the source link that a JSON manifest [{file, url}] gives by relative path; a byte-order mark is no matter."""
-    m = spark.read.option("multiLine", True).json(manifest).select(F.regexp_replace("file", "^﻿", "").alias("m_file"), F.col("url").alias("source_url"))
+    m = spark.read.option("multiLine", True).schema("file string, url string").json(manifest).select(F.regexp_replace("file", "^﻿", "").alias("m_file"), F.col("url").alias("source_url"))
     rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").rsplit("/", 1)[-1] + "/", "")
     return files.withColumn("rel", rel).join(m, F.col("rel") == F.col("m_file"), "left").drop("m_file", "rel")
 
 
-def scheme_courses(spark: SparkSession, path: str) -> DataFrame:
-    """code (upper case), scheme, program, semester, title, credits of every course in scheme files."""
-    s = spark.read.option("multiLine", True).json(path)
-    return s.select("scheme", "program", F.col("semester").cast("int").alias("semester"), F.explode("courses").alias("c")).select(F.upper("c.code").alias("code"), "scheme", "program", "semester", "c.title", "c.credits")
+SCHEME = "scheme string, program string, semester int, courses array<struct<code: string, title: string, credits: struct<L: int, T: int, P: int, total: int>>>"
+
+
+def scheme_courses(spark: SparkSession, path: str, schema: str = SCHEME) -> DataFrame:
+    """code (upper case), scheme, program, semester, title, credits of every course in scheme files; what a course does not say is NULL."""
+    s = spark.read.option("multiLine", True).schema(schema).json(path)
+    return s.select("scheme", "program", "semester", F.explode("courses").alias("c")).select(F.upper("c.code").alias("code"), "scheme", "program", "semester", "c.title", "c.credits")
 
 
 def external_papers(spark: SparkSession, path: str, schema: str) -> DataFrame:

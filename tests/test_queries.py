@@ -14,6 +14,7 @@ CHOSEN = [
     "flt2_lenient_parameters", "flt3_known_courses", "flt7_all_words", "jn5_scheme_papers", "jn6_code_reuse", "jn1_hydration", "ret2_bm25", "ret5_rank_fusion",
     "ret8_duplicate_parents", "ret9_group_assignment", "jn7_title_linkage", "doc1_lines", "doc8_confidence", "doc13_weak_regions", "act2_streaks", "ast6_daily_allowance",
     "src3_duplicate_rejection", "snk2_upsert", "cur1_vocabulary_merge", "syl1_version_diff", "srt2_page_with_total", "str2_rate_audit",
+    "src1_folder_scan", "src2_type_gate", "src4_manifest_join", "src6_scheme_files", "src8_external_catalogue", "cls2_evidence", "doc6_leaves",
 ]
 
 

@@ -1,8 +1,8 @@
 """Secret scans by corpus-wide ownership frequency (native).
 
 Candidates are found in each text by pattern. The hash of every candidate value is then aggregated over
-the corpus by distinct repositories and distinct owners: a value that several owners hold is a widely
-copied example, a value that one owner holds and that looks random is a live-looking credential. Bare
+the corpus by distinct repositories and distinct owners: a value that several owners hold, or two owners
+in many repositories, is a widely copied example, a value that one owner holds and that looks random is a live-looking credential. Bare
 tokens that no pattern of a named kind matches are reported (kind ``owned``) only where the frequency
 says that they are owner-specific and they look live.
 
@@ -28,25 +28,38 @@ KINDS = [
 BARE = ("owned", r"((?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-]))", 1, 16)
 #: A value with this many distinct owners or more is a widely copied example.
 COPIED_OWNERS = 3
+#: So is one of two owners that this many repositories hold.
+COPIED_REPOSITORIES = 6
 MIN_DISTINCT_CHARS = 8
 PLACEHOLDER = r"(?i)example|sample|dummy|test|changeme|placeholder|your|x{4}|1234|abcd|0{6}"
 _SALTS = 32
+#: Code points to a block when spans are replaced.
+_BLOCK = 4096
 
 
 def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _running(values: str, join: str) -> str:
+    """SQL: running totals of an array by doubling, so n elements cost n log n; ``join`` puts ``x`` and an earlier ``y`` together."""
+    step = "transform(a, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN " + let("get(a, i - shiftleft(1, k))", "y", join) + " ELSE x END)"
+    return f"aggregate(sequence(0, 30), {values}, (a, k) -> CASE WHEN shiftleft(1, k) < size(a) THEN {step} ELSE a END)"
+
+
+def _below(values: str, limit: str) -> str:
+    """SQL: how many elements of a sorted array are below ``limit``, by halving."""
+    return f"aggregate(sequence(30, 0), 0, (lo, k) -> CASE WHEN lo + CAST(shiftleft(1, k) AS BIGINT) <= size({values}) AND get({values}, CAST(lo + shiftleft(1, k) - 1 AS INT)) < {limit} THEN CAST(lo + shiftleft(1, k) AS INT) ELSE lo END)"
+
+
 def _spans(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
     """SQL: the array of (start, end, rank, kind, value) of one kind; start and end count code points."""
     p = _sql(pattern)
-    step = (
-        "struct(a.pos + length(get(pieces, i)) + length(m[i]) AS pos, "
-        f"CASE WHEN length(v[i]) >= {least} THEN concat(a.found, array(struct(CAST(a.pos + length(get(pieces, i)) AS BIGINT) AS start, CAST(a.pos + length(get(pieces, i)) + length(m[i]) AS BIGINT) AS end, {rank} AS rank, '{kind}' AS kind, v[i] AS value))) ELSE a.found END AS found)"
-    )
+    lengths = "transform(m, (x, i) -> CAST(length(get(pieces, i)) + length(x) AS BIGINT))"
+    spans = f"transform(m, (x, i) -> struct(get(ends, i) - length(x) AS start, get(ends, i) AS end, {rank} AS rank, '{kind}' AS kind, get(v, i) AS value))"
     none = "CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, rank: INT, kind: STRING, value: STRING>>)"
-    fold = f"aggregate(sequence(0, size(m) - 1), struct(0 AS pos, {none} AS found), (a, i) -> {step}, a -> a.found)"
-    bound = let(f"split(text, {p}, -1)", "pieces", let(f"regexp_extract_all(text, {p}, 0)", "m", let(f"regexp_extract_all(text, {p}, {group})", "v", fold)))
+    body = let(_running(lengths, "x + y"), "ends", f"filter({spans}, s -> length(s.value) >= {least})")
+    bound = let(f"split(text, {p}, -1)", "pieces", let(f"regexp_extract_all(text, {p}, 0)", "m", let(f"regexp_extract_all(text, {p}, {group})", "v", body)))
     return f"CASE WHEN text RLIKE {p} THEN {bound} ELSE {none} END"
 
 
@@ -65,8 +78,10 @@ def find_candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for i, (kind, pattern, group, least) in enumerate([*KINDS, BARE]):
         x = x.withColumn(kind, F.expr(_spans(kind, i, pattern, group, least)))
     named = "concat(" + ", ".join(k[0] for k in KINDS) + ")"
-    # A bare token counts only where it looks live and no named span covers part of it.
-    bare = let(named, "n", f"filter(owned, b -> {_looks_live('b.value')} AND NOT exists(n, s -> s.start < b.end AND b.start < s.end))")
+    # A bare token counts only where it looks live and no named span covers part of it: as many spans end before it as begin before its end.
+    apart = f"{_below('starts', 'b.end')} = {_below('ends', 'b.start + 1')}"
+    alone = let("sort_array(transform(n, s -> s.start))", "starts", let("sort_array(transform(n, s -> s.end))", "ends", f"filter(owned, b -> {_looks_live('b.value')} AND {apart})"))
+    bare = let(named, "n", alone)
     return x.select("doc_id", "owner", "repo", F.expr(f"concat({named}, {bare})").alias("found"))
 
 
@@ -82,7 +97,7 @@ def judge(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFram
     ``candidates`` must be a written table with a unique ``row_id``.
     """
     # Values that are not among the copied ones need no row here. The salt is part of the written table, so that its size is what Spark sees.
-    widely = ownership(candidates).where(F.col("owners") >= copied_owners).select(F.col("value_hash").alias("o_hash"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("o_salt"))
+    widely = ownership(candidates).where((F.col("owners") >= copied_owners) | ((F.col("owners") >= 2) & (F.col("repositories") >= COPIED_REPOSITORIES))).select(F.col("value_hash").alias("o_hash"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("o_salt"))
     spread = materialize(widely, "copied")
     each = candidates.select("row_id", F.explode("found").alias("c"))
     each = each.select("row_id", "c", F.unhex(F.sha2("c.value", 256)).alias("value_hash"), F.pmod(F.xxhash64("row_id"), F.lit(_SALTS)).cast("int").alias("salt"))
@@ -97,7 +112,7 @@ def judge(candidates: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFram
 def scan_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, **columns) -> DataFrame:
     """One row for each input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
-    Null text counts as empty. A null owner counts as one owner of its own. Repeated rows each come back;
+    Null text counts as empty. A text of n matches costs n log n steps. A null owner counts as one owner of its own. Repeated rows each come back;
     copies by one owner are one owner. Base spans stay whatever the frequency says (``n_live`` and
     ``n_copied`` tell the verdicts); the method adds spans of kind ``owned``. An empty table gives an
     empty result.
@@ -120,6 +135,24 @@ def scan_secrets(docs: DataFrame, copied_owners: int = COPIED_OWNERS, **columns)
     )
 
 
+def _redacted(text: str) -> str:
+    """SQL: ``text`` with marks in place of the spans ``__pl_s`` (sorted by start).
+
+    Spans overlap as long as one begins before the farthest end so far. The text is cut into blocks, so that
+    a stretch costs its own length, not the way to it from the start of the text.
+    """
+    first = "filter(sequence(0, size(__pl_s) - 1), i -> i = 0 OR get(__pl_s, i).start >= get(far, i - 1))"
+    last = "(coalesce(get(f, g + 1), size(__pl_s)) - 1)"
+    groups = f"transform(f, (i, g) -> struct(get(__pl_s, i).start AS start, get(far, {last}) AS end, get(open, {last}) > CASE WHEN i = 0 THEN 0 ELSE get(open, i - 1) END AS secret))"
+    stretch = lambda a, b: f"substring(array_join(slice(blocks, CAST({a} DIV {_BLOCK} AS INT) + 1, CAST({b} DIV {_BLOCK} - {a} DIV {_BLOCK} AS INT) + 1), ''), CAST({a} % {_BLOCK} AS INT) + 1, CAST({b} - {a} AS INT))"
+    before = let("CASE WHEN g = 0 THEN 0L ELSE get(groups, g - 1).end END", "p", stretch("p", "s.start"))
+    marked = f"transform(groups, (s, g) -> concat({before}, CASE WHEN s.secret THEN '[SECRET]' ELSE '[EXAMPLE]' END))"
+    tail = let("element_at(groups, -1).end", "p", stretch("p", f"CAST(length({text}) AS BIGINT)"))
+    out = let(f"regexp_extract_all({text}, '(?s).{{1,{_BLOCK}}}', 0)", "blocks", f"concat(array_join({marked}, ''), {tail})")
+    open_ = _running("transform(__pl_s, s -> CASE WHEN s.copied THEN 0 ELSE 1 END)", "x + y")
+    return let(_running("transform(__pl_s, s -> s.end)", "greatest(x, y)"), "far", let(open_, "open", let(first, "f", let(groups, "groups", out))))
+
+
 def redact_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """The documents with every reported span replaced: ``[SECRET]``, or ``[EXAMPLE]`` for a widely copied value.
 
@@ -132,12 +165,6 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     some = materialize(c.where(F.size("found") > 0).withColumnRenamed("doc_id", "row_id"), "secrets")
     judged = judge(some, copied_owners).select(F.col("row_id").alias("__pl_j"), F.col("spans").alias("__pl_s"))
     x = held.join(judged, F.col(own) == F.col("__pl_j"), "left")
-    merge = (
-        "aggregate(__pl_s, struct(CAST(array() AS ARRAY<STRUCT<start: BIGINT, end: BIGINT, copied: BOOLEAN>>) AS a), (z, s) -> struct("
-        "CASE WHEN size(z.a) > 0 AND s.start < element_at(z.a, -1).end THEN concat(slice(z.a, 1, size(z.a) - 1), array(struct(element_at(z.a, -1).start AS start, greatest(element_at(z.a, -1).end, s.end) AS end, element_at(z.a, -1).copied AND s.copied AS copied))) "
-        "ELSE concat(z.a, array(struct(s.start AS start, s.end AS end, s.copied AS copied))) END AS a), z -> z.a)"
-    )
     t = f"`{text_col}`"
-    build = f"aggregate(m, struct(0L AS pos, '' AS out), (z, s) -> struct(s.end AS pos, concat(z.out, substring({t}, CAST(z.pos + 1 AS INT), CAST(s.start - z.pos AS INT)), CASE WHEN s.copied THEN '[EXAMPLE]' ELSE '[SECRET]' END) AS out), z -> concat(z.out, substring({t}, CAST(z.pos + 1 AS INT))))"
-    x = x.withColumn(text_col, F.expr(f"CASE WHEN __pl_s IS NULL THEN {t} ELSE {let(merge, 'm', build)} END"))
+    x = x.withColumn(text_col, F.expr(f"CASE WHEN __pl_s IS NULL THEN {t} ELSE {_redacted(t)} END"))
     return x.select(*[F.col(f"`{k}`") for k in docs.columns])

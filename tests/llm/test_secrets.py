@@ -1,7 +1,8 @@
 import hashlib
+import random
 import re
 
-from paperloom.llm.secrets import redact_secrets, scan_secrets
+from paperloom.llm.secrets import PLACEHOLDER, redact_secrets, scan_secrets
 from tests.llm.helpers import crowded, docs, empty, odd
 
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -60,3 +61,55 @@ def test_redaction_merges_overlaps_and_keeps_columns(spark):
     out = redact_secrets(d)
     assert out.columns == d.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "x [SECRET]' y", 2: None, 3: "plain"}
+
+
+def brute(rows):
+    """Reported spans of (id, text, lang, source) rows, by plain loops over all candidates."""
+    found, holders = {}, {}
+    for i, text, lang, source in rows:
+        named = [(m.start(), 0, m.end(), "assign", m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+        named += [(m.start(), 1, m.end(), "access", m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        named += [(m.start(), 2, m.end(), "hex", m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+        bare = [(m.start(), 3, m.end(), "owned", m[0]) for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?![A-Za-z0-9+/_-])", text)]
+        bare = [b for b in bare if re.search("[0-9]", b[4]) and re.search("[A-Za-z]", b[4]) and len(set(b[4])) >= 8 and not re.search(PLACEHOLDER, b[4]) and not any(n[0] < b[2] and b[0] < n[2] for n in named)]
+        found[i] = named + bare
+        for c in found[i]:
+            holders.setdefault(c[4], set()).add((source, lang))
+    copied = {v for v, h in holders.items() if len({s for s, _ in h}) >= 3 or (len({s for s, _ in h}) == 2 and len(h) >= 6)}
+    return {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k, v in sorted(c) if k != "owned" or v not in copied) for i, c in found.items()}
+
+
+def test_all_spans_against_brute_force(spark):
+    r = random.Random(5)
+    values = ["".join(r.choices("abcdefXYZ0123456789+/_-", k=r.randint(14, 40))) for _ in range(40)] + ["".join(r.choices("0123456789abcdef", k=32)) for _ in range(10)] + ["AKIA" + "".join(r.choices("ABCDEFGH0123456", k=18)) for _ in range(6)]
+    frames = ["{}", "token={}", "see {},", "\u00e9\U0001f600 secret: '{}'", "x{}", "my-example-{}"]
+    rows = []
+    for i in range(300):
+        words = [r.choice(frames).format(r.choice(values)) for _ in range(r.randint(0, 6))]
+        rows.append((i, r.choice([" ", "", "\n", "; "]).join(words), r.choice(["en", "de", "fr"]), r.choice("abcde")))
+    got = {x.doc_id: x.spans for x in scan_secrets(docs(spark, rows)).collect()}
+    assert got == brute(rows)
+    assert any("owned" in s for s in got.values())
+
+
+def test_two_owners_in_many_repositories_hold_an_example(spark):
+    value = "q7Rw2Zk9Lm4Xc8Vb1N"
+    rows = [(10 * i + j, f"see {value}", lang, owner) for i, owner in enumerate("ab") for j, lang in enumerate(("en", "de", "fr"))]
+    assert {x.spans for x in scan_secrets(docs(spark, rows)).collect()} == {""}
+    assert {x.spans for x in scan_secrets(docs(spark, rows[:5])).collect()} == {"owned:4:22"}
+
+
+def test_a_text_of_very_many_matches(spark):
+    """100,000 tokens of every kind in one text: found, and replaced, without time that grows with their square."""
+    r = random.Random(9)
+    tokens = ["".join(r.choices("0123456789abcdef", k=32)) if i % 2 else "".join(r.choices("ghijkLMNOP0123456789", k=20)) for i in range(100_000)]
+    text = "\u00e9 " + " ".join(tokens) + " end"
+    row = scan_secrets(docs(spark, [(1, text)])).first()
+    assert (row.n_hex, row.base_sha256) == base(text)[2:]
+    out = redact_secrets(docs(spark, [(1, text)])).first().text
+    spans = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",")]
+    want, at = [], 0
+    for a, b in spans:
+        want += [text[at:a], "[SECRET]"]
+        at = b
+    assert out == "".join(want) + text[at:] and len(spans) > 90_000

@@ -195,7 +195,14 @@ def syl1(spark, d):
     return C.version_diff(p.where("p_size < 12 AND p_brand > 'Brand#15'").select(F.col("p_brand").alias("unit"), w(0)), p.where("p_size > 40 OR p_size = 3").select(F.col("p_brand").alias("unit"), w(1)))
 
 
-@query("ret14_reply_reconciliation")
+def _sql_first(value: str, where: str, most: int) -> str:
+    """SQL: question_id and the first ``most`` different values in the order of the labels, joined."""
+    return f"SELECT question_id, string_agg(v, ',' ORDER BY first) AS v FROM (SELECT question_id, v, first, row_number() OVER (PARTITION BY question_id ORDER BY first) AS r FROM (SELECT question_id, {value} AS v, min(pos) AS first FROM named WHERE {where} GROUP BY 1, 2)) WHERE r <= {most} GROUP BY 1"
+
+
+@query("ret14_reply_reconciliation", rf"""{WITH}, said AS (SELECT question_id, topics, unnest([upper(topics[1]), 'x', ' new   topic ' || unit, 'another label', 'third one', lower(topics[1])]) AS raw, unnest([1, 2, 3, 4, 5, 6]) AS pos FROM questions),
+named AS (SELECT question_id, pos, label, list_filter(topics, lambda t: lower(t) = lower(label))[1] AS name FROM (SELECT *, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS label FROM said))
+SELECT question_id, coalesce(t.v, '') AS tags, coalesce(p.v, '') AS proposals FROM (SELECT DISTINCT question_id FROM questions) LEFT JOIN ({_sql_first('name', 'name IS NOT NULL', 3)}) t USING (question_id) LEFT JOIN ({_sql_first('label', 'name IS NULL AND length(label) BETWEEN 3 AND 60', 2)}) p USING (question_id)""")
 def ret14(spark, d):
     q = V.questions(spark, d)
     choices = q.select("question_id", F.array(F.upper(F.col("topics")[0]), F.lit("x"), F.concat(F.lit(" new   topic "), F.col("unit")), F.lit("another label"), F.lit("third one"), F.lower(F.col("topics")[0])).alias("labels"))

@@ -78,13 +78,22 @@ def doc10(spark, d):
     return D.parsed_verdict(_segments(spark, d), body)
 
 
-@query("doc11_passages")
+def _sql_passages(pages: str) -> str:
+    """Passages of ``pages`` (document_id, page, text, source): paragraphs are put on the last passage, split off by chr(2), while it stays short enough."""
+    marked = r"regexp_replace(regexp_replace(replace(text, chr(9), ' '), '\n([A-Z0-9•\-–])', chr(1) || '\1', 'g'), '\n\s*\n', chr(1), 'g')"
+    paras = rf"list_filter(list_transform(string_split({marked}, chr(1)), lambda p: trim(regexp_replace(p, '\s+', ' ', 'g'), ' ')), lambda p: p <> '')"
+    packed = f"list_reduce(list_prepend('', {paras}), lambda a, p: CASE WHEN a = '' THEN p WHEN length(string_split(a, chr(2))[-1]) + length(p) > 800 THEN a || chr(2) || p ELSE a || ' ' || p END)"
+    kept = f"list_filter(string_split({packed}, chr(2)), lambda p: length(p) >= 40)"
+    return f"SELECT document_id, page, n, 'p.' || page || ' §' || n AS label, text, CASE WHEN source = 'ocr' THEN 0.7 ELSE 1.0 END::DOUBLE AS confidence FROM (SELECT document_id, page, source, unnest(k) AS text, generate_subscripts(k, 1)::INT AS n FROM (SELECT document_id, page, source, {kept} AS k FROM {pages}))"
+
+
+@query("doc11_passages", _sql_passages("(SELECT doc_id AS document_id, 1 AS page, text, 'text-layer' AS source FROM documents)"))
 def doc11(spark, d):
     t = V.texts(spark, d).select("document_id", F.lit(1).alias("page"), "text", F.lit("text-layer").alias("source"))
     return D.passages(t)
 
 
-@query("doc12_fallback_passages")
+@query("doc12_fallback_passages", f"SELECT document_id, page, n, label, text, 0.3::DOUBLE AS confidence, ['unsegmented'] AS flags FROM ({_sql_passages('(SELECT conv_id AS document_id, turn AS page, text, role AS source FROM conversations WHERE conv_id % 3 <> 0)')})")
 def doc12(spark, d):
     done = V.table(spark, d, "conversations").where("conv_id % 3 = 0").select(F.col("conv_id").alias("document_id"))
     return D.fallback_passages(_pages(spark, d), done)

@@ -30,7 +30,14 @@ def src9(spark, d):
     return I.links(_pages(spark, d)).groupBy("page_id", "href", "title").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src10_links_under_headings")
+_TOKEN = '(<h[123][^>]*>[^<]*</h[123]>|<a[^>]*href="[^"]*"[^>]*>[^<]*</a>)'
+_PLAIN = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', '', 'g'), '&amp;', '&'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '\s+', ' ', 'g'))"""
+
+
+@query("src10_links_under_headings", f"""WITH p AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(<h1>[^<]*</h1>)', 1) || '<h2>Links</h2>' || html, '{_TOKEN}', 1) AS ts FROM pages),
+t AS (SELECT page_id, unnest(ts) AS t, (generate_subscripts(ts, 1) - 1)::INT AS pos FROM p),
+h AS (SELECT page_id, pos, t, {_PLAIN} AS title, {', '.join(f"last_value(CASE WHEN starts_with(t, '<h{n}') THEN {_PLAIN} END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS h{n}" for n in (1, 2, 3))} FROM t)
+SELECT page_id, pos, h1, h2, h3, regexp_extract(t, 'href="([^"]*)"', 1) AS href, title FROM h WHERE starts_with(t, '<a')""")
 def src10(spark, d):
     # The pages' lists stand above their headings; they are put below, so that links have some to inherit.
     p = _pages(spark, d).select("page_id", F.concat(F.regexp_extract("html", "(<h1>[^<]*</h1>)", 1), F.lit("<h2>Links</h2>"), "html").alias("html"))
@@ -144,14 +151,16 @@ def ast1(spark, d):
     return AST.contexts(slices, t, b, AST.numbered_sources(hits, r.withColumn("course", F.col("slice_id"))))
 
 
-@query("ast3_tidy_answers")
+@query("ast3_tidy_answers", r"""WITH l AS (SELECT doc_id, string_split('## Answer' || chr(10) || '- ' || replace(replace(text, chr(13), ''), '. ', ' [1, 7]. ') || repeat(chr(10), 4) || '[9]', chr(10)) AS ls FROM documents),
+m AS (SELECT doc_id, list_transform(ls, lambda x: rtrim(CASE WHEN regexp_matches(x, '^#{1,6}') THEN regexp_replace(x, '^#{1,6}\s*', '') ELSE regexp_replace(x, '^\s*[-*]\s+', '• ') END, ' ' || chr(9))) AS ls FROM l)
+SELECT doc_id, trim(replace(replace(array_to_string(list_filter(ls, lambda x, i: x <> '' OR i = 1 OR ls[i - 1] <> ''), chr(10)), '[1, 7]', '[1]'), '[9]', ''), ' ') AS answer FROM m""")
 def ast3(spark, d):
     t = V.table(spark, d, "documents")
     made = F.concat(F.lit("## Answer\n- "), F.regexp_replace("text", r"\. ", " [1, 7]. "), F.lit("\n\n\n\n[9]"))
     return t.select("doc_id", AST.tidy(made, F.lit(3)).alias("answer"))
 
 
-@query("ast7_answer_rows")
+@query("ast7_answer_rows", "SELECT conv_id AS slice_id, string_agg('• ' || CASE WHEN length(text) > 260 THEN left(text, 259) || '…' ELSE text END || ' (turn ' || turn || ')' || CASE WHEN turn % 3 > 1 THEN ', asked in ' || turn % 3 || ' papers' ELSE '' END, chr(10) ORDER BY turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1")
 def ast7(spark, d):
     c = V.table(spark, d, "conversations").where("role = 'assistant'")
     hits = c.select(F.col("conv_id").alias("slice_id"), F.col("turn").alias("rank"), F.concat(F.lit("turn "), "turn").alias("cite"), "text", (F.col("turn") % 3).alias("recurrence"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from weakref import WeakKeyDictionary
 
 import pyarrow as pa
@@ -19,6 +21,8 @@ BATCH_ROWS = 1000
 _own_scratch: dict[str, str] = {}
 #: Where the scratch tables of this driver are that it still holds.
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: The folder that ``scratch_folder`` opened, if any.
+_open: ContextVar[str | None] = ContextVar("scratch_folder", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -47,7 +51,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     or drew stays as it was written. ``discard`` removes the table when nothing reads it any more.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
+    path = f"{_open.get() or scratch_dir(spark)}/paperloom-{name}-{uuid.uuid4().hex}"
     # Texts can be long: few of them to a batch bound what a Python worker holds.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(rows))
@@ -65,13 +69,30 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove tables that ``materialize`` returned and that no result is still to be read from."""
     for df in tables:
         path = _written.pop(df, None) if df is not None else None
         if path is not None:
-            folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            remove(df.sparkSession, path)
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession) -> Iterator[None]:
+    """What ``materialize`` writes inside lies in one folder, which goes at the end: results must be written by then."""
+    path = f"{scratch_dir(spark)}/paperloom-scratch-{uuid.uuid4().hex}"
+    held = _open.set(path)
+    try:
+        yield
+    finally:
+        _open.reset(held)
+        remove(spark, path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:

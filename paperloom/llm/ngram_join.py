@@ -345,7 +345,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id stays, columns as they came."""
+    """The documents without near copies: of each component the one with the smallest id stays, columns as they came.
+
+    Of rows that share an id one stays, the one whose JSON has the smallest hash; rows without an id all stay.
+    """
     c = ngram_components(docs, id_col, text_col, words, percent)
     gone = materialize(c.where("component_id <> doc_id").select(F.col("doc_id").alias("__pl_gone")).distinct(), "gone")
-    return docs.join(gone, F.col(id_col) == F.col("__pl_gone"), "left_anti")
+    left = docs.join(gone, F.col(id_col) == F.col("__pl_gone"), "left_anti")
+    again = docs.groupBy(F.col(id_col).alias("__pl_again")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND __pl_again IS NOT NULL")
+    again = materialize(again.select("__pl_again"), "again")
+    if again.isEmpty():
+        return left
+    same = F.col(id_col) == F.col("__pl_again")
+    row = F.struct(*[F.col(f"`{k}`") for k in docs.columns])
+    # Summed in the map tasks, so an id on very many rows is one row of each of them.
+    one = left.join(again, same, "left_semi").groupBy(id_col).agg(F.min_by(row, F.sha2(F.to_json(row), 256)).alias("__pl_row"))
+    return left.join(again, same, "left_anti").unionByName(one.select("__pl_row.*"))

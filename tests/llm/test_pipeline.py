@@ -1,4 +1,11 @@
+import os
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from paperloom.llm.common import scratch_dir
+from paperloom.llm.ngram_join import drop_near_copies
+from tests.llm.helpers import crowded, docs as made, empty, odd
 from tests.llm.test_line_dedup import brute as lines_left
 from tests.llm.test_ngram_join import brute as groups
 from tests.llm.test_secrets import base as secrets
@@ -34,5 +41,27 @@ def test_each_stage_on_all_that_its_predecessor_kept(spark, sf_dir):
     assert {r.doc_id for r in rows} == set(before)
 
 
-def test_run_equals_the_stages(spark, sf_dir):
+def test_run_leaves_its_result_only(spark, sf_dir):
+    before = set(os.listdir(scratch_dir(spark)))
     assert corpus_pipeline.run(spark, sf_dir).count() > 100
+    (left,) = set(os.listdir(scratch_dir(spark))) - before
+    assert os.listdir(f"{scratch_dir(spark)}/{left}") == ["4-packing"]
+
+
+def test_odd_rows_and_empty_tables_run_through(spark, tmp_path):
+    prose = " ".join(f"alpha{i} beta{i}" for i in range(60))
+    rows = odd(spark).unionByName(made(spark, [(20, prose), (20, prose), (21, prose + " end"), (None, prose)]))
+    crowded(rows).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/a").select("doc_id").distinct().collect()
+    assert {r.doc_id for r in got} == {20, None}
+    empty(spark).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_of_a_repeated_id_one_row_stays(spark):
+    rows = made(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "x y"), (2, "other words"), (None, "x y"), (None, "x y"), (3, "A b c d e f")])
+    out = drop_near_copies(crowded(rows))
+    assert out.columns == crowded(rows).columns
+    got = sorted((r.doc_id or 0, r.text) for r in out.collect())
+    assert [i for i, _ in got] == [0, 0, 1, 2]
+    assert got == sorted((r.doc_id or 0, r.text) for r in drop_near_copies(crowded(rows).orderBy(F.desc("text"))).collect())

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import scratch_dir
+from paperloom.llm.common import remove, scratch_dir, scratch_folder
 from paperloom.llm.line_dedup import drop_boilerplate
 from paperloom.llm.ngram_join import drop_near_copies
 from paperloom.llm.packing import pack
@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    """One document of each group of near copies stays, one row of each id: five-word shingles, similarity of 0.8 or more."""
     return drop_near_copies(docs, words=5, percent=80)
 
 
@@ -62,10 +62,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is a table in the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``. The result is a table in the shared folder; what a stage wrote for itself, and its
+    result once the next stage has read it, are removed.
+
+    Nulls in any column, empty texts, repeated rows and ids and further columns pass through: a null or short text goes
+    with the quality rules, of a repeated id one row stays, rows without an id are nobody's copies. An empty table gives an
+    empty result.
+    """
+    docs, read = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
-        docs = spark.read.parquet(f"{base}/{i}-{name}")
+        path = f"{base}/{i}-{name}"
+        with scratch_folder(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if read:
+            remove(spark, read)
+        docs, read = spark.read.parquet(path), path
     return docs

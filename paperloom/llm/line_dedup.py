@@ -19,8 +19,8 @@ from paperloom.llm.common import bind, let, materialize
 
 #: A line is boilerplate when more than this share of its host's pages hold it ...
 MAX_RATIO = 0.05
-#: ... and at least this many of them do, so small hosts don't lose what is theirs.
-MIN_PAGES = 10
+#: ... and pages share it at all: a line of one page is never boilerplate, however few pages its host has.
+MIN_PAGES = 2
 _SALTS = 32
 
 _WORDS_IN = r"length(btrim({l}, ' \t\n\u000b\f\r')) > 0"
@@ -29,7 +29,10 @@ _WORDS_IN = r"length(btrim({l}, ' \t\n\u000b\f\r')) > 0"
 def boilerplate_lines(lines: DataFrame, pages_of_host: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, pages, host_pages) of the lines over the ratio, from one row for each page and line."""
     counts = lines.groupBy("host", "line_hash").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    both = counts.join(pages_of_host, counts.host.eqNullSafe(pages_of_host.of_host), "inner")
+    # Salted, so that the lines of a hot host don't meet in one task.
+    totals = pages_of_host.withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    counts = counts.withColumn("c_salt", F.pmod(F.xxhash64("line_hash"), F.lit(_SALTS)).cast("int"))
+    both = counts.join(totals, counts.host.eqNullSafe(totals.of_host) & (F.col("c_salt") == F.col("h_salt")), "inner")
     return both.where(F.col("pages") > max_ratio * F.col("host_pages")).select("host", "line_hash", "pages", "host_pages")
 
 

@@ -49,8 +49,9 @@ def test_run_leaves_its_result_only(spark, sf_dir):
 
 
 def test_odd_rows_and_empty_tables_run_through(spark, tmp_path):
+    # Each on a host of its own: on one host their common line would be on most pages, hence boilerplate.
     prose = " ".join(f"alpha{i} beta{i}" for i in range(60))
-    rows = odd(spark).unionByName(made(spark, [(20, prose), (20, prose), (21, prose + " end"), (None, prose)]))
+    rows = odd(spark).unionByName(made(spark, [(20, prose, "en", "h1"), (20, prose, "en", "h2"), (21, prose + " end", "en", "h3"), (None, prose, "en", "h4")]))
     crowded(rows).write.parquet(f"{tmp_path}/a/documents.parquet")
     got = corpus_pipeline.run(spark, f"{tmp_path}/a").select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == {20, None}

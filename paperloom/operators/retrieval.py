@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.filters import passes
+from paperloom.operators.products import in_products, nearest, regular
 from paperloom.tables import discard, settled, written
 
 QUERY_BLOCK = 10_000
@@ -119,18 +120,28 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = 50, condition: Column | None = None) -> DataFrame:
-    """query_id, id, score, rank of the ``k`` corpus rows nearest to each query vector, under a predicate.
+def nearest_vectors(queries: DataFrame, corpus: DataFrame, k: int = 50, apart: tuple[str, str] | None = None) -> DataFrame:
+    """query_id, id, score (6 places), rank of the ``k`` corpus rows nearest to each query vector; ``apart`` names columns of whole numbers, of queries and corpus, that have to differ.
 
-    ``queries`` (query_id, q_vec, ...) is a stated set, taken in blocks. Each task keeps only its own ``k`` best
-    of each query before the shuffle.
+    Every query (query_id, q_vec, ...) meets every row, as matrix products of blocks; a pair of blocks passes on its own ``k`` best
+    of each query. Vectors that are NULL, of another length or not finite have no place in a matrix: their pairs are scored one by one.
     """
-
-    def search(q: DataFrame) -> DataFrame:
-        x = corpus.join(F.broadcast(q), F.lit(True) if condition is None else condition)
-        return ranked(x.select("query_id", "id", F.round(dot("q_vec", "vec"), 6).alias("score")), k)
-
-    return in_blocks(queries, search)
+    dim = corpus.agg(F.mode(F.size("vec")).alias("dim")).first().dim
+    dim = dim if (dim or 0) > 0 else 1
+    q_fits, fits = regular("q_vec", dim), regular("vec", dim)
+    condition = F.lit(True) if apart is None else F.col(apart[0]) != F.col(apart[1])
+
+    def search(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        return lambda q: ranked(rows.join(F.broadcast(q), condition).select("query_id", "id", F.round(dot("q_vec", "vec"), 6).alias("score")), k)
+
+    q_columns, columns = (["query_id", "q_vec"], ["id", "vec"]) if apart is None else (["query_id", "q_vec", apart[0]], ["id", "vec", apart[1]])
+    queries, corpus = queries.select(*q_columns), corpus.select(*columns)
+    x = in_products(queries.where(q_fits), corpus.where(fits), "query_id", "id", "q_vec", "vec", QUERY_BLOCK, nearest(k, apart), "query_id long, id long, score double")
+    x = x.withColumn("score", F.round("score", 6))
+    for q, rows in ((queries.where(~q_fits), corpus), (queries.where(q_fits), corpus.where(~fits))):
+        if not q.isEmpty() and not rows.isEmpty():
+            x = x.unionByName(in_blocks(q, search(rows)).select("query_id", "id", "score"))
+    return ranked(x, k)
 
 
 def in_blocks(queries: DataFrame, join: Callable[[DataFrame], DataFrame], key: str = "query_id") -> DataFrame:

@@ -89,11 +89,20 @@ def linked_papers(scheme: DataFrame, papers: DataFrame) -> DataFrame:
 GENERIC_WORDS = ["introduction", "foundations", "fundamentals", "advanced", "principles", "laboratory", "techniques", "systems", "theory", "applications", "concepts"]
 
 
+def keywords(title: Column) -> Column:
+    """The distinctive words of a title: four letters or more, not generic."""
+    return F.filter(F.split(F.lower(title), "[^a-z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_WORDS))
+
+
+def squashed(title: Column) -> Column:
+    """The letters of a title."""
+    return F.regexp_replace(F.lower(title), "[^a-z]", "")
+
+
 def share_keyword(a: Column, b: Column) -> Column:
-    """Whether a distinctive word (four letters or more, not generic) of ``a`` is in ``b``, letters only."""
-    squashed = F.regexp_replace(F.lower(b), "[^a-z]", "")
-    words = F.filter(F.split(F.lower(a), "[^a-z]+"), lambda w: (F.length(w) >= 4) & ~w.isin(GENERIC_WORDS))
-    return F.exists(words, lambda w: F.contains(squashed, w))
+    """Whether a distinctive word of ``a`` is in ``b``, letters only."""
+    letters = squashed(b)
+    return F.exists(keywords(a), lambda w: F.contains(letters, w))
 
 
 def reused_codes(scheme: DataFrame, papers: DataFrame, links: DataFrame) -> DataFrame:

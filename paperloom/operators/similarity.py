@@ -20,13 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.catalogue import share_keyword
+from paperloom.operators.catalogue import keywords, share_keyword, squashed
+from paperloom.operators.products import in_products, linked, regular
 from paperloom.operators.retrieval import dot, in_blocks
 from paperloom.tables import settled
 
 #: The most vectors that one side of a comparison has, and how many of them are multiplied with the other side at a time.
 BLOCK = 8000
 SLICE = 500
+#: The most official titles that one side of a comparison has.
+LINK_BLOCK = 2000
 #: What a copy of a vector costs in a shuffle, in comparisons of two vectors.
 COPY_COST = 500
 #: The share of pairs at the threshold that the tables are to find.
@@ -315,8 +318,24 @@ def resolve_proposals(proposals: DataFrame, vocabulary: DataFrame, threshold: fl
 def link_titles(official: DataFrame, titles: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(code, p_code, score): titles whose cosine, rounded to two places first, reaches the threshold and which share a distinctive word.
 
-    ``official``: code, title, vec (a stated scheme, taken in blocks); ``titles``: p_code, p_title, p_vec.
+    ``official``: code, title, vec; ``titles``: p_code, p_title, p_vec. Every title meets every official one, as matrix products of blocks;
+    the titles are compared in the task, so that only links leave it. Vectors that have no place in a matrix are taken one by one.
     """
-    x = in_blocks(official, lambda o: titles.join(F.broadcast(o), F.lit(True)), "code")
-    x = x.select("code", "title", "p_code", "p_title", F.round(dot("vec", "p_vec"), 2).alias("score"))
-    return x.where((F.col("score") >= threshold) & (F.col("code") != F.col("p_code")) & share_keyword(F.col("title"), F.col("p_title"))).select("code", "p_code", "score")
+    dim = titles.agg(F.mode(F.size("p_vec")).alias("dim")).first().dim
+    dim = dim if (dim or 0) > 0 else 1
+    o_fits, fits = regular("vec", dim), regular("p_vec", dim)
+    o = official.where(o_fits).select("code", keywords(F.col("title")).alias("words"), "vec")
+    t = titles.where(fits).select("p_code", squashed(F.col("p_title")).alias("squashed"), "p_vec")
+    # Half a hundredth under the threshold is rounded up to it.
+    x = in_products(o, t, "code", "p_code", "vec", "p_vec", LINK_BLOCK, linked(threshold - 0.005), "code long, p_code long, score double")
+    x = x.withColumn("score", F.round("score", 2)).where(F.col("score") >= threshold)
+
+    def one_by_one(rows: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        shared = (F.col("code") != F.col("p_code")) & share_keyword(F.col("title"), F.col("p_title"))
+        scored = lambda q: rows.join(F.broadcast(q), F.lit(True)).where(shared).select("code", "p_code", F.round(dot("vec", "p_vec"), 2).alias("score"))
+        return lambda q: scored(q).where(F.col("score") >= threshold)
+
+    for q, rows in ((official.where(~o_fits), titles), (official.where(o_fits), titles.where(~fits))):
+        if not q.isEmpty() and not rows.isEmpty():
+            x = x.unionByName(in_blocks(q, one_by_one(rows), "code"))
+    return x

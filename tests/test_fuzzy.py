@@ -47,3 +47,18 @@ def test_no_product_in_the_plan(spark):
     plan = R.fuzzy(q, c)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert R.fuzzy(q, c.limit(0)).count() == R.fuzzy(q.limit(0), c).count() == 0
+
+
+def test_a_palette_without_all_rows_is_the_palette_of_all_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    stock = ["ring bolt", "ring", "a ring", "Brand#1", "Brand#11", "bolt (old)", "rolling"]
+    rows = [(rng.choice(["course", "branch", "subject"]), str(i % 180), rng.sample(stock, 2) + [None]) for i in range(200)]
+    queries = [(i, rng.choice(["ring", "rng", "BRAND#1", "bolt", "ro", "zz", " ring", "", None])) for i in range(60)]
+    q, c = spark.createDataFrame(queries, "query_id long, q string"), spark.createDataFrame(rows, "kind string, id string, names array<string>")
+    want = sorted(R.palette(R.fuzzy(q, c)).select("query_id", "kind", "id", "score", "place").collect())
+    assert sorted(R.fuzzy_palette(q, c).collect()) == want and len(want) > 200
+    # No more rows of a name go on than a palette shows.
+    first = R.fuzzy_palette(q, c)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in first
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 3)
+    assert sorted(R.fuzzy_palette(q, c).collect()) == want

@@ -73,6 +73,17 @@ def kpis(questions: DataFrame) -> DataFrame:
     return a.withColumn("k", F.lit(1)).join(t.withColumn("k", F.lit(1)), "k").drop("k")  # one row each
 
 
+def counted_by_paper(rows: DataFrame, *keys: str, marks: str | None = None) -> DataFrame:
+    """The keys with n_questions, n_papers and, where ``marks`` is named, total_marks.
+
+    A paper's rows are counted first, where they lie; what is then shuffled is one partial row a key and task, not every pair of key and paper.
+    """
+    total = [] if marks is None else [F.sum(F.coalesce(marks, F.lit(0))).alias("total_marks")]
+    paper = rows.groupBy("document_id", *keys).agg(F.count(F.lit(1)).alias("n_questions"), *total)
+    sums = [] if marks is None else [F.sum("total_marks").alias("total_marks")]
+    return paper.groupBy(*keys).agg(F.sum("n_questions").alias("n_questions"), F.count("document_id").alias("n_papers"), *sums)
+
+
 FACETS = ("year", "exam_type", "unit", "marks", "bloom")
 
 
@@ -83,7 +94,7 @@ def facets(questions: DataFrame) -> DataFrame:
     """
     keys = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in FACETS])
     x = questions.select("document_id", F.coalesce("marks", F.lit(0)).alias("m"), F.explode(keys).alias("k")).where("k.key IS NOT NULL AND k.key <> '' AND NOT (k.dimension = 'marks' AND CAST(k.key AS BIGINT) <= 0)")
-    return x.groupBy(F.col("k.dimension").alias("dimension"), F.col("k.key").alias("key")).agg(F.count(F.lit(1)).alias("n_questions"), F.countDistinct("document_id").alias("n_papers"), F.sum("m").alias("total_marks"))
+    return counted_by_paper(x.select("document_id", "m", F.col("k.dimension").alias("dimension"), F.col("k.key").alias("key")), "dimension", "key", marks="m")
 
 
 def facets_by_grouping_sets(questions: DataFrame) -> DataFrame:
@@ -142,7 +153,7 @@ def revision_ranking(questions: DataFrame, limit: int = 8) -> DataFrame:
     """Topics to revise: by papers, then marks; with the number of papers they could be in."""
     papers = questions.agg(F.countDistinct("document_id").alias("of_papers"))
     x = questions.select("document_id", "marks", F.explode("topics").alias("topic"))
-    g = x.groupBy("topic").agg(F.countDistinct("document_id").alias("n_papers"), F.sum(F.coalesce("marks", F.lit(0))).alias("total_marks"))
+    g = counted_by_paper(x, "topic", marks="marks").drop("n_questions")
     top = g.orderBy(F.desc("n_papers"), F.desc("total_marks"), "topic").limit(limit)
     return top.withColumn("k", F.lit(1)).join(papers.withColumn("k", F.lit(1)), "k").drop("k")
 

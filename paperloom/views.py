@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Question rows of a partition of the join with their papers.
+PARTITION_ROWS = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,6 +47,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question or note passage, with its paper's metadata copied onto it."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     d = papers(spark, sf_dir).select("document_id", "year", "month", "exam_type", "branch")
+    # The join by paper takes partitions of a bounded size; counts by paper and windows over a paper run in them without a shuffle.
+    parts = -(-l.count() // PARTITION_ROWS)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        d = d.repartition(parts, "document_id")
     x = l.join(p, l.l_partkey == p.p_partkey).join(d, l.l_orderkey == d.document_id)
     marks = F.col("l_quantity").cast("long")
     return x.select(

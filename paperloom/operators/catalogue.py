@@ -39,12 +39,19 @@ def usual(df: DataFrame, key: str, value: str, prefer: list[Column]) -> DataFram
     return n.withColumn("r", F.row_number().over(order)).where("r = 1").select(key, value)
 
 
+def _union(lists: str) -> Column:
+    """The distinct values of a group's lists."""
+    return F.array_distinct(F.flatten(F.collect_set(lists)))
+
+
 def courses_from_papers(questions: DataFrame) -> DataFrame:
     """One row for each course code: usual title (under 80 characters, ties to the shorter), branches, usual semester, papers, questions of all kinds, years."""
     x = questions.where("course_code IS NOT NULL AND course_code <> ''")
     titles = usual(x.where(F.length("course_title") < 80), "course_code", "course_title", [F.length("course_title").asc(), F.asc("course_title")]).select(F.col("course_code").alias("t_code"), F.col("course_title").alias("title"))
     semesters = usual(x, "course_code", "semester", [F.asc("semester")]).select(F.col("course_code").alias("s_code"), "semester")
-    g = x.groupBy("course_code").agg(joined(F.collect_set("branch")).alias("branches"), F.countDistinct("document_id").alias("n_papers"), F.count(F.lit(1)).alias("n_questions"), joined(F.collect_set("year")).alias("year_list"))
+    # Paper by paper first, where a paper's rows lie, so that no pairs of course and paper are shuffled.
+    g = x.groupBy("document_id", "course_code").agg(F.sort_array(F.collect_set("branch")).alias("branches"), F.count(F.lit(1)).alias("n_questions"), F.sort_array(F.collect_set("year")).alias("years"))
+    g = g.groupBy("course_code").agg(joined(_union("branches")).alias("branches"), F.count("document_id").alias("n_papers"), F.sum("n_questions").alias("n_questions"), joined(_union("years")).alias("year_list"))
     g = g.join(titles, F.col("course_code") == F.col("t_code"), "left").join(semesters, F.col("course_code") == F.col("s_code"), "left").drop("t_code", "s_code")
     return g.orderBy(F.desc("n_questions"), "course_code")
 
@@ -80,7 +87,8 @@ def semester_groups(courses: DataFrame) -> DataFrame:
 
 def linked_papers(scheme: DataFrame, papers: DataFrame) -> DataFrame:
     """Each scheme course (code, title) with the papers under that code and title; 0 and no years where none."""
-    p = papers.groupBy(F.col("course_code").alias("p_code"), F.col("course_title").alias("p_title")).agg(F.countDistinct("document_id").alias("n"), joined(F.collect_set("year")).alias("y"))
+    p = papers.groupBy("document_id", F.col("course_code").alias("p_code"), F.col("course_title").alias("p_title")).agg(F.sort_array(F.collect_set("year")).alias("years"))
+    p = p.groupBy("p_code", "p_title").agg(F.count("document_id").alias("n"), joined(_union("years")).alias("y"))
     x = scheme.join(p, (F.col("code") == F.col("p_code")) & (F.col("title") == F.col("p_title")), "left")
     return x.select("code", "title", F.coalesce("n", F.lit(0)).alias("n_papers"), F.coalesce("y", F.lit("")).alias("year_list"))
 

@@ -245,7 +245,7 @@ def srt4(spark, d):
 
 @query("set1_union_of_lists", f"{WITH}, {_SCHEME} SELECT code, title, NULL::BIGINT AS n_papers FROM scheme UNION ALL SELECT course_code, NULL, count(DISTINCT document_id) FROM questions GROUP BY 1")
 def set1(spark, d):
-    p = V.questions(spark, d).groupBy(F.col("course_code").alias("code")).agg(F.countDistinct("document_id").alias("n_papers"))
+    p = A.counted_by_paper(V.questions(spark, d).withColumnRenamed("course_code", "code"), "code").drop("n_questions")
     return _scheme(spark, d).unionByName(p, allowMissingColumns=True)
 
 

@@ -21,12 +21,14 @@ K1, B = 1.2, 0.75
 #: Words that no field indexes.
 STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
 WORD_SPLIT = "[^a-z0-9à-öø-ÿ]+"
+#: The same characters named one by one: Java matches a class that isn't negated several times as fast.
+_BETWEEN_WORDS = r"[\x00-/:-`{-ß÷Ā-\x{10FFFF}]+"
 
 
 def words(text: Column) -> Column:
     """Index terms of a text: lower case, without possessive endings and stop words."""
     t = F.regexp_replace(F.lower(text), "['’]s\\b", "")
-    return F.filter(F.split(t, WORD_SPLIT), lambda w: (w != "") & ~w.isin(STOP_WORDS))
+    return F.filter(F.split(t, _BETWEEN_WORDS), lambda w: (w != "") & ~w.isin(STOP_WORDS))
 
 
 #: Postings, for each query, of the rarest terms that the first bound is worked out from.

@@ -182,17 +182,27 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int = 60) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def filter_listing(queries: DataFrame, corpus: DataFrame, first: int = 200) -> DataFrame:
+def filter_listing(queries: DataFrame, corpus: DataFrame, first: int = 200, keep: tuple[str, ...] = ()) -> DataFrame:
     """Queries without text: the first rows by year (latest first), document and order; then by recurrence and year, stably.
 
-    The score is one over the place.
+    The score is one over the place. Only the first rows of each query are ranked by recurrence, so papers are counted for their
+    groups alone (no group: 1). ``keep`` names more columns of the corpus, or ``recurrence``, to go with the hits, which are written.
     """
     x = in_blocks(queries, lambda q: corpus.join(F.broadcast(q), passes("f")))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("year"), "document_id", "unit", "question_id")
-    x = x.withColumn("first", F.row_number().over(w)).where(F.col("first") <= first)
+    columns = dict.fromkeys(["query_id", "question_id", "year", "group_id", *[c for c in keep if c != "recurrence"]])
+    x = written(x.withColumn("first", F.row_number().over(w)).where(F.col("first") <= first).select(*columns, "first"), "first")
+    groups = x.select("group_id").distinct()
+    of_groups = corpus.select("group_id", "document_id").join(_few(groups), "group_id", "left_semi").groupBy("group_id").agg(F.countDistinct("document_id").alias("recurrence"))
+    x = x.join(of_groups, "group_id", "left").withColumn("recurrence", F.coalesce("recurrence", F.lit(1)))
     again = Window.partitionBy("query_id").orderBy(F.desc("recurrence"), F.desc_nulls_last("year"), "first")
     x = x.withColumn("rank", F.row_number().over(again).cast("long"))
-    return x.select("query_id", "question_id", "rank", F.round(1 / F.col("rank"), 6).alias("score"))
+    return written(x.select("query_id", "question_id", "rank", F.round(1 / F.col("rank"), 6).alias("score"), *keep), "listing")
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """Keys to be joined; broadcast if they are few, so that the rows need no shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else keys
 
 
 def shape(hits: DataFrame, limits: DataFrame) -> DataFrame:
@@ -207,8 +217,8 @@ def hydrate(hits: DataFrame, questions: DataFrame, papers: DataFrame, vocabulary
     The hits are few and the tables large: each join is on a key, and labels come by exploding the hits' topics.
     """
     q = questions.select("question_id", "document_id", "text", "topics")
-    x = hits.join(q, F.col("id") == F.col("question_id"))
-    p = papers.select(F.col("document_id").alias("p_id"), "title", "month")
+    x = written(hits.join(q, F.col("id") == F.col("question_id")), "hits")
+    p = papers.select(F.col("document_id").alias("p_id"), "title", "month").join(_few(x.select(F.col("document_id").alias("p_id")).distinct()), "p_id", "left_semi")
     x = x.join(p, F.col("document_id") == F.col("p_id"), "left").drop("p_id")
     t = x.select("query_id", "question_id", F.posexplode("topics").alias("at", "topic"))
     v = vocabulary.select(F.col("name"), F.col("label").alias("v_label"))

@@ -51,3 +51,18 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
 def test_names_and_twins_belong_together():
     assert set(plans.SQL) <= set(plans.QUERIES)
     assert len(plans.QUERIES) > 120
+
+
+def test_a_listing_counts_papers_for_its_hits_alone(spark):
+    from paperloom.operators import retrieval as R
+    from paperloom.operators.filters import FILTER_FIELDS
+
+    fields = ", ".join(f"{n} {t}" for n, t in FILTER_FIELDS.items())
+    q = spark.sql(f"SELECT 1L AS query_id, from_json('{{}}', '{fields}') AS f")
+    rows = [(f"q{i}", i, 2000 - i % 3, 1, None if i == 9 else i % 4, "x") for i in range(12)]
+    c = spark.createDataFrame(rows, "question_id string, document_id long, year long, unit long, group_id long, text string")
+    others = {"course_code": "string", "branch": "string", "semester": "long", "exam_type": "string", "kind": "string", "marks": "long"}
+    c = c.selectExpr("*", *[f"CAST(NULL AS {t}) AS {n}" for n, t in others.items()])
+    got = R.filter_listing(q, c, 6, ("recurrence", "text")).orderBy("rank").collect()
+    # The latest six: documents 0, 3, 6, 9 of 2000, then 1 and 4 of 1999; each group is in three papers, but group 1 lost one; no group is 1.
+    assert [(r.question_id, r.recurrence) for r in got] == [("q0", 3), ("q3", 3), ("q6", 3), ("q4", 3), ("q1", 2), ("q9", 1)]

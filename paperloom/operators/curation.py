@@ -93,13 +93,16 @@ def reconcile_replies(choices: DataFrame, candidates: DataFrame, most: int = 3,
 
     ``choices``: question_id, labels (array, in order); ``candidates``: question_id, name.
     """
-    squeezed = F.trim(F.regexp_replace("raw", r"\s+", " "))
-    x = choices.select("question_id", F.posexplode("labels").alias("at", "raw")).withColumn("label", squeezed)
-    c = candidates.select(F.col("question_id").alias("c_id"), F.col("name"))
-    x = x.join(c, (F.col("question_id") == F.col("c_id")) & (F.lower("label") == F.lower("name")), "left")
-    x = x.withColumn("new", F.col("name").isNull() & F.length("label").between(3, 60))
-    pick = lambda cond, value, n: F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("at", value.alias("v"))))), lambda s: s["v"])), 1, n)
-    return x.groupBy("question_id").agg(pick(F.col("name").isNotNull(), F.col("name"), most).alias("tags"), pick(F.col("new"), F.col("label"), most_new).alias("proposals"))
+    squeezed = F.transform("labels", lambda raw, at: F.struct(at.alias("at"), F.trim(F.regexp_replace(raw, r"\s+", " ")).alias("label")))
+    # A question's labels and candidates meet in one group: they are shuffled once, a row for all labels of a question.
+    x = choices.select("question_id", squeezed.alias("labels"), F.lit(None).cast("string").alias("name"))
+    c = candidates.where("question_id IS NOT NULL").select("question_id", F.lit(None).cast(x.schema["labels"].dataType).alias("labels"), "name")
+    x = x.unionByName(c).groupBy("question_id").agg(F.flatten(F.collect_list("labels")).alias("labels"), F.collect_list("name").alias("names")).where(F.size("labels") > 0)
+    same = lambda l: lambda name: F.lower(l["label"]) == F.lower(name)
+    named = F.flatten(F.transform("labels", lambda l: F.transform(F.filter("names", same(l)), lambda name: F.struct(l["at"].alias("at"), name.alias("v")))))
+    new = F.filter("labels", lambda l: F.length(l["label"]).between(3, 60) & ~F.exists("names", same(l)))
+    pick = lambda found, value, n: F.slice(F.array_distinct(F.transform(F.array_sort(found), lambda s: s[value])), 1, n)
+    return x.select("question_id", pick(named, "v", most).alias("tags"), pick(new, "label", most_new).alias("proposals"))
 
 
 def unanswered(questions: DataFrame, choices: DataFrame) -> DataFrame:

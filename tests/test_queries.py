@@ -66,3 +66,14 @@ def test_a_listing_counts_papers_for_its_hits_alone(spark):
     got = R.filter_listing(q, c, 6, ("recurrence", "text")).orderBy("rank").collect()
     # The latest six: documents 0, 3, 6, 9 of 2000, then 1 and 4 of 1999; each group is in three papers, but group 1 lost one; no group is 1.
     assert [(r.question_id, r.recurrence) for r in got] == [("q0", 3), ("q3", 3), ("q6", 3), ("q4", 3), ("q1", 2), ("q9", 1)]
+
+
+def test_replies_meet_their_candidates_in_one_shuffle(spark):
+    from paperloom.operators.curation import reconcile_replies
+
+    choices = spark.createDataFrame([("a", ["TREES", " a  new one ", "x", None, "graphs"]), ("b", ["Heaps"]), ("b", ["third", "heaps", "fourth"]), ("c", []), ("d", [None]), (None, ["trees"])], "question_id string, labels array<string>")
+    candidates = spark.createDataFrame([("a", "trees"), ("a", "Trees"), ("a", "graphs"), ("b", "heaps"), ("c", "x"), ("e", "y"), (None, "trees"), ("a", None)], "question_id string, name string")
+    r = reconcile_replies(choices, candidates)
+    got = {x.question_id: (x.tags, x.proposals) for x in r.collect()}
+    assert got == {"a": (["Trees", "trees", "graphs"], ["a new one"]), "b": (["heaps"], ["third", "fourth"]), "d": ([], []), None: ([], ["trees"])}
+    assert "Join" not in r._jdf.queryExecution().optimizedPlan().toString()

@@ -1,6 +1,6 @@
 """A table whose rows are replaced by document, batch by batch, for streams and re-runs.
 
-    rows/epoch=E    rows of the documents of batch E, dealt by document into ``buckets`` files at most
+    rows/epoch=E    rows of the documents of batch E, dealt by document into ``buckets`` files at most (or a file for each task that had them)
     keys/epoch=E    ids of all documents of batch E, those without rows too
     base/epoch=E    all rows that were alive after batch E
     done/*          empty folders: which of these are whole (``batch-E``, ``base-E``)
@@ -8,7 +8,8 @@
 Only what is marked in ``done`` is read. Of a document, the rows of its latest batch count. A batch that comes again
 overwrites its own folders, so writing it twice changes nothing. Every ``compact_after`` batches
 the rows alive become a new base, and the batches before the last base but one go, so the number of
-files is bounded by ``buckets`` and ``compact_after``, whatever the number of documents. One writer at a time.
+files is bounded by ``buckets`` and ``compact_after``, whatever the number of documents. A batch that is not ``dealt`` is
+spared a shuffle and has as many files as tasks. One writer at a time.
 """
 
 from __future__ import annotations
@@ -40,19 +41,19 @@ class DocumentTable:
         base = bases[-1] if bases else None
         return base, [e for e in self._marked("batch") if (base is None or e > base) and (before is None or e < before)]
 
-    def _write(self, df: DataFrame, folder: str, epoch: int) -> None:
-        df.repartition(self.buckets, self.key).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}/epoch={epoch}")
+    def _write(self, df: DataFrame, folder: str, epoch: int, dealt: bool = True) -> None:
+        (df.repartition(self.buckets, self.key) if dealt else df).write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{folder}/epoch={epoch}")
 
-    def merge(self, rows: DataFrame, epoch: int, documents: DataFrame | None = None) -> None:
+    def merge(self, rows: DataFrame, epoch: int, documents: DataFrame | None = None, dealt: bool = True) -> None:
         """Put ``rows`` in the place of all rows of their documents, and of those in ``documents`` that have no rows any more.
 
-        Epochs ascend. One that is in a base already has been merged before, and is left alone.
+        Epochs ascend. One that is in a base already has been merged before, and is left alone. Large batches need not be ``dealt``.
         """
         bases = self._marked("base")
         if bases and epoch <= bases[-1]:
             return
         self._fs.delete(self._at("done", f"batch-{epoch}"), True)
-        self._write(rows, "rows", epoch)
+        self._write(rows, "rows", epoch, dealt)
         mine = self.spark.read.schema(rows.schema).parquet(f"{self.path}/rows/epoch={epoch}").select(self.key)
         if documents is not None:
             mine = mine.unionByName(documents.select(self.key))
@@ -64,16 +65,18 @@ class DocumentTable:
     def _parts(self, folder: str, epochs: list[int]) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.path}/{folder}").parquet(*[f"{self.path}/{folder}/epoch={e}" for e in epochs])
 
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The rows alive (before a batch, if one is named), or None while nothing has been merged."""
+    def read(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame | None:
+        """The rows alive (before a batch, if one is named; of the documents in ``of`` alone, if given), or None while nothing has been merged."""
         base, batches = self._state(before)
-        old = self.spark.read.parquet(f"{self.path}/base/epoch={base}") if base is not None else None
+        k = F.col(self.key)
+        # Joins by the same keys in the same form: the rows are shuffled once for all of them.
+        wanted = (lambda x: x) if of is None else lambda x: x.join(of.select(k.alias("__of")), k.eqNullSafe(F.col("__of")), "left_semi")
+        old = wanted(self.spark.read.parquet(f"{self.path}/base/epoch={base}")) if base is not None else None
         if not batches:
             return old
-        k = F.col(self.key)
         latest = self._parts("keys", batches).groupBy(k.alias("__k")).agg(F.max("epoch").alias("__e"), F.count(F.lit(1)).alias("__n"))
         again = self._small(latest.where("__n > 1"))
-        new = self._parts("rows", batches)
+        new = wanted(self._parts("rows", batches))
         # Of a document that came more than once, the rows of earlier batches go; most came once.
         new = new.join(again, k.eqNullSafe(F.col("__k")) & (F.col("epoch") < F.col("__e")), "left_anti").drop("epoch")
         return new if old is None else old.join(self._small(latest), k.eqNullSafe(F.col("__k")), "left_anti").unionByName(new)

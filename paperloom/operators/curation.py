@@ -126,13 +126,14 @@ def question_key(question: Column, *filters: Column) -> Column:
     return F.sha2(F.to_json(F.struct(q.alias("q"), *filters)), 256)
 
 
-def retag(table: DocumentTable, papers: DataFrame, tag: Callable[[DataFrame], DataFrame], epoch: int, codes: list[str] | None = None, only_untagged: bool = False) -> DataFrame:
+def retag(table: DocumentTable, papers: DataFrame, tag: Callable[[DataFrame], DataFrame], epoch: int, codes: list[str] | None = None, only_untagged: bool = False, in_place: bool = False) -> DataFrame:
     """Tag the questions of ingested papers anew, without repeating anything else; document_id, n_questions, n_changed of each paper done.
 
     ``table`` holds question_id, document_id, topics and more; ``papers``: document_id, status, course_code. The papers are
     those that are ready or in review, of the chosen ``codes`` (all, if none are named), with any question without
     topics where ``only_untagged``. ``tag`` takes their questions and returns question_id and topics; a question
-    that it leaves out has no topics then. Only the rows of these papers are written, as batch ``epoch``; the state
+    that it leaves out has no topics then. With ``in_place`` it returns their whole rows, each once, with new or NULL topics, and
+    they are not joined with themselves. Only the rows of these papers are written, as batch ``epoch``; the state
     before that batch is what is read, so a job that is run again, whole or after a failure, ends the same.
     """
     before = table.read(before=epoch)
@@ -143,11 +144,14 @@ def retag(table: DocumentTable, papers: DataFrame, tag: Callable[[DataFrame], Da
     if only_untagged:
         untagged = before.where(F.coalesce(F.size("topics"), F.lit(0)) < 1).select("document_id")
         chosen = chosen.join(untagged, "document_id", "left_semi")
-    mine = before.join(chosen, "document_id", "left_semi")
-    fresh = tag(mine).select(F.col("question_id").alias("__q"), F.col("topics").alias("__t"))
-    done = mine.join(fresh, F.col("question_id") == F.col("__q"), "left")
+    mine = table.read(before=epoch, of=chosen.where("document_id IS NOT NULL"))
+    if in_place:
+        done = tag(mine).withColumn("__t", F.col("topics"))
+    else:
+        fresh = tag(mine).select(F.col("question_id").alias("__q"), F.col("topics").alias("__t"))
+        done = mine.join(fresh, F.col("question_id") == F.col("__q"), "left")
     now = F.coalesce("__t", F.array().cast("array<string>"))
-    table.merge(done.withColumn("topics", now).select(*before.columns), epoch)
+    table.merge(done.withColumn("topics", now).select(*before.columns), epoch, dealt=False)
     was = mine.select(F.col("question_id").alias("__q"), F.col("topics").alias("__t"))
     written = table.read().join(chosen, "document_id", "left_semi").join(was, F.col("question_id") == F.col("__q"))
     return written.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_questions"), F.count_if(~F.col("topics").eqNullSafe(F.col("__t"))).alias("n_changed"))

@@ -99,6 +99,24 @@ def test_retag_twice_is_once(spark, tmp_path):
     assert state() == {"q1": ["new"], "q2": ["new"], "q3": ["new"], "q4": ["new"], "q5": [], "q6": []}
 
 
+def test_retag_in_place_reads_its_rows_once(spark, tmp_path, monkeypatch):
+    rows = [(f"q{i}", None if i % 11 == 0 else i % 7, [] if i % 3 == 0 else ["x"] if i % 5 else None) for i in range(60)]
+    papers = spark.createDataFrame([(i, "failed" if i == 2 else "ready", "AB"[i % 2]) for i in range(8)] + [(None, "ready", "A")], "document_id long, status string, course_code string")
+    new = F.when(F.col("question_id") != "q6", F.array(F.col("question_id")))
+    taggers = {False: lambda q: q.where("question_id <> 'q6'").select("question_id", new.alias("topics")), True: lambda q: q.withColumn("topics", new)}
+    states, plans, merge = {}, [], DocumentTable.merge
+    monkeypatch.setattr(DocumentTable, "merge", lambda self, rows, *a, **k: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or merge(self, rows, *a, **k))
+    for whole, tag in taggers.items():
+        table = DocumentTable(spark, str(tmp_path / str(whole)), buckets=2)
+        table.merge(spark.createDataFrame(rows, "question_id string, document_id long, topics array<string>"), 0)
+        reports = [sorted(map(tuple, retag(table, papers, tag, e, ["A"], only_untagged=e < 2, in_place=whole).collect())) for e in (1, 2)]
+        states[whole] = reports, sorted((tuple(r) for r in table.read().collect()), key=str)
+    assert states[True] == states[False]
+    # The questions are tagged where they are read, for the first batch and for a later one: no join by question.
+    by_question = [any("Join" in line and "question_id" in line for line in p.splitlines()) for p in plans]
+    assert by_question == [False, True, True, False, False, False]
+
+
 def test_stream_of_rates_equals_its_batch(spark, sf_dir, tmp_path):
     e = V.events(spark, sf_dir)
     e.repartition(3).write.parquet(str(tmp_path / "e"))

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,9 @@ from paperloom.operators.products import in_products, linked, regular
 from paperloom.operators.retrieval import dot, in_blocks
 from paperloom.tables import settled
 
-#: The most vectors that one side of a comparison has, and how many of them are multiplied with the other side at a time.
+#: The most vectors that one side of a comparison has, and how many scores are worked out at a time, which is also how many pairs are held.
 BLOCK = 8000
-SLICE = 500
+SLICE_SCORES = 1_000_000
 #: The most official titles that one side of a comparison has.
 LINK_BLOCK = 2000
 #: What a copy of a vector costs in a shuffle, in comparisons of two vectors.
@@ -84,6 +85,8 @@ Reduce = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarra
 def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str, only: Column | None = None) -> DataFrame:
     """``reduce`` over the pairs of every bucket (and equal ``within``) whose score, to six places, reaches the threshold.
 
+    It is applied to some of a bucket's pairs at a time, so callers reduce what comes out once more.
+
     ``keyed``: id, vec, keys. A pair that shares buckets of several tables counts in the first only. With
     ``only``, buckets without any such row are left out.
     """
@@ -100,26 +103,43 @@ def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Re
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("size", "blocks", "other")
 
-    def compare(x: pd.DataFrame) -> pd.DataFrame:
-        i, j, table = x["i"].iloc[0], x["j"].iloc[0], x["table"].iloc[0]
-        left = x[x["block"] == i].reset_index(drop=True)
-        right = left if i == j else x[x["block"] == j].reset_index(drop=True)
-        if not len(left) or not len(right):
-            return reduce(left, right, *[np.zeros(0, np.int64)] * 2, np.zeros(0))
-        a, b, found = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy()).T, []
-        for k in range(0, len(a), SLICE):
-            scores = np.round(a[k : k + SLICE] @ b, 6)
+    out = pa.schema([(name, {"long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in map(str.split, schema.split(", "))])
+
+    def compare(x: pa.Table) -> pa.Table:
+        i, j, table = x["i"][0].as_py(), x["j"][0].as_py(), x["table"][0].as_py()
+        left = x.filter(pc.equal(x["block"], i))
+        right = left if i == j else x.filter(pc.equal(x["block"], j))
+        del x
+        # Vectors stay in Arrow's flat form; only the plain columns become a frame.
+        plain = [t.drop_columns(["vec", "keys"]).to_pandas() for t in (left, right)]
+        if not left.num_rows or not right.num_rows:
+            return out.empty_table()
+        a, b = (_rows_of(t, "vec") for t in (left, right))
+        ka, kb = (_rows_of(t, "keys")[:, :table] for t in (left, right))
+        # Pairs are reduced before they are many, so that those of a block are never held together.
+        found, held, step = [out.empty_table()], [], max(1, SLICE_SCORES // len(b))
+        for k in range(0, len(a), step):
+            scores = a[k : k + step] @ b.T
+            scores.round(6, out=scores)
             p, q = np.nonzero(scores >= threshold)
             near = p + k < q if i == j else np.ones(len(p), bool)
-            found.append((p[near] + k, q[near], scores[p[near], q[near]]))
-        p, q, s = map(np.concatenate, zip(*found, strict=True))
-        if table and len(p):
-            a, b = (np.stack(t["keys"].to_numpy())[:, :table] for t in (left, right))
-            new = np.concatenate([~(a[p[k : k + 100_000]] == b[q[k : k + 100_000]]).any(1) for k in range(0, len(p), 100_000)])
-            p, q, s = p[new], q[new], s[new]
-        return reduce(left, right, p, q, s)
-
-    return rows.groupBy(*of, "i", "j").applyInPandas(compare, schema)
+            p, q, s = p[near] + k, q[near], scores[p[near], q[near]]
+            if table and len(p):
+                new = np.concatenate([~(ka[p[m : m + 100_000]] == kb[q[m : m + 100_000]]).any(1) for m in range(0, len(p), 100_000)])
+                p, q, s = p[new], q[new], s[new]
+            held.append((p, q, s))
+            if sum(len(h[0]) for h in held) >= SLICE_SCORES or k + step >= len(a):
+                found.append(pa.Table.from_pandas(reduce(*plain, *map(np.concatenate, zip(*held, strict=True))), out, preserve_index=False))
+                held = []
+        return pa.concat_tables(found)
+
+    return rows.groupBy(*of, "i", "j").applyInArrow(compare, schema)
+
+
+def _rows_of(table: pa.Table, column: str) -> np.ndarray:
+    """The lists of a column, all of one length, as the rows of a matrix."""
+    flat = pc.list_flatten(table.column(column).combine_chunks()).to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)
 
 
 def _hashed(x: DataFrame, threshold: float, recall: float, exact: bool, bucket: int) -> DataFrame:

@@ -114,3 +114,15 @@ def test_chains_within_a_batch(spark):
     old = spark.createDataFrame([(1, 1), (2, 1), (3, 3)], "id long, group_id long")
     new = spark.createDataFrame([(4, 2), (5, 4), (6, 5), (7, None), (8, 7), (9, 3)], "id long, parent long")
     assert {(r.id, r.group_id) for r in S.extend_groups(old, new).collect()} == {(4, 1), (5, 1), (6, 1), (7, 7), (8, 7), (9, 3)}
+
+
+def test_pairs_of_a_bucket_are_never_held_together(spark):
+    import pandas as pd
+
+    from paperloom.operators import similarity as S
+
+    n = 3000
+    rows = spark.range(n).selectExpr("id", "array(1D, id * 1e-9D) AS vec", "array(0L) AS keys")
+    counted = S.in_buckets(rows, 0.5, [], lambda left, right, p, q, s: pd.DataFrame({"n": [len(p)]}), "n long").collect()
+    assert sum(r.n for r in counted) == n * (n - 1) // 2
+    assert max(r.n for r in counted) < 2_000_000

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Question rows of a partition of the join with their papers.
 PARTITION_ROWS = 250_000
+#: So few of them may meet in one task; small tables are left to Spark, since hundreds of tasks would cost more than they save.
+FEW_PARTITIONS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,11 +49,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each question or note passage, with its paper's metadata copied onto it."""
     l, p = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
     d = papers(spark, sf_dir).select("document_id", "year", "month", "exam_type", "branch")
+    x = l.join(p, l.l_partkey == p.p_partkey)
     # The join by paper takes partitions of a bounded size; counts by paper and windows over a paper run in them without a shuffle.
+    # Both sides are dealt into a stated number (Spark takes its own where that is larger): what a join deals for itself is coalesced to a few as it runs.
     parts = -(-l.count() // PARTITION_ROWS)
-    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
-        d = d.repartition(parts, "document_id")
-    x = l.join(p, l.l_partkey == p.p_partkey).join(d, l.l_orderkey == d.document_id)
+    if parts > min(FEW_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions"))):
+        x, d = x.repartition(parts, "l_orderkey"), d.repartition(parts, "document_id")
+    x = x.join(d, x.l_orderkey == d.document_id)
     marks = F.col("l_quantity").cast("long")
     return x.select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").alias("question_id"),

@@ -15,6 +15,19 @@ def test_join_by_paper_grows_by_partitions_not_by_their_size(spark, sf_dir, monk
     assert sorted(A.facets(q).collect(), key=str) == whole
 
 
+def test_partitions_of_the_join_by_paper_are_not_coalesced(spark, sf_dir, monkeypatch):
+    rows = V.table(spark, sf_dir, "lineitem").count()
+    # Twenty partitions, fewer than the session's forty.
+    monkeypatch.setattr(V, "PARTITION_ROWS", -(-rows // 20))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        sizes = [r["count"] for r in V.questions(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(sizes) == rows and max(sizes) <= 2 * V.PARTITION_ROWS
+
+
 def test_counts_by_paper_are_distinct_counts(spark):
     rows = [(None if i % 9 == 0 else i % 7, "ab"[i % 2] if i % 5 else None, None if i % 4 == 0 else i) for i in range(200)]
     x = spark.createDataFrame(rows, "document_id long, key string, m long")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from paperloom.operators import retrieval as R
 
 
@@ -62,3 +64,32 @@ def test_a_palette_without_all_rows_is_the_palette_of_all_rows(spark, monkeypatc
     assert "WindowGroupLimit" in first
     monkeypatch.setattr(R, "BROADCAST_QUERIES", 3)
     assert sorted(R.fuzzy_palette(q, c).collect()) == want
+
+
+def test_odd_catalogues_in_small_tiles(spark, monkeypatch):
+    rng = random.Random(9)
+    names = ["Ring Bolt", "ring bolt", "a ring", "Brand#1", "bolt (old)", "", None]
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *map(str, range(40))]), rng.choice([None, [], [None], rng.sample(names, 2)])) for _ in range(400)]
+    queries = [(i if i % 9 else None, rng.choice(["ring", "rng", " RING", "b#", "zz", "", None])) for i in range(40)]
+    want = sorted({(k or -1, kind or "", i or "", max(s)) for k, q in queries for kind, i in {r[:2] for r in rows} if (s := [s for r in rows if r[:2] == (kind, i) for n in r[2] or [] if n is not None and (s := walk(q or "", n)) is not None])})
+    q, c = spark.createDataFrame(queries, "query_id long, q string"), spark.createDataFrame(rows, "kind string, id string, names array<string>")
+    found = lambda: sorted({(r.query_id or -1, r.kind or "", r.id or "", round(r.score, 3)) for r in R.fuzzy(q, c).collect()})
+    want = [(*x[:3], round(x[3], 3)) for x in want]
+    assert found() == want and len(want) > 300
+    monkeypatch.setattr(R, "TILE", 3)
+    monkeypatch.setattr(R, "LEAST_PAIRS", 50)
+    assert found() == want
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 3)
+    assert found() == want
+
+
+def test_rows_of_equal_texts_and_names_take_few_bytes(spark, tmp_path):
+    n, m = 20_000, 400
+    q = spark.range(n).selectExpr("id AS query_id", "'ring' AS q")
+    c = spark.range(m).selectExpr("'k' AS kind", "CAST(id AS string) AS id", "array('ring bolt') AS names")
+    found = R.fuzzy(q, c)
+    found.write.parquet(str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet"))
+    assert size < 0.3 * n * m
+    out = spark.read.parquet(str(tmp_path / "out")).groupBy("id").agg(F.count("*").alias("rows"), F.sum("query_id").alias("sum"))
+    assert [tuple(r) for r in out.groupBy("rows", "sum").count().collect()] == [(n, n * (n - 1) // 2, m)]

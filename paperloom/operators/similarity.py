@@ -7,10 +7,14 @@ a bucket every pair is compared exactly. Equal vectors are one class before anyt
 that is larger than ``BLOCK`` all the same is compared block by block, in as many tasks as it has pairs of
 blocks, and what leaves a task is already reduced (a row's best, the best of all), never the pairs of a group.
 With ``exact`` there is one table without planes: all pairs, block by block.
+
+A vector is copied for each table and for each other block of a bucket, so all copies at once would take disk by the square of the vectors.
+Tables and pairs of blocks are therefore dealt into rounds of a bounded number of copies; the shuffle files of a round go with it.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,15 +28,17 @@ from pyspark.sql import functions as F
 from paperloom.operators.catalogue import keywords, share_keyword, squashed
 from paperloom.operators.products import in_products, linked, regular
 from paperloom.operators.retrieval import dot, in_blocks
-from paperloom.tables import settled
+from paperloom.tables import discard, settled, written
 
 #: The most vectors that one side of a comparison has, and how many scores are worked out at a time, which is also how many pairs are held.
-BLOCK = 8000
+BLOCK = 16_000
 SLICE_SCORES = 1_000_000
 #: The most official titles that one side of a comparison has.
 LINK_BLOCK = 2000
 #: What a copy of a vector costs in a shuffle, in comparisons of two vectors.
-COPY_COST = 500
+COPY_COST = 2500
+#: So many copies of each vector are shuffled in one round, or so many in all if that is more.
+ROUND_COPIES, ROUND_ROWS = 2, 500_000
 #: The share of pairs at the threshold that the tables are to find.
 RECALL = 0.95
 _SALTS = 16
@@ -65,6 +71,7 @@ def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int
     """``classes`` with ``keys``: the bucket of ``vec`` in each table."""
     normals = np.random.default_rng(seed).normal(size=(dim, tables * planes))
     weights = 1 << np.arange(planes, dtype=np.int64)
+    kind, spark_kind = (pa.int16(), "smallint") if planes < 16 else (pa.int64(), "bigint")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,9 +79,9 @@ def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int
             x = vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
             keys = ((x @ normals > 0).reshape(len(x), tables, planes) * weights).sum(2)
             offsets = pa.array(np.arange(0, keys.size + 1, tables), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel(), pa.int64()))], names=[*batch.schema.names, "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()).cast(kind))], names=[*batch.schema.names, "keys"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema) + ", keys array<bigint>"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in classes.schema) + f", keys array<{spark_kind}>"
     return classes.mapInArrow(keyed, schema)
 
 
@@ -82,58 +89,132 @@ def with_keys(classes: DataFrame, planes: int, tables: int, dim: int, seed: int
 Reduce = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
 
 
-def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str, only: Column | None = None) -> DataFrame:
+#: Rows of the rounds so far, or of one, to fewer rows that are enough.
+Again = Callable[[DataFrame], DataFrame]
+
+
+def in_buckets(keyed: DataFrame, threshold: float, within: list[str], reduce: Reduce, schema: str, only: Column | None = None, again: Again | None = None, most: int | None = None) -> DataFrame:
     """``reduce`` over the pairs of every bucket (and equal ``within``) whose score, to six places, reaches the threshold.
 
-    It is applied to some of a bucket's pairs at a time, so callers reduce what comes out once more.
+    It is applied to some of a bucket's pairs at a time, so callers reduce what comes out once more. Where there are several rounds, their
+    rows are written, and reduced by ``again`` from round to round. With ``most``, what comes out are pairs with their score of which only
+    the ``most`` best are wanted, so the threshold rises to the last of so many.
 
     ``keyed``: id, vec, keys. A pair that shares buckets of several tables counts in the first only. With
     ``only``, buckets without any such row are left out.
     """
-    rows = keyed.select("*", F.posexplode("keys").alias("table", "key"))
     of = ["table", "key", *within]
-    if only is not None:
-        touched = rows.where(only).select(*[F.col(c).alias(f"t_{c}") for c in of]).distinct()
-        rows = rows.join(touched, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in of], "left_semi")
-    # At most one row for each BLOCK rows; a hot bucket's rows meet it as Spark sees fit (broadcast or skew join).
-    big = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK).select(*[F.col(c).alias(f"b_{c}") for c in of], "size")
-    rows = rows.join(big, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in of], "left").drop(*[f"b_{c}" for c in of])
-    blocks = F.ceil(F.coalesce("size", F.lit(1)) / BLOCK)
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("size", "blocks", "other")
+    found = keyed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("keys")).alias("tables")).first()
+    tables, blocked = found.tables or 1, found.n > BLOCK
+
+    def rows_of(first: int, last: int) -> DataFrame:
+        """Every vector in each of its buckets of tables ``first`` to ``last``, with the keys it has in the tables before."""
+        x = keyed.select("*", F.posexplode(F.slice("keys", first + 1, last - first + 1)).alias("at", "key"))
+        return x.withColumn("table", F.col("at") + first).drop("at").withColumn("keys", F.slice("keys", F.lit(1), F.col("table")))
+
+    blocks = F.ceil(F.col("size") / BLOCK)
+    rounds, big = [((0, 0), (tables - 1, found.n))], None
+    if blocked:
+        # At most one row for each BLOCK rows; a hot bucket's rows meet it as Spark sees fit (broadcast or skew join).
+        sizes = rows_of(0, tables - 1).groupBy(*of).agg(F.count(F.lit(1)).alias("size"))
+        big = written(sizes.where(F.col("size") > BLOCK).select(*[F.col(c).alias(f"b_{c}") for c in of], "size"), "sizes")
+        if found.n * tables * -(-found.n // BLOCK) > max(ROUND_ROWS, ROUND_COPIES * found.n):
+            rounds = _rounds(found.n, tables, big.select(F.col("b_table").alias("table"), "size", blocks.alias("blocks")))
+
+    def copies(first: tuple[int, int], last: tuple[int, int]) -> DataFrame:
+        rows = rows_of(first[0], last[0])
+        if only is not None:
+            touched = rows.where(only).select(*[F.col(c).alias(f"t_{c}") for c in of]).distinct()
+            rows = rows.join(touched, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in of], "left_semi")
+        if big is None:
+            return rows.withColumns({"block": F.lit(0).cast("long"), "i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
+        rows = rows.join(big, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in of], "left").drop(*[f"b_{c}" for c in of])
+        rows = rows.withColumn("blocks", F.coalesce(blocks, F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+        # Blocks stand in a circle; the pairs of a round are so far apart in it.
+        start = F.when(F.col("table") == first[0], first[1]).otherwise(0).cast("long")
+        end = F.least(F.floor(F.col("blocks") / 2), F.when(F.col("table") == last[0], last[1]).otherwise(found.n).cast("long"))
+        rows = rows.withColumn("apart", F.explode(F.when(start <= end, F.sequence(start, end))))
+        others = F.array_distinct(F.array(F.pmod(F.col("block") + F.col("apart"), "blocks"), F.pmod(F.col("block") - F.col("apart"), "blocks")))
+        rows = rows.withColumn("other", F.explode(others))
+        return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("size", "blocks", "apart", "other")
 
     out = pa.schema([(name, {"long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in map(str.split, schema.split(", "))])
 
-    def compare(x: pa.Table) -> pa.Table:
-        i, j, table = x["i"][0].as_py(), x["j"][0].as_py(), x["table"][0].as_py()
-        left = x.filter(pc.equal(x["block"], i))
-        right = left if i == j else x.filter(pc.equal(x["block"], j))
-        del x
-        # Vectors stay in Arrow's flat form; only the plain columns become a frame.
-        plain = [t.drop_columns(["vec", "keys"]).to_pandas() for t in (left, right)]
-        if not left.num_rows or not right.num_rows:
-            return out.empty_table()
-        a, b = (_rows_of(t, "vec") for t in (left, right))
-        ka, kb = (_rows_of(t, "keys")[:, :table] for t in (left, right))
-        # Pairs are reduced before they are many, so that those of a block are never held together.
-        found, held, step = [out.empty_table()], [], max(1, SLICE_SCORES // len(b))
-        for k in range(0, len(a), step):
-            scores = a[k : k + step] @ b.T
-            scores.round(6, out=scores)
-            p, q = np.nonzero(scores >= threshold)
-            near = p + k < q if i == j else np.ones(len(p), bool)
-            p, q, s = p[near] + k, q[near], scores[p[near], q[near]]
-            if table and len(p):
-                new = np.concatenate([~(ka[p[m : m + 100_000]] == kb[q[m : m + 100_000]]).any(1) for m in range(0, len(p), 100_000)])
-                p, q, s = p[new], q[new], s[new]
-            held.append((p, q, s))
-            if sum(len(h[0]) for h in held) >= SLICE_SCORES or k + step >= len(a):
-                found.append(pa.Table.from_pandas(reduce(*plain, *map(np.concatenate, zip(*held, strict=True))), out, preserve_index=False))
-                held = []
-        return pa.concat_tables(found)
-
-    return rows.groupBy(*of, "i", "j").applyInArrow(compare, schema)
+    def compared(rows: DataFrame, least: float) -> DataFrame:
+        def compare(x: pa.Table) -> pa.Table:
+            i, j, table, low = x["i"][0].as_py(), x["j"][0].as_py(), x["table"][0].as_py(), least
+            left = x.filter(pc.equal(x["block"], i))
+            right = left if i == j else x.filter(pc.equal(x["block"], j))
+            del x
+            # Vectors stay in Arrow's flat form; only the plain columns become a frame.
+            plain = [t.drop_columns(["vec", "keys"]).to_pandas() for t in (left, right)]
+            if not left.num_rows or not right.num_rows:
+                return out.empty_table()
+            a, b = (_rows_of(t, "vec") for t in (left, right))
+            ka, kb = (_rows_of(t, "keys") for t in (left, right)) if table else (None, None)
+            # Pairs are reduced before they are many, so that those of a block are never held together.
+            found, held, step = [out.empty_table()], [], max(1, min(len(a), SLICE_SCORES // len(b)))
+            full = SLICE_SCORES if most is None else min(SLICE_SCORES, 10 * most)
+            products, near = np.empty((step, len(b))), np.empty((step, len(b)), bool)
+            for k in range(0, len(a), step):
+                slice_of = a[k : k + step]
+                scores = np.matmul(slice_of, b.T, out=products[: len(slice_of)]).ravel()
+                # Rounding moves a score by half of a millionth at most.
+                at = np.flatnonzero(np.greater_equal(scores, low - 1e-6, out=near[: len(slice_of)].ravel()))
+                p, q = np.divmod(at, len(b))
+                s, p = scores[at].round(6), p + k
+                keep = (s >= low) & (p < q) if i == j else s >= low
+                p, q, s = p[keep], q[keep], s[keep]
+                if table and len(p):
+                    new = np.concatenate([~(ka[p[m : m + 100_000]] == kb[q[m : m + 100_000]]).any(1) for m in range(0, len(p), 100_000)])
+                    p, q, s = p[new], q[new], s[new]
+                held.append((p, q, s))
+                if sum(len(h[0]) for h in held) >= full or k + step >= len(a):
+                    best = reduce(*plain, *map(np.concatenate, zip(*held, strict=True)))
+                    found.append(pa.Table.from_pandas(best, out, preserve_index=False))
+                    held = []
+                    if most is not None and len(best) >= most:
+                        low = max(low, best["score"].min())
+            return pa.concat_tables(found)
+
+        return rows.groupBy(*of, "i", "j").applyInArrow(compare, schema)
+
+    if len(rounds) == 1:
+        return compared(copies(*rounds[0]), threshold)
+    tables_of: list[DataFrame] = []
+    for k, of_round in enumerate(rounds):
+        x = compared(copies(*of_round), threshold)
+        if again is None:
+            tables_of.append(written(x, "pairs"))
+            continue
+        x = written(again(functools.reduce(DataFrame.unionByName, [*tables_of, x])), "pairs")
+        discard(*tables_of)
+        tables_of = [x]
+        if most is not None and k + 1 < len(rounds):
+            so_far = x.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+            threshold = max(threshold, so_far.least) if so_far.n >= most else threshold
+    discard(big)
+    return functools.reduce(DataFrame.unionByName, tables_of)
+
+
+def _rounds(n: int, tables: int, big: DataFrame) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """The first and last (table, distance of blocks) of each round, which has about ``ROUND_COPIES`` copies of each of ``n`` vectors.
+
+    ``big``: table, size and blocks of the buckets of several blocks; what comes to the driver is a number for each table and distance.
+    """
+    apart = F.col("apart")
+    once = (apart == 0) | (apart * 2 == F.col("blocks"))
+    x = big.select("table", "size", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("blocks") / 2))).alias("apart"))
+    of_big = {(r.table, r.apart): r.n for r in x.groupBy("table", "apart").agg(F.sum(F.col("size") * F.when(once, 1).otherwise(2)).alias("n")).collect()}
+    # All rows are in some bucket at distance 0.
+    steps = sorted({**of_big, **{(t, 0): n for t in range(tables)}}.items())
+    most, rounds, held = max(ROUND_ROWS, ROUND_COPIES * n), [], 0
+    for at, k in steps:
+        if not rounds or held + k > most:
+            rounds.append((at, at))
+            held = 0
+        rounds[-1], held = (rounds[-1][0], at), held + k
+    return rounds
 
 
 def _rows_of(table: pa.Table, column: str) -> np.ndarray:
@@ -144,9 +225,14 @@ def _rows_of(table: pa.Table, column: str) -> np.ndarray:
 
 def _hashed(x: DataFrame, threshold: float, recall: float, exact: bool, bucket: int) -> DataFrame:
     """A written table of ``x`` with the keys of its vectors."""
+    x = written(x, "vectors")
     found = x.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     planes, tables = (0, 1) if exact else hash_plan(found.n, threshold, recall, bucket)
-    return settled(with_keys(x, planes, tables, found.dim or 1))
+    if not planes:
+        return x.withColumn("keys", F.array(F.lit(0)))
+    keyed = written(with_keys(x, planes, tables, found.dim or 1), "keyed")
+    discard(x)
+    return keyed
 
 
 def _all_pairs_of(left: pd.DataFrame, right: pd.DataFrame, p: np.ndarray, q: np.ndarray, s: np.ndarray) -> pd.DataFrame:
@@ -178,7 +264,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence:
     pairs of classes, by score and by the least pair of rows of different documents in them, and only those
     that are best of all are expanded to rows.
     """
-    sure = vectors.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull()).select("id", "vec", "doc")
+    sure = vectors.where((F.col("confidence") >= min_confidence) & F.col("vec").isNotNull() & F.col("doc").isNotNull()).select("id", "vec", "doc")
     # The first row of a class, and the first of another document: Spark keeps two rows of a class before the shuffle.
     units = sure.groupBy("vec", "doc").agg(F.min("id").alias("id"))
     two = units.withColumn("r", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where("r <= 2")
@@ -198,9 +284,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.86, min_confidence:
 
     schema = "a_class long, b_class long, score double, lo long, hi long"
     keyed = _hashed(classes, threshold, recall, exact, bucket)
-    links = in_buckets(keyed, threshold, [], best, schema)
+    first = lambda x: x.orderBy(F.desc("score"), "lo", "hi").limit(n)
     own = keyed.where(F.col("second") < _NONE).select(F.col("id").alias("a_class"), F.col("id").alias("b_class"), F.round(dot("vec", "vec"), 6).alias("score"), F.col("id").alias("lo"), F.col("second").alias("hi"))
-    links = settled(links.unionByName(own).where(F.col("score") > threshold).orderBy(F.desc("score"), "lo", "hi").limit(n))
+    own = settled(first(own.where(F.col("score") > threshold)))
+    so_far = own.agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).first()
+    links = in_buckets(keyed, so_far.least if so_far.n >= n else threshold, [], best, schema, again=first, most=n)
+    links = settled(first(links.unionByName(own).where(F.col("score") > threshold)))
     # At most 2n classes; of each class and document no more than its n + 1 first rows can be in the n best pairs.
     wanted = links.select(F.explode(F.array("a_class", "b_class")).alias("w")).distinct()
     of = keyed.join(F.broadcast(wanted), F.col("id") == F.col("w")).select(F.col("vec").alias("c_vec"), F.col("id").alias("class"))
@@ -236,11 +325,12 @@ def duplicate_parents(vectors: DataFrame, threshold: float = 0.9, recall: float
 
     # Within a paper: one row for each vector of a paper.
     units = _hashed(x.groupBy("vec", "doc").agg(F.min("id").alias("id"), F.max("id").alias("last")), threshold, recall, exact, bucket)
-    in_paper = in_buckets(units, threshold, ["doc"], first, "id long, found long", late).groupBy("id").agg(F.min("found").alias("found"))
+    least = lambda x: x.groupBy("id").agg(F.min("found").alias("found"))
+    in_paper = least(in_buckets(units, threshold, ["doc"], first, "id long, found long", late, again=least))
     # Over all papers: one row for each vector.
     classes = units.groupBy("vec", "keys").agg(F.min("id").alias("id"), F.max("last").alias("last"))
-    nearest = in_buckets(classes, threshold, [], best, "id long, found long, score double", late)
-    nearest = nearest.groupBy("id").agg(F.min_by("found", F.struct(-F.col("score"), F.col("found"))).alias("found"), F.max("score").alias("score"))
+    one = lambda x: x.groupBy("id").agg(F.min_by("found", F.struct(-F.col("score"), F.col("found"))).alias("found"), F.max("score").alias("score"))
+    nearest = one(in_buckets(classes, threshold, [], best, "id long, found long, score double", late, again=one))
     # A later row of a vector: its first row is an earlier one with the highest score there is, but others may be as near.
     again = equal_vectors(x.select(F.struct("vec", "doc").alias("vec"), "id")).select("id", F.col("first").alias("of"))
     of_unit = again.join(in_paper.toDF("u", "before"), F.col("of") == F.col("u"), "left").select("id", F.coalesce("before", "of").alias("found"))

@@ -126,3 +126,45 @@ def test_pairs_of_a_bucket_are_never_held_together(spark):
     counted = S.in_buckets(rows, 0.5, [], lambda left, right, p, q, s: pd.DataFrame({"n": [len(p)]}), "n long").collect()
     assert sum(r.n for r in counted) == n * (n - 1) // 2
     assert max(r.n for r in counted) < 2_000_000
+
+
+def test_no_plan_copies_half_a_million_vectors_by_the_hundred():
+    planes, tables = S.hash_plan(492_307, 0.3)
+    assert tables * max(1, 492_307 / 2**planes / S.BLOCK) < 64
+
+
+def test_rounds_lose_and_repeat_nothing(spark, monkeypatch):
+    v, doc = made(700)
+    x = frame(spark, v, doc)
+    monkeypatch.setattr(S, "BLOCK", 97)
+    once = [sorted(S.similar_pairs(x, 0.7, bucket=300).collect()), S.near_duplicates(x, 0.8, 0.5, 50, exact=True).collect(), sorted(S.duplicate_parents(x, 0.6, exact=True).collect())]
+    monkeypatch.setattr(S, "ROUND_ROWS", 10)
+    dealt = []
+    rounds = S._rounds
+    monkeypatch.setattr(S, "_rounds", lambda *a: dealt.append(rounds(*a)) or dealt[-1])
+    pairs = [(r.a, r.b) for r in S.similar_pairs(x, 0.8, exact=True).collect()]
+    assert len(dealt[0]) > 2 and len(pairs) == len(set(pairs)) and set(pairs) == links_of(v, 0.8)
+    again = [sorted(S.similar_pairs(x, 0.7, bucket=300).collect()), S.near_duplicates(x, 0.8, 0.5, 50, exact=True).collect(), sorted(S.duplicate_parents(x, 0.6, exact=True).collect())]
+    assert again == once and len(once[0]) > 100
+    assert len(dealt) > 3 and sum(len(d) > 2 for d in dealt) > 3
+
+
+def test_a_round_has_few_copies(spark, monkeypatch):
+    monkeypatch.setattr(S, "ROUND_ROWS", 10)
+    for blocks in (30, 31):
+        big = spark.createDataFrame([(0, 3000, blocks)], "table int, size long, blocks long")
+        dealt = S._rounds(3000, 1, big)
+        # Each distance once; two copies of each vector a round, but one for its own block and for the opposite one.
+        assert [d for (_, lo), (_, hi) in dealt for d in range(lo, hi + 1)] == list(range(blocks // 2 + 1))
+        assert all(sum(1 if d == 0 or 2 * d == blocks else 2 for d in range(lo, hi + 1)) <= 2 for (_, lo), (_, hi) in dealt)
+    dealt = S._rounds(1000, 9, spark.createDataFrame([], "table int, size long, blocks long"))
+    assert [t for (lo, _), (hi, _) in dealt for t in range(lo, hi + 1)] == list(range(9)) and len(dealt) == 5
+
+
+def test_rows_without_a_document_take_no_place(spark):
+    v, _ = made(300)
+    rows = [(i, x.tolist(), None if i % 2 else i, 0.9) for i, x in enumerate(v)]
+    s = np.round(v @ v.T, 6)
+    want = sorted((-s[a, b], a, b) for a in range(0, 300, 2) for b in range(a + 2, 300, 2) if s[a, b] > 0.2)[:40]
+    got = [(-r.score, r.a, r.b) for r in S.near_duplicates(spark.createDataFrame(rows, COLUMNS), 0.2, 0.5, 40, exact=True).collect()]
+    assert got == [(float(x), a, b) for x, a, b in want] and len(got) == 40
